@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from starling.plans import catalog
 from starling.plans import queries_eval  # noqa: F401  (registers queries)
 from starling.plans import queries_decode  # noqa: F401
+from starling.plans import queries_prep  # noqa: F401
 
 
 def queries():
