@@ -9,6 +9,7 @@ from starling.plans import queries_eval  # noqa: F401  (registers queries)
 from starling.plans import queries_decode  # noqa: F401
 from starling.plans import queries_prep  # noqa: F401
 from starling.plans import queries_stats  # noqa: F401
+from starling.plans import queries_select  # noqa: F401
 
 
 def queries():
