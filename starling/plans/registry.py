@@ -10,6 +10,7 @@ from starling.plans import queries_decode  # noqa: F401
 from starling.plans import queries_prep  # noqa: F401
 from starling.plans import queries_stats  # noqa: F401
 from starling.plans import queries_select  # noqa: F401
+from starling.plans import queries_learn  # noqa: F401
 
 
 def queries():
