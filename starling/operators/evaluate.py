@@ -68,12 +68,14 @@ def leaderboard(long_dfs: Sequence[DataFrame], **kwargs) -> DataFrame:
     return board(union, **kwargs)
 
 
-def align_predictions(labels: DataFrame, predictions: DataFrame, key: str = "row_id") -> DataFrame:
+def align_predictions(labels: DataFrame, predictions: DataFrame,
+                      key: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Positional alignment re-expressed as an inner equi-join on a row key.
 
     ``labels``: (key, label); ``predictions``: (system, key, prediction).
-    Returns the aligned long table. The reference fails on a length mismatch;
-    here the per-system counts are checked and a mismatch raises at run time.
+    Returns the aligned long table and per-system aligned counts. The
+    reference fails on a length mismatch; here a system whose aligned count
+    differs from the label count raises at run time.
     """
     n_labels = labels.select(F.count(F.lit(1))).scalar()
     joined = predictions.join(labels, key, "inner")

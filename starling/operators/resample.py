@@ -99,8 +99,10 @@ def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resampl
     small = indexed.select("gid", "cell", "n").toPandas()  # bounded: <= MAX_CELLS rows
     groups = [(int(gid), part.sort_values("cell")["n"].to_numpy(dtype=np.int64))
               for gid, part in small.groupby("gid")]
+    shared = spark.sparkContext.broadcast(groups)  # shipped once per executor
 
     def draw(batches):
+        groups = shared.value
         for pdf in batches:
             out_b, out_g, out_c, out_w = [], [], [], []
             for b in pdf["id"].to_numpy():

@@ -122,3 +122,21 @@ def q_leaderboard(spark, sf_dir):
     s = X.scored(spark, sf_dir)
     long = E.long_predictions(s, SCORED_SYSTEMS, row_id=None)
     return rounded(E.leaderboard([long]))
+
+
+# ---------------------------------------------------------------- J1
+@query("align_predictions", sql=with_views("scored", extra={"long": _LONG_SCORED_SQL}) + f"""
+SELECT system, CAST(COUNT(*) AS BIGINT) AS aligned, {r(_metric_sql('label', 'prediction')['mae'])} AS mae
+FROM long GROUP BY system""")
+def q_align_predictions(spark, sf_dir):
+    """Labels and per-system predictions as separate tables, aligned by row key.
+
+    The row key is the order key plus the line position within the order, a
+    window partitioned by the order key (it reuses the join's distribution).
+    """
+    s = X.scored(spark, sf_dir)
+    labels = s.select("row_id", "label")
+    preds = E.long_predictions(s, SCORED_SYSTEMS).drop("label")
+    joined, checked = E.align_predictions(labels, preds)
+    m = joined.groupBy("system").agg(M.mae("label", "prediction").alias("mae"))
+    return rounded(checked.join(m, "system"))
