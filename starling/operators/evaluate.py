@@ -22,16 +22,18 @@ def long_predictions(df: DataFrame, systems: Mapping[str, Column | str], label:
                      row_id: str | None = "row_id") -> DataFrame:
     """Wide (one column per system) -> long ``(system, [row_id,] label, prediction)``.
 
-    Uses ``inline`` over an array of structs: a narrow Generate, no shuffle.
-    Predictions are widened to double so discrete and continuous systems
-    share one column.
+    The system expressions are computed in a projection (codegen, shared
+    subexpressions) and only the resulting columns go through ``inline``, a
+    narrow Generate; no shuffle. Predictions are widened to double so
+    discrete and continuous systems share one column.
     """
-    entries = []
-    for name, expr in systems.items():
-        col = F.col(expr) if isinstance(expr, str) else expr
-        entries.append(F.struct(F.lit(name).alias("system"), col.cast("double").alias("prediction")))
     keep = [row_id] if row_id else []
-    return df.select(*keep, F.col(label).alias("label"), F.inline(F.array(*entries)))
+    cols = {f"_s{i}": (F.col(e) if isinstance(e, str) else e).cast("double")
+            for i, e in enumerate(systems.values())}
+    wide = df.select(*keep, F.col(label).alias("label"), *[c.alias(k) for k, c in cols.items()])
+    entries = [F.struct(F.lit(name).alias("system"), F.col(k).alias("prediction"))
+               for name, k in zip(systems, cols)]
+    return wide.select(*keep, "label", F.inline(F.array(*entries)))
 
 
 def cells(long_df: DataFrame, by: Sequence[str] = ("system",)) -> DataFrame:

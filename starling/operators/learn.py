@@ -16,6 +16,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,6 +33,22 @@ from starling.functions.decode import coral_decode
 from starling.functions.text import truncate_tokens, word_tokens
 
 MAX_LENGTH = 128
+ROWS_PER_TASK = 250_000  # training rows per partition for the L-BFGS passes
+
+
+def sized_for_training(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
+    """Persist the training rows with about ``rows_per_task`` rows per task.
+
+    Every L-BFGS iteration is a few full passes; with small inputs the fixed
+    per-task cost dominates, with large ones the parallelism matters. The row
+    count (one pass) picks the partition count; only a reduction uses
+    ``coalesce`` (no shuffle), growth uses ``repartition``.
+    """
+    n = df.count()
+    want = max(1, math.ceil(n / rows_per_task))
+    have = df.rdd.getNumPartitions()
+    out = df.coalesce(want) if want < have else (df.repartition(want) if want > have else df)
+    return out.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def tokenize(df: DataFrame, text: str = "review", max_length: int | None = MAX_LENGTH,
@@ -64,7 +81,7 @@ def train_ce(train: DataFrame, label: str = "rating", reg_param: float = 0.01, m
     """Multinomial LR on hashed TF-IDF features of the token window."""
     data = tokenize(train).withColumn("class", rating_to_rank(label, domain).cast("double"))
     feats = Pipeline(stages=featurizer(num_features)).fit(data)
-    x = feats.transform(data).select("features", "class").persist(StorageLevel.MEMORY_AND_DISK)
+    x = sized_for_training(feats.transform(data).select("features", "class"))
     lr = LogisticRegression(featuresCol="features", labelCol="class", family="multinomial",
                             regParam=reg_param, maxIter=max_iter, standardization=True, tol=1e-4)
     model = lr.fit(x)
@@ -118,7 +135,7 @@ def train_coral(train: DataFrame, label: str = "rating", reg_param: float = 0.01
                 features_model: PipelineModel | None = None) -> CoralModel:
     data = tokenize(train).withColumn("rank", rating_to_rank(label, domain))
     feats = features_model or Pipeline(stages=featurizer(num_features)).fit(data)
-    rows = coral_rows(feats.transform(data), "rank", len(domain) - 1).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = sized_for_training(coral_rows(feats.transform(data), "rank", len(domain) - 1))
     lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
                             standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-4)
     model = lr.fit(rows)

@@ -158,14 +158,53 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     if n_span > MAX_CELLS + n_buckets * 64:
         raise ValueError("too many cells for the hash strategy; use 'poisson'")
     draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width)
-    hit = draws.join(F.broadcast(spans), "bucket", "inner") \
-               .where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
-    counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
+    if keyed.count() <= MAX_TREE_CELLS:
+        counts = _tree_counts(iv, draws, by, cell_cols)
+    else:
+        hit = draws.join(F.broadcast(spans), "bucket", "inner") \
+                   .where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+        counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
     point = _apply(keyed, list(by), metrics, "n", label, pred)
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
+MAX_TREE_CELLS = 256  # per call; above it draws map to cells by a bucketed join
+
+
+def _search_tree(idx: F.Column, starts: Sequence[int], lo: int, hi: int) -> F.Column:
+    """Index of the interval holding ``idx``: a balanced CASE tree over the
+    sorted interval starts (log2 comparisons per draw, codegen'd)."""
+    if hi - lo == 1:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(idx < F.lit(int(starts[mid])), _search_tree(idx, starts, lo, mid)) \
+        .otherwise(_search_tree(idx, starts, mid, hi))
+
+
+def _tree_counts(iv: DataFrame, draws: DataFrame, by: Sequence[str], cell_cols: Sequence[str]) -> DataFrame:
+    """Draw counts per (group, replicate, cell) without a per-draw join.
+
+    The interval starts (at most ``MAX_TREE_CELLS`` numbers) are fetched once
+    to build the search trees; the draws are counted per (b, gid, cell) with
+    partial aggregation and joined back to the cell values on the tiny table.
+    """
+    order = [*by, *cell_cols]
+    w_cell = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*cell_cols)
+    indexed = iv.withColumn("cell", F.row_number().over(w_cell) - 1)
+    indexed = indexed.withColumn("gid", (F.dense_rank().over(Window.orderBy(*by)) - 1) if by else F.lit(0))
+    rows = indexed.select("gid", "cell", "lo").orderBy("gid", "cell").collect()
+    starts: dict[int, list[int]] = {}
+    for r in rows:
+        starts.setdefault(int(r.gid), []).append(int(r.lo))
+    entries = [F.struct(F.lit(g).alias("gid"), _search_tree(F.col("idx"), st, 0, len(st)).alias("cell"))
+               for g, st in sorted(starts.items())]
+    per = draws.select("b", F.inline(F.array(*entries)))
+    counts = per.groupBy("b", "gid", "cell").agg(F.count(F.lit(1)).alias("w"))
+    values = F.broadcast(indexed.select("gid", "cell", *order))
+    return counts.join(values, ["gid", "cell"], "inner").drop("gid", "cell")
+
+
 def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int) -> DataFrame:
     """(b, idx, bucket) for all B x n draws, generated in parallel by ``range``."""
     ids = spark.range(0, int(n_resamples) * int(n))
