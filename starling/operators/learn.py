@@ -55,9 +55,8 @@ def tokenize(df: DataFrame, text: str = "review", max_length: int | None = MAX_L
              lowercase: bool = True) -> DataFrame:
     """Adds ``tokens`` (model window) and ``n_tokens`` (whole text)."""
     toks = word_tokens(F.lower(F.col(text)) if lowercase else F.col(text))
-    return df.withColumn("_all", toks).select(
-        "*", F.size("_all").alias("n_tokens"), truncate_tokens(F.col("_all"), max_length).alias("tokens")
-    ).drop("_all")
+    return df.withColumn("_all", toks).withColumns(
+        {"n_tokens": F.size("_all"), "tokens": truncate_tokens(F.col("_all"), max_length)}).drop("_all")
 
 
 def featurizer(num_features: int = 1 << 16) -> list:

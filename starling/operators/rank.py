@@ -20,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _B = "_bucket"
 
@@ -76,3 +77,18 @@ def hex_bucket(hex_key: Column, digits: int = 3) -> Column:
 def time_bucket(ts: Column, seconds: int = 3600) -> Column:
     """Bucket of a timestamp by fixed-width intervals."""
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
+
+
+def spread_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
+    """Monotone bucket of a timestamp or number with about ``n_buckets``
+    equal-width buckets over the observed range (min and max enter as scalar
+    subqueries, one small aggregate), so the bucket count does not depend on
+    how dense or sparse the data is in time."""
+    v = F.col(col)
+    num = F.unix_micros(v.cast("timestamp")) if isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType)) \
+        else v.cast("double")
+    stats = df.select(num.cast("double").alias("_v"))
+    lo = stats.select(F.min("_v")).scalar()
+    hi = stats.select(F.max("_v")).scalar()
+    width = F.greatest((hi - lo) / F.lit(float(n_buckets)), F.lit(1.0))
+    return F.least(F.floor((num.cast("double") - lo) / width), F.lit(n_buckets - 1)).cast("bigint")

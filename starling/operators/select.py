@@ -16,13 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from starling.functions import metrics as M
-from starling.operators.rank import bucketed_prior_min, bucketed_row_number, time_bucket
+from starling.operators.rank import bucketed_prior_min, bucketed_row_number, spread_bucket
 
 
 def number_epochs(events: DataFrame, run: str = "run", order: Sequence[str] = ("ts", "event_id"),
                   bucket: Column | None = None, name: str = "epoch") -> DataFrame:
     """Epoch = 1-based position of each evaluation within its run."""
-    b = bucket if bucket is not None else time_bucket(F.col(order[0]).cast("timestamp"), 86400)
+    b = bucket if bucket is not None else spread_bucket(events, order[0])
     return bucketed_row_number(events, [run], [F.col(c) for c in order], b, name=name)
 
 

@@ -30,6 +30,7 @@ from starling.operators import learn as L
 from starling.operators import report as RP
 from starling.operators import resample as RS
 from starling.operators import significance as SG
+from starling.sources import io as IO
 
 CE_SYSTEMS = {
     "CE (argmax)": "argmax",
@@ -43,21 +44,25 @@ CORAL_SYSTEM = "CORAL ordinal regression"
 def evaluate(spark: SparkSession, splits: DataFrame, ce: L.CEModel | None = None,
              coral: L.CoralModel | None = None, n_resamples: int = 1000) -> dict[str, DataFrame]:
     train = splits.where("split = 'train'")
-    test = splits.where("split = 'test'").select(F.col("review"), F.col("rating").alias("label"),
-                                                   F.monotonically_increasing_id().alias("row_id"))
+    test = splits.where("split = 'test'").select(F.col("review"), F.col("rating").alias("label"))
     parts = [E.constant_baselines(train, splits.where("split = 'test'"))]
-    scored = None
+    # one scoring pass: both models add their columns to the same rows, so the
+    # paired comparison needs no row key and no join
+    scored = test
+    if ce is not None:
+        scored = ce.probabilities(scored)
+    if coral is not None:
+        scored = coral.ranks(scored)
+    scored = scored.drop("review").persist()
     if ce is not None:
-        scored = ce.probabilities(test).persist()
         systems = {name: D.DECODERS[key]("probabilities") for name, key in CE_SYSTEMS.items()}
-        parts.append(E.cells(E.long_predictions(scored, systems)))
+        parts.append(E.cells(E.long_predictions(scored, systems, row_id=None)))
     paired = None
     if coral is not None:
-        ranks = coral.ranks(test).select("row_id", "label", F.col("coral_rating").cast("double").alias("prediction"))
-        parts.append(E.cells(ranks.withColumn("system", F.lit(CORAL_SYSTEM))))
-        if scored is not None:
-            a = scored.select("row_id", D.decode_argmax("probabilities").cast("double").alias("pred_a"))
-            paired = ranks.join(a, "row_id").groupBy("label", "pred_a", F.col("prediction").alias("pred_b")) \
+        parts.append(E.cells(E.long_predictions(scored, {CORAL_SYSTEM: "coral_rating"}, row_id=None)))
+        if ce is not None:
+            paired = scored.groupBy("label", D.decode_argmax("probabilities").cast("double").alias("pred_a"),
+                                    F.col("coral_rating").cast("double").alias("pred_b")) \
                 .agg(F.count(F.lit(1)).alias("n"))
     cells = parts[0]
     for p in parts[1:]:
@@ -88,7 +93,6 @@ def main(argv=None) -> None:
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = SparkSession.builder.getOrCreate()
-    from starling.sources import io as IO
     splits = IO.read_splits(spark, a.splits)
     ce = L.CEModel(PipelineModel.load(a.ce_model)) if a.ce_model else None
     coral = None

@@ -87,8 +87,11 @@ def q_score_probabilities(spark, sf_dir):
 # ------------------------------------------------------------------ L5
 @query("score_ranks")
 def q_score_ranks(spark, sf_dir):
+    """CE argmax rating and CORAL rank/rating for every held-out row, both
+    models applied in one pass over the same rows (no key, no join)."""
     sp = _splits(spark, sf_dir)
     train, rest = sp.where("split = 'train'"), sp.where("split <> 'train'").select("row_id", "split", "review")
-    ce = L.train_ce(train).probabilities(rest).select("row_id", D.decode_argmax("probabilities").alias("ce_rating"))
-    coral = L.train_coral(train).ranks(rest).select("row_id", "split", "rank", "coral_rating")
-    return coral.join(ce, "row_id", "inner")
+    ce, coral = L.train_ce(train), L.train_coral(train)
+    both = coral.ranks(ce.probabilities(rest))
+    return both.select("row_id", "split", "rank", "coral_rating",
+                       D.decode_argmax("probabilities").alias("ce_rating"))
