@@ -63,8 +63,8 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitioned by the order key, so it reuses the join's shuffle.
     """
     li = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_tax")
+        "l_orderkey", "l_partkey", "l_suppkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     orders = (table(spark, sf_dir, "orders")
               .select(F.col("o_orderkey"), _label_of_priority().alias("label"))
               .where(F.col("label") != 3))

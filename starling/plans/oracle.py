@@ -29,7 +29,7 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                'source_file' AS target_origin
         FROM documents"""),
     "scored": ((), f"""
-        SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, l.l_linenumber, l.l_quantity,
+        SELECT l.l_orderkey, l.l_partkey, l.l_suppkey, CAST(l.l_linenumber AS BIGINT) AS l_linenumber, l.l_quantity,
                l.l_extendedprice, l.l_discount, l.l_tax, o.label,
                CAST(CASE WHEN l.l_quantity > 25 THEN o.label ELSE {rating_case('l.l_partkey % 4')} END AS BIGINT) AS pred_a,
                CAST(CASE WHEN l.l_quantity > 40 THEN o.label ELSE {rating_case('l.l_suppkey % 4')} END AS BIGINT) AS pred_b,
