@@ -30,6 +30,7 @@ from starling.operators import learn as L
 from starling.operators import report as RP
 from starling.operators import resample as RS
 from starling.operators import significance as SG
+from starling.session import apply_cluster_defaults
 from starling.sources import io as IO
 
 CE_SYSTEMS = {
@@ -92,7 +93,7 @@ def main(argv=None) -> None:
     ap.add_argument("--coral", help="folder with features/ and binary/ from the training plan")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
     splits = IO.read_splits(spark, a.splits)
     ce = L.CEModel(PipelineModel.load(a.ce_model)) if a.ce_model else None
     coral = None

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from starling.domain import SEED, TARGET_ORIGIN
 from starling.operators import clean as C
 from starling.operators import split as S
+from starling.session import apply_cluster_defaults
 from starling.sources import io as IO
 
 
@@ -66,7 +67,7 @@ def main(argv=None) -> None:
     ap.add_argument("--manifest", help="source manifest JSON written by starling")
     ap.add_argument("--seed", type=int, default=SEED)
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
     raw = IO.read_tsv(spark, a.source)
     man = IO.read_json(spark, a.manifest, IO.SOURCE_MANIFEST_SCHEMA) if a.manifest else None
     print(json.dumps(prepare(spark, raw, a.out, a.expected_rows, man, a.seed), default=str, indent=2))

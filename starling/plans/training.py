@@ -21,6 +21,7 @@ from starling.functions import decode as D
 from starling.operators import evaluate as E
 from starling.operators import learn as L
 from starling.operators import select as SL
+from starling.session import apply_cluster_defaults
 from starling.sources import io as IO
 
 DEFAULT_CANDIDATES = (10, 20, 30)
@@ -64,7 +65,7 @@ def main(argv=None) -> None:
     ap.add_argument("--kind", choices=("ce", "coral"), default="ce")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.getOrCreate()
+    spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
     model, history, board = train(spark, IO.read_splits(spark, a.splits), a.kind)
     if a.kind == "ce":
         model.pipeline.write().overwrite().save(f"{a.out}/model")

@@ -26,6 +26,31 @@ _LOCAL_DEFAULTS = {
 }
 
 
+# Settings for large inputs (100 TB class). Shuffle partitions is an upper
+# bound that AQE coalesces to ~advisory size; skew join splits hot partitions;
+# file splits of 256 MB keep scan tasks at a few million rows.
+CLUSTER_DEFAULTS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.shuffle.partitions": "4000",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
+def apply_cluster_defaults(spark: SparkSession) -> SparkSession:
+    """Set the defaults above only where the cluster's own configuration is silent."""
+    given = spark.sparkContext.getConf()
+    for key, value in CLUSTER_DEFAULTS.items():
+        if not given.contains(key):
+            spark.conf.set(key, value)
+    shared_root(spark)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "starling", **conf) -> SparkSession:
     """A local session with settings sized for one machine (tests, bench)."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
