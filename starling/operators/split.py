@@ -59,9 +59,21 @@ def order_key(text: str = "review", seed: int = SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(text)))
 
 
+ROWS_PER_BUCKET = 2_000_000
+
+
+def _digits_for(largest_class: int) -> int:
+    """Hex digits of the order-key bucket: 16**d buckets keep a bucket near
+    ``ROWS_PER_BUCKET`` rows for the largest class (3 to 4 digits)."""
+    d = 3
+    while d < 4 and largest_class > ROWS_PER_BUCKET * 16 ** d:
+        d += 1
+    return d
+
+
 def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
                      seed: int = SEED, test_size: float = 0.20,
-                     test_share_of_holdout: float = 0.50, bucket_digits: int = 3) -> DataFrame:
+                     test_share_of_holdout: float = 0.50, bucket_digits: int | None = None) -> DataFrame:
     """Add a ``split`` column with exact per-class sizes (see module doc).
 
     Plan: one partial aggregation for class counts, a K-row allocation table
@@ -69,6 +81,8 @@ def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
     of K x 16**bucket_digits rows, broadcast), and a narrow CASE.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    if bucket_digits is None:  # K-row aggregate: one scalar fetched
+        bucket_digits = _digits_for(int(counts.select(F.coalesce(F.max("n"), F.lit(0))).first()[0]))
     alloc = split_allocation(counts, label, "n", test_size, test_share_of_holdout)
     keyed = df.withColumn("_key", order_key(text, seed))
     ranked = bucketed_row_number(keyed, [label], [F.col("_key"), F.col(text)],
