@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from starling.domain import VALID_RATINGS, rank_to_rating, rating_to_rank
 from starling.functions.decode import coral_decode
-from starling.functions.text import truncate_tokens, word_tokens
+from starling.functions.text import truncate_tokens, word_tokens  # noqa: F401  (re-exported)
 
 MAX_LENGTH = 128
 ROWS_PER_TASK = 250_000  # training rows per partition for the L-BFGS passes

@@ -27,15 +27,17 @@ WORDS = r"[\pL\pN_]+"
 @query("tokenize_truncate", sql=with_views() + f"""
 SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(len(regexp_extract_all(text, '{WORDS}')) AS BIGINT) AS n_tokens,
        CAST(len(regexp_extract_all(text, '{WORDS}')[1:{L.MAX_LENGTH}]) AS BIGINT) AS n_kept,
-       md5(array_to_string(regexp_extract_all(text, '{WORDS}')[1:{L.MAX_LENGTH}], ' ')) AS digest
+       md5(array_to_string(regexp_extract_all(text, '{WORDS}')[1:{L.MAX_LENGTH}], ' ')) AS digest,
+       md5(array_to_string(regexp_extract_all(text, '{WORDS}'), ' ')) AS digest_all
 FROM documents""")
 def q_tokenize_truncate(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                                    F.col("text").alias("review"))
-    t = L.tokenize(d, lowercase=False)
+    t = L.tokenize(d, lowercase=False).withColumn("_all", L.word_tokens(F.col("review")))
     return t.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.size("tokens").cast("bigint").alias("n_kept"),
-                    F.md5(F.array_join("tokens", " ")).alias("digest"))
+                    F.md5(F.array_join("tokens", " ")).alias("digest"),
+                    F.md5(F.array_join("_all", " ")).alias("digest_all"))
 
 
 def _splits(spark, sf_dir):
@@ -95,3 +97,23 @@ def q_score_ranks(spark, sf_dir):
     both = coral.ranks(ce.probabilities(rest))
     return both.select("row_id", "split", "rank", "coral_rating",
                        D.decode_argmax("probabilities").alias("ce_rating"))
+
+
+# ------------------------------------------------------------------ L4 at corpus scale
+def corpus_scores(model, spark, sf_dir):
+    """Every document of the corpus scored by a trained CE model: rating
+    (argmax), confidence and the four class probabilities."""
+    docs = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                                                      F.col("text").alias("review"))
+    p = model.probabilities(docs)
+    rating = D.decode_argmax("probabilities")
+    return p.select("doc_id", rating.alias("rating"),
+                    F.element_at(D.probability_map("probabilities"), rating).alias("confidence"),
+                    *[F.col("probabilities").getItem(i).alias(f"p{i + 1}") for i in range(4)])
+
+
+@query("score_documents")
+def q_score_documents(spark, sf_dir):
+    """Train on the labelled split, batch-score the whole documents table."""
+    model = L.train_ce(_splits(spark, sf_dir).where("split = 'train'"))
+    return rounded(corpus_scores(model, spark, sf_dir))
