@@ -31,6 +31,20 @@ def _offsets(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.select(*by, _B, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_offset"))
 
 
+def offsets_from_counts(counts: DataFrame, by: Sequence[str], count_col: str = "_cnt") -> DataFrame:
+    """Rows before each (group, bucket): prefix sums over a (by.., _bucket, count) table."""
+    w = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(*by, _B, F.coalesce(F.sum(count_col).over(w), F.lit(0)).alias("_offset"))
+
+
+def rank_with_offsets(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
+                      offsets: DataFrame, name: str = "rn") -> DataFrame:
+    """Exact row_number given ``df`` with a ``_bucket`` column and its offsets."""
+    joined = df.join(offsets, [*by, _B], "inner")
+    w = Window.partitionBy(*by, _B).orderBy(*order)
+    return joined.withColumn(name, F.row_number().over(w) + F.col("_offset")).drop(_B, "_offset")
+
+
 def bucketed_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                         bucket: Column, name: str = "rn", small_groups: bool = False) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` ordered by ``order``.

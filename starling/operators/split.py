@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starling.domain import SEED
-from starling.operators.rank import bucketed_row_number, hex_bucket
+from starling.operators.rank import hex_bucket, offsets_from_counts, rank_with_offsets
+from starling.session import shared_root
 
 SPLITS = ("train", "validation", "test")
 
@@ -59,35 +60,30 @@ def order_key(text: str = "review", seed: int = SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(text)))
 
 
-ROWS_PER_BUCKET = 2_000_000
-
-
-def _digits_for(largest_class: int) -> int:
-    """Hex digits of the order-key bucket: 16**d buckets keep a bucket near
-    ``ROWS_PER_BUCKET`` rows for the largest class (3 to 4 digits)."""
-    d = 3
-    while d < 4 and largest_class > ROWS_PER_BUCKET * 16 ** d:
-        d += 1
-    return d
-
-
 def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
                      seed: int = SEED, test_size: float = 0.20,
-                     test_share_of_holdout: float = 0.50, bucket_digits: int | None = None) -> DataFrame:
+                     test_share_of_holdout: float = 0.50, bucket_digits: int = 4,
+                     materialize: bool = True) -> DataFrame:
     """Add a ``split`` column with exact per-class sizes (see module doc).
 
-    Plan: one partial aggregation for class counts, a K-row allocation table
-    (broadcast: K is bounded by the domain), the bucketed rank (offset table
-    of K x 16**bucket_digits rows, broadcast), and a narrow CASE.
+    Plan: the input is checkpointed once to the shared checkpoint folder
+    (``materialize``; it is read twice, and this also cuts the lineage), one
+    partial aggregation counts rows per (class, key bucket); class counts,
+    the K-row allocation and the bucket offsets (at most K x 16**digits rows,
+    broadcast) all derive from that small table; then one shuffle by
+    (class, bucket) ranks rows inside buckets and a narrow CASE assigns the
+    split.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    if bucket_digits is None:  # K-row aggregate: one scalar fetched
-        bucket_digits = _digits_for(int(counts.select(F.coalesce(F.max("n"), F.lit(0))).first()[0]))
+    if materialize:
+        shared_root(df.sparkSession)
+        df = df.checkpoint(eager=True)
+    keyed = df.withColumn("_key", order_key(text, seed)).withColumn(
+        "_bucket", hex_bucket(F.col("_key"), bucket_digits))
+    per_bucket = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
+    counts = per_bucket.groupBy(label).agg(F.sum("_cnt").alias("n"))
     alloc = split_allocation(counts, label, "n", test_size, test_share_of_holdout)
-    keyed = df.withColumn("_key", order_key(text, seed))
-    ranked = bucketed_row_number(keyed, [label], [F.col("_key"), F.col(text)],
-                                 hex_bucket(F.col("_key"), bucket_digits), name="_rn",
-                                 small_groups=True)
+    offsets = F.broadcast(offsets_from_counts(per_bucket, [label]))
+    ranked = rank_with_offsets(keyed, [label], [F.col("_key"), F.col(text)], offsets, name="_rn")
     j = ranked.join(F.broadcast(alloc.select(label, "n_test", "n_holdout")), label, "inner")
     split = (F.when(F.col("_rn") <= F.col("n_test"), F.lit("test"))
              .when(F.col("_rn") <= F.col("n_holdout"), F.lit("validation"))
