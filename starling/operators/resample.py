@@ -84,7 +84,7 @@ def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resampl
     shipped to the replicate tasks.
     """
     spark = cells.sparkSession
-    keyed = cells.select(*by, *cell_cols, "n")
+    keyed = cells.select(*by, *cell_cols, "n").persist()  # tiny; read by several actions
     n_cells = keyed.count()
     if n_cells > MAX_CELLS:
         raise ValueError(f"{n_cells} cells: use strategy='poisson' for near-continuous predictions")
@@ -142,7 +142,9 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
                    pred: str = "prediction", n_buckets: int = 4096) -> DataFrame:
     """Hash-drawn row resampling; every group must have the same row count n
     (systems scored on one test table). Draws are shared by all groups."""
-    keyed = cells.select(*by, *cell_cols, "n")
+    # the cell table is tiny; persist it so the few small actions below do not
+    # each re-read and re-aggregate the source rows
+    keyed = cells.select(*by, *cell_cols, "n").persist()
     totals = keyed.groupBy(*by).agg(F.sum("n").alias("t")).select("t").distinct().collect()
     if len(totals) != 1:
         raise ValueError("hash bootstrap needs the same row count in every group")

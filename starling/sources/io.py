@@ -75,26 +75,32 @@ def row_digest(cols: Sequence[Column | str]) -> Column:
     return F.sha2(F.concat_ws(chr(31), *parts), 256)
 
 
-def table_fingerprint(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def _fingerprint_aggs(h: Column) -> list[Column]:
+    return [
+        F.count(F.lit(1)).alias("n_rows"),
+        F.coalesce(F.sum(F.conv(F.substring(h, 1, 15), 16, 10).cast("decimal(20,0)")),
+                   F.lit(0).cast("decimal(20,0)")).cast("string").alias("hash_sum"),
+        F.coalesce(F.bit_xor(F.conv(F.substring(h, 16, 15), 16, 10).cast("bigint")),
+                   F.lit(0).cast("bigint")).alias("hash_xor"),
+    ]
+
+
+def _fingerprint_col() -> Column:
+    return F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), "hash_sum",
+                              F.col("hash_xor").cast("string")), 256)
+
+
+def table_fingerprint(df: DataFrame, cols: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
     """Order-free content fingerprint of a table, in one aggregate pass.
 
     Per row SHA-256 over the unit-separator-joined columns; combined by row
     count, an exact decimal sum of the leading 60 bits and a XOR of the next
     60 bits. Neither combination depends on row order or partitioning, and
-    the decimal sum cannot overflow.
+    the decimal sum cannot overflow. ``extra`` aggregates ride the same pass.
     """
-    h = row_digest(cols)
-    d = df.select(h.alias("_h"))
-    out = d.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.coalesce(F.sum(F.conv(F.substring("_h", 1, 15), 16, 10).cast("decimal(20,0)")),
-                   F.lit(0).cast("decimal(20,0)")).cast("string").alias("hash_sum"),
-        F.coalesce(F.bit_xor(F.conv(F.substring("_h", 16, 15), 16, 10).cast("bigint")),
-                   F.lit(0).cast("bigint")).alias("hash_xor"),
-    )
-    fp = F.sha2(F.concat_ws(":", F.col("n_rows").cast("string"), "hash_sum",
-                            F.col("hash_xor").cast("string")), 256)
-    return out.select("*", fp.alias("fingerprint"))
+    d = df.select(row_digest(cols).alias("_h"), *[c for c in df.columns if c not in ("_h",)])
+    out = d.agg(*_fingerprint_aggs(F.col("_h")), *extra)
+    return out.select("*", _fingerprint_col().alias("fingerprint"))
 
 
 # ------------------------------------------------------------------ S4 / S6 manifests
@@ -110,18 +116,17 @@ SOURCE_MANIFEST_SCHEMA = T.StructType([
 
 def source_manifest(df: DataFrame, source_name: str, cols: Sequence[str] = ("rating", "review"),
                     label: str = "rating", domain: Sequence[int] = VALID_RATINGS) -> DataFrame:
-    """One-row manifest: fingerprint, row count, ratings present, origin, time."""
-    fp = table_fingerprint(df, cols)
-    present = df.agg(*[F.max(F.when(F.col(label) == v, F.lit(1)).otherwise(F.lit(0))).alias(f"_p{v}")
-                       for v in domain])
+    """One-row manifest: fingerprint, row count, ratings present, origin, time
+    (one aggregate pass over the source)."""
+    flags = [F.max(F.when(F.col(label) == v, F.lit(1)).otherwise(F.lit(0))).alias(f"_p{v}") for v in domain]
+    fp = table_fingerprint(df, cols, extra=flags)
     ratings = F.filter(F.array(*[F.when(F.col(f"_p{v}") == 1, F.lit(v).cast("bigint")) for v in domain]),
                        lambda x: x.isNotNull())
-    present = present.select(ratings).scalar()  # scalar subquery, not a join
     return fp.select(
         F.lit(source_name).alias("source_name"),
         F.col("fingerprint").alias("sha256"),
         F.col("n_rows").alias("expected_rows"),
-        present.alias("ratings_present"),
+        ratings.alias("ratings_present"),
         F.lit(TARGET_ORIGIN).alias("target_origin"),
         F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at_utc"),
     )
