@@ -78,13 +78,16 @@ class CEModel:
 def train_ce(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
              domain: Sequence[int] = VALID_RATINGS, num_features: int = 1 << 16) -> CEModel:
     """Multinomial LR on hashed TF-IDF features of the token window."""
-    data = tokenize(train).withColumn("class", rating_to_rank(label, domain).cast("double"))
+    # tokenise the whole texts once: only the model window and the label are kept
+    data = tokenize(train).select("tokens", rating_to_rank(label, domain).cast("double").alias("class")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     feats = Pipeline(stages=featurizer(num_features)).fit(data)
     x = sized_for_training(feats.transform(data).select("features", "class"))
     lr = LogisticRegression(featuresCol="features", labelCol="class", family="multinomial",
                             regParam=reg_param, maxIter=max_iter, standardization=True, tol=1e-4)
     model = lr.fit(x)
     x.unpersist()
+    data.unpersist()
     return CEModel(PipelineModel(stages=[*feats.stages, model]))
 
 
@@ -132,13 +135,15 @@ def coral_rows(df: DataFrame, rank: str = "rank", n_thresholds: int = len(VALID_
 def train_coral(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
                 domain: Sequence[int] = VALID_RATINGS, num_features: int = 1 << 16,
                 features_model: PipelineModel | None = None) -> CoralModel:
-    data = tokenize(train).withColumn("rank", rating_to_rank(label, domain))
+    data = tokenize(train).select("tokens", rating_to_rank(label, domain).alias("rank")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     feats = features_model or Pipeline(stages=featurizer(num_features)).fit(data)
     rows = sized_for_training(coral_rows(feats.transform(data), "rank", len(domain) - 1))
     lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
                             standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-4)
     model = lr.fit(rows)
     rows.unpersist()
+    data.unpersist()
     return CoralModel(feats, model, len(domain) - 1)
 
 
