@@ -101,8 +101,8 @@ def spread_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
     v = F.col(col)
     num = F.unix_micros(v.cast("timestamp")) if isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType)) \
         else v.cast("double")
-    stats = df.select(num.cast("double").alias("_v"))
-    lo = stats.select(F.min("_v")).scalar()
-    hi = stats.select(F.max("_v")).scalar()
+    rng = df.select(num.cast("double").alias("_v")).select(
+        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()  # one subquery
+    lo, hi = rng.getField("lo"), rng.getField("hi")
     width = F.greatest((hi - lo) / F.lit(float(n_buckets)), F.lit(1.0))
     return F.least(F.floor((num.cast("double") - lo) / width), F.lit(n_buckets - 1)).cast("bigint")
