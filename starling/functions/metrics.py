@@ -126,3 +126,31 @@ def rating_metrics(y="label", p="prediction", w=None, with_qwk: bool = False,
     if with_qwk:
         cols.append(qwk(y, p, w).alias("qwk"))
     return cols
+
+
+def qwk_observed(df, y: str = "label", p: str = "prediction", w: str | None = None,
+                 domain: Sequence[int] = VALID_RATINGS):
+    """QWK with weights from the positions of the *observed* ranks only (a
+    rank absent from both sides compresses the scale), as a library kappa
+    that builds its label list from the data does. One-row DataFrame.
+
+    Which ranks occur is one small aggregate (K flags) entering as a scalar
+    subquery; each rank is then replaced by its position among observed ranks.
+    """
+    i = rating_to_rank(_c(y), domain)
+    j = rating_to_rank(nearest_rating(_c(p), domain), domain)
+    seen = df.select(F.struct(*[F.max(F.when((i == k) | (j == k), F.lit(1)).otherwise(F.lit(0))).alias(f"k{k}")
+                                for k in range(len(domain))])).scalar()
+
+    def position(r):
+        pos = F.lit(0)
+        for k in range(len(domain)):
+            pos = pos + F.when(F.lit(k) < r, seen.getField(f"k{k}")).otherwise(F.lit(0))
+        return pos
+
+    ranked = df.select(position(i).cast("double").alias("_i"), position(j).cast("double").alias("_j"),
+                       _w(w).cast("double").alias("_w"))
+    wi, ii, jj = F.col("_w"), F.col("_i"), F.col("_j")
+    parts = [F.sum(wi), F.sum(wi * (ii - jj) * (ii - jj)), F.sum(wi * ii), F.sum(wi * jj),
+             F.sum(wi * ii * ii), F.sum(wi * jj * jj)]
+    return ranked.agg(qwk_from_parts(*parts).alias("qwk"))

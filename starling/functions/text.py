@@ -11,6 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import lru_cache
 
+import pandas as pd
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +85,18 @@ def truncate_tokens(tokens: Column, max_length: int | None) -> Column:
     if max_length is None:
         return tokens
     return F.slice(tokens, 1, int(max_length))
+
+
+def batch_tokenizer(tokenize_batch, max_length: int | None = None):
+    """Wrap a Python batch tokenizer ``list[str] -> list[list[str]]`` (for
+    example a subword tokenizer loaded once per worker) as an Arrow-batched
+    pandas UDF returning ``array<string>``. Use only where the regex tokens
+    of ``word_tokens`` are not enough: this is the Python path."""
+    @F.pandas_udf("array<string>")
+    def _tok(texts: pd.Series) -> pd.Series:
+        out = tokenize_batch(texts.fillna("").tolist())
+        if max_length is not None:
+            out = [t[:max_length] for t in out]
+        return pd.Series(out)
+
+    return _tok

@@ -155,3 +155,14 @@ def fit_coral_features(x: DataFrame, rank: str = "rank", n_thresholds: int = 3,
                             standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-10)
     c = lr.fit(rows).coefficients.toArray()
     return [float(v) for v in c[:-n_thresholds]], [float(v) for v in c[-n_thresholds:]]
+
+
+def foreign_scorer(make_predict_fn, n_classes: int = len(VALID_RATINGS), batch_size: int = 128):
+    """A model outside Spark ML as a batch function: ``make_predict_fn()`` is
+    called once per Python worker and returns ``f(ndarray[str]) -> ndarray
+    (batch, n_classes)`` of class probabilities in domain order. Rows reach it
+    in Arrow batches of ``batch_size`` (``predict_batch_udf``)."""
+    from pyspark.ml.functions import predict_batch_udf
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    return predict_batch_udf(make_predict_fn, return_type=ArrayType(DoubleType()), batch_size=batch_size)
