@@ -121,7 +121,10 @@ def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resampl
 
     schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("gid", T.LongType()),
                            T.StructField("cell", T.LongType()), T.StructField("w", T.LongType())])
-    nparts = partitions or max(1, min(spark.sparkContext.defaultParallelism, int(n_resamples)))
+    # one Python worker per ~2M drawn cells: tiny boards stay in one task
+    work = int(n_resamples) * max(1, int(n_cells))
+    nparts = partitions or max(1, min(spark.sparkContext.defaultParallelism, int(n_resamples),
+                                      math.ceil(work / 2_000_000)))
     draws = spark.range(0, int(n_resamples), numPartitions=nparts).mapInPandas(draw, schema)
     rows = draws.join(F.broadcast(indexed.select("gid", "cell", *by, *cell_cols)), ["gid", "cell"], "inner")
     reps = _apply(rows, [*by, "b"], metrics, "w", label, pred)
