@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from starling.functions import decode as D
-from starling.functions import metrics as M
 from starling.operators import clean as C
 from starling.operators import evaluate as E
 from starling.operators import learn as L

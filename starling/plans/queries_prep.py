@@ -9,7 +9,6 @@ from starling.functions.text import PANDAS_NA_TOKENS, unicode_trim
 from starling.operators import clean as C
 from starling.operators import evaluate as E
 from starling.operators import split as S
-from starling.operators.rank import bucketed_row_number, time_bucket
 from starling.plans import fixtures as X
 from starling.plans.catalog import query, r, rounded
 from starling.plans.oracle import add_view, sql_trim, with_views

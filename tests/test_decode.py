@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from starling.domain import rank_to_rating, rating_to_rank
 from starling.functions import decode as D

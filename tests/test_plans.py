@@ -5,7 +5,6 @@ from starling.plans import fixtures as X
 from starling.session import scratch_path
 from starling.sources import io as IO
 
-from conftest import SF
 
 
 def test_prepare_train_evaluate_end_to_end(spark):

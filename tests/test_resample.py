@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starling.functions import metrics as M
 from starling.operators import evaluate as E
 from starling.operators import resample as RS
 from starling.operators import significance as SG

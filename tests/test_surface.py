@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from starling.functions import metrics as M
 from starling.functions.text import batch_tokenizer
