@@ -39,8 +39,11 @@ def main() -> None:
 
     spark = local_session(cpus, app="starling-bench")
     queries = registry.queries()
-    # warm-up: JVM start, first scan, codegen caches
+    # warm-up (one-time costs, paid once per executor on a cluster too): JVM
+    # start, first scan, codegen caches, and the reusable Python workers
     queries["rating_metrics"](spark, sf_dir).write.format("noop").mode("overwrite").save()
+    spark.range(0, 64, numPartitions=int(cpus) if str(cpus).isdigit() else 8) \
+        .mapInPandas(lambda it: it, "id long").write.format("noop").mode("overwrite").save()
     times = {}
     for bench_name, qname in HEADLINE:
         t0 = time.time()
