@@ -200,6 +200,25 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
+TRAINER_STATE_SCHEMA = T.StructType([
+    T.StructField("log_history", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))),
+    T.StructField("best_metric", T.DoubleType()),
+    T.StructField("best_model_checkpoint", T.StringType()),
+    T.StructField("global_step", T.LongType()),
+])
+
+
+def read_trainer_states(spark: SparkSession, results_dir: str, run: str | None = None) -> DataFrame:
+    """Read ``<results_dir>/checkpoint-<step>/trainer_state.json`` files (one
+    multi-line JSON document each) into the log schema; the checkpoint name is
+    taken from the file path. Each file is read by one task."""
+    df = (spark.read.schema(TRAINER_STATE_SCHEMA).option("multiLine", True)
+          .json(f"{results_dir.rstrip('/')}/checkpoint-*/trainer_state.json"))
+    ckpt = F.regexp_extract(F.col("_metadata.file_path"), r"/(checkpoint-\d+)/[^/]+$", 1)
+    return df.select(F.lit(run or results_dir.rstrip("/").split("/")[-1]).alias("run"), ckpt.alias("checkpoint"),
+                     "log_history", "best_metric", "best_model_checkpoint")
+
+
 def validation_history(logs: DataFrame) -> DataFrame:
     """Explode ``log_history``; keep entries that have ``eval_mae``; keep only
     the keys ``eval_*`` and ``epoch``."""

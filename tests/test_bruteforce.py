@@ -56,3 +56,24 @@ def test_tsv_roundtrip_keeps_awkward_text(spark):
     texts = sorted((r for r in back.values()), key=lambda x: (x is None, x or ""))
     assert ' lead and trail  ' in texts and 'tab\tinside' in texts and 'line\nbreak "quoted"' in texts
     assert texts.count(None) == 2  # 'NA' and '' are pandas missing-value tokens
+
+
+def test_trainer_state_files(spark):
+    import json
+    import tempfile
+    from pyspark.sql import functions as G
+    root = tempfile.mkdtemp(prefix="results-")
+    states = {900: [{"loss": 0.9, "epoch": 1.0}, {"eval_mae": 0.39, "eval_loss": 0.69, "epoch": 1.0, "step": 900}],
+              1000: [{"loss": 0.9, "epoch": 1.0}, {"eval_mae": 0.39, "eval_loss": 0.69, "epoch": 1.0, "step": 900},
+                     {"eval_mae": 0.38, "eval_rmse": 0.84, "epoch": 2.0, "step": 1000}]}
+    for step, hist in states.items():
+        os.makedirs(f"{root}/checkpoint-{step}")
+        with open(f"{root}/checkpoint-{step}/trainer_state.json", "w") as f:
+            json.dump({"log_history": hist, "best_metric": 0.38, "global_step": step,
+                       "best_model_checkpoint": f"{root}/checkpoint-1000"}, f, indent=2)
+    logs = IO.read_trainer_states(spark, root, run="ce")
+    latest = IO.latest_checkpoint(logs).first()
+    assert latest.latest_checkpoint == "checkpoint-1000" and latest.n_checkpoints == 2
+    newest = logs.where(G.col("checkpoint") == latest.latest_checkpoint)
+    hist = sorted((r.metrics["epoch"], sorted(r.metrics)) for r in IO.validation_history(newest).collect())
+    assert hist == [(1.0, ["epoch", "eval_loss", "eval_mae"]), (2.0, ["epoch", "eval_mae", "eval_rmse"])]
