@@ -103,7 +103,32 @@ def main(argv=None) -> None:
     results = evaluate(spark, splits, ce, coral)
     for name, df in results.items():
         df.coalesce(1).write.mode("overwrite").json(f"{a.out}/{name}")
-    print(json.dumps({k: [r.asDict() for r in v.collect()] for k, v in results.items()}, default=str, indent=2))
+    payload = results_document(results)
+    # one small document (bounded by systems x metrics), written through Spark
+    spark.createDataFrame([(json.dumps(payload, default=str),)], "value string") \
+        .coalesce(1).write.mode("overwrite").text(f"{a.out}/results")
+    print(json.dumps(payload, default=str, indent=2))
+
+
+def results_document(results: dict[str, DataFrame]) -> dict:
+    """The auditable results record: per system its metrics with 95% CIs,
+    per-class and confusion lines, and the paired comparison when present.
+    Every input is already a tiny table (systems x metrics, K lines)."""
+    doc = {"ratings": list(VALID_RATINGS), "test_results": {}}
+    for r in results["board"].collect():
+        doc["test_results"][r.system] = {k: v for k, v in r.asDict().items() if k != "system"}
+    for r in results["ci"].collect():
+        doc["test_results"][r.system][f"{r.metric}_ci95"] = {
+            "point": r.point, "ci_low": r.ci_low, "ci_high": r.ci_high, "n_resamples": r.n_resamples}
+    for key in ("per_class_report", "confusion_report"):
+        lines: dict[str, list] = {}
+        for r in results[key].orderBy("system", "line_no").collect():
+            lines.setdefault(r.system, []).append(r.line)
+        doc[key] = {k: "\n".join(v) for k, v in lines.items()}
+    for key in ("ce_vs_coral_mae_delta", "ce_vs_coral_mcnemar"):
+        if key in results:
+            doc[key] = results[key].first().asDict()
+    return doc
 
 
 if __name__ == "__main__":

@@ -59,14 +59,38 @@ def train(spark: SparkSession, splits: DataFrame, kind: str = "ce",
     return best, history, E.board(test_cells)
 
 
+SMOKE_ROWS = {"train": 2000, "validation": 500, "test": 500}
+
+
+def smoke_slice(splits: DataFrame, seed: int = 42) -> DataFrame:
+    """Seeded exact-n sample of each split (min(n, rows)), for a quick run."""
+    from starling.operators.clean import sample_n
+    keyed = splits.withColumn("row_id", F.md5("review"))
+    parts = [sample_n(keyed.where(F.col("split") == s), n, seed) for s, n in SMOKE_ROWS.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.drop("row_id")
+
+
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--splits", required=True)
     ap.add_argument("--kind", choices=("ce", "coral"), default="ce")
     ap.add_argument("--out", required=True)
+    ap.add_argument("--baselines-only", action="store_true",
+                    help="print the constant baselines on the test split and stop")
+    ap.add_argument("--smoke-test", action="store_true", help="train on a small seeded slice")
     a = ap.parse_args(argv)
     spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
-    model, history, board = train(spark, IO.read_splits(spark, a.splits), a.kind)
+    splits = IO.read_splits(spark, a.splits)
+    if a.baselines_only:
+        board = E.board(E.constant_baselines(splits.where("split = 'train'"), splits.where("split = 'test'")))
+        print(json.dumps([r.asDict() for r in board.collect()], indent=2))
+        return
+    if a.smoke_test:
+        splits = smoke_slice(splits)
+    model, history, board = train(spark, splits, a.kind, candidates=(5,) if a.smoke_test else DEFAULT_CANDIDATES)
     if a.kind == "ce":
         model.pipeline.write().overwrite().save(f"{a.out}/model")
     else:

@@ -26,3 +26,12 @@ def test_prepare_train_evaluate_end_to_end(spark):
     assert "CE (median)" in systems and evaluation.CORAL_SYSTEM in systems
     assert results["ce_vs_coral_mcnemar"].count() == 1
     assert results["ci"].where(F.col("ci_low") > F.col("ci_high")).count() == 0
+
+
+def test_smoke_slice_sizes(spark):
+    from starling.operators import clean as C
+    from starling.operators import split as S
+    sp = S.stratified_split(C.clean_reviews(X.reviews(spark, "/root/testdata/sf0.01")))
+    got = {r.split: r.n for r in training.smoke_slice(sp).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    full = {r.split: r.n for r in sp.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert got == {s: min(n, full[s]) for s, n in training.SMOKE_ROWS.items()}
