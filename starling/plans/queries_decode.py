@@ -203,10 +203,10 @@ SELECT model_id, {r('b1')} AS b1, {r('b2')} AS b2, {r('b3')} AS b3, n_rows, n_ro
 FROM models""")
 def q_bias_audit(spark, sf_dir):
     """Models = one fitted bias vector per embedding label (mean logits of its rows)."""
-    lg = X.logits(spark, sf_dir)
-    e = X.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("bigint").alias("vec_id"),
-                                                    F.col("label").cast("bigint").alias("model_id"))
-    rows = lg.join(e, "vec_id")
+    e = X.table(spark, sf_dir, "embeddings")
+    rows = e.select(F.col("label").cast("bigint").alias("model_id"),
+                    F.array(*[F.col("embedding").getItem(i).cast("double") for i in range(3)])
+                    .alias("cumulative_logits"))  # one scan, no self-join
     row_ok = O.is_monotone("cumulative_logits", 3)
     models = rows.groupBy("model_id").agg(
         F.avg(F.col("cumulative_logits").getItem(0)).alias("b1"),
