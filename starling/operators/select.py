@@ -43,17 +43,23 @@ def best_candidate(history: DataFrame, by: Sequence[str] = ("run",), order: str
 
 def early_stop(history: DataFrame, by: Sequence[str] = ("run",), order: str = "epoch",
                metric: str = "eval_mae", bucket_width: int = 256) -> DataFrame:
-    """Patience-1 early stopping over ordered epochs, then the best kept epoch."""
+    """Patience-1 early stopping over ordered epochs, then the best kept epoch.
+
+    One pass: the running minimum is taken over ``(metric, epoch)`` structs, so
+    at the first epoch that does not improve, the prior minimum *is* the best
+    kept epoch (earliest on a tie); without a stall it is the minimum including
+    the last epoch. A single group-by finishes; nothing is joined back.
+    """
+    own = F.struct(F.col(metric).alias("m"), F.col(order).alias("e"))
     bucket = F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint")
-    pm = bucketed_prior_min(history, list(by), [F.col(order)], metric, bucket, name="_prior")
-    flagged = pm.withColumn("_stall", F.col("_prior").isNotNull() & (F.col(metric) >= F.col("_prior")))
-    stops = flagged.groupBy(*by).agg(
-        F.min(F.when(F.col("_stall"), F.col(order))).alias("_first_stall"),
-        F.max(order).alias("_last"))
-    stops = stops.select(*by, F.coalesce("_first_stall", "_last").alias("stop_epoch"),
-                         F.col("_first_stall").isNotNull().alias("stopped_early"))
-    kept = history.join(stops, list(by), "inner").where(F.col(order) <= F.col("stop_epoch"))
-    best = best_candidate(kept, by, order, metric)
-    return stops.join(best, list(by), "inner").select(
-        *by, "stop_epoch", "stopped_early", F.col(f"best_{order}").alias("best_epoch"),
-        F.col(f"best_{metric}").alias("best_eval_mae"))
+    pm = bucketed_prior_min(history.where(F.col(metric).isNotNull()).withColumn("_own", own),
+                            list(by), [F.col(order)], "_own", bucket, name="_prior")
+    stall = F.col("_prior").isNotNull() & (F.col(metric) >= F.col("_prior").getField("m"))
+    agg = pm.groupBy(*by).agg(
+        F.min(F.when(stall, F.struct(F.col(order).alias("e"), F.col("_prior").alias("p")))).alias("_stall"),
+        F.max(F.struct(F.col(order).alias("e"), F.least("_prior", "_own").alias("p"))).alias("_last"))
+    best = F.coalesce(F.col("_stall.p"), F.col("_last.p"))
+    return agg.select(
+        *by, F.coalesce(F.col("_stall.e"), F.col("_last.e")).alias("stop_epoch"),
+        F.col("_stall").isNotNull().alias("stopped_early"),
+        best.getField("e").alias("best_epoch"), best.getField("m").alias("best_eval_mae"))

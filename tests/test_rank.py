@@ -28,3 +28,33 @@ def test_bucketed_prior_min_equals_window_min(spark):
     w = Window.partitionBy("g").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, -1)
     want = df.withColumn("pm", F.min("v").over(w))
     assert sorted(got.select("id", "pm").collect()) == sorted(want.select("id", "pm").collect())
+
+
+def _early_stop_reference(maes):
+    """Patience 1: stop after the first epoch that does not beat the best so far."""
+    best, best_e = None, None
+    for e, m in enumerate(maes, start=1):
+        if best is not None and m >= best:
+            return e, True, best_e, best
+        if best is None or m < best:
+            best, best_e = m, e
+    return len(maes), False, best_e, best
+
+
+def test_early_stop_matches_loop(spark):
+    from starling.operators.select import early_stop
+    rng = np.random.default_rng(2)
+    rows, want = [], {}
+    for run in range(40):
+        n = int(rng.integers(1, 12))
+        if run % 3 == 0:
+            maes = sorted(rng.integers(0, 50, n).tolist(), reverse=True)  # may never stall
+            maes = [float(x) + 1 - i * 1e-3 for i, x in enumerate(maes)]
+        else:
+            maes = [float(x) for x in rng.integers(0, 6, n)]  # many ties
+        want[run] = _early_stop_reference(maes)
+        rows += [(run, e, m) for e, m in enumerate(maes, start=1)]
+    df = spark.createDataFrame(rows, "run long, epoch long, eval_mae double")
+    got = {r.run: (r.stop_epoch, r.stopped_early, r.best_epoch, r.best_eval_mae)
+           for r in early_stop(df, bucket_width=3).collect()}
+    assert got == want
