@@ -11,6 +11,9 @@ from starling.plans import fixtures as X
 from starling.plans.catalog import query, r, rounded
 from starling.plans.oracle import add_view, rating_case, with_views
 from starling.plans.queries_eval import sql_nearest
+from starling.functions.text import unicode_trim, whitespace_class
+
+O_WS = whitespace_class()
 
 P = ["p1", "p2", "p3", "p4"]
 KEYS = "l_orderkey, l_linenumber"
@@ -326,15 +329,11 @@ def label_map(df, decoder: str, text="text", probabilities="probabilities"):
     if decoder == "expected value (nearest valid rating)":
         predicted = D.decode_rounded(probabilities).cast("string")
         m = F.transform_keys(m, lambda k, v: F.when(k == predicted, F.concat(k, F.lit(PREDICTED_SUFFIX))).otherwise(k))
-    blank = F.col(text).isNull() | (F.length(F.regexp_replace(F.col(text), O_WS, "")) == 0)
+    blank = F.col(text).isNull() | (F.length(unicode_trim(F.col(text))) == 0)
     empty = F.create_map().cast("map<string,double>")
     return F.when(blank, empty).otherwise(m)
 
 
-from starling.functions.text import whitespace_class  # noqa: E402
-
-O_WS = whitespace_class()
-
 
 def _label_map_sql() -> str:
     pred = sql_nearest(sql_expected())
