@@ -1,8 +1,8 @@
 """Confusion tables and per-class precision / recall / F1 (M1-M4).
 
-All of these start from cells ``(by.., label, prediction, n)``; the classes
-are a short literal list, exploded per group (a narrow Generate), never a
-join against the data.
+All of these start from cells ``(by.., label, prediction, n)`` and run as
+one aggregation of conditional sums per group followed by a narrow
+``inline``; the class list is a short literal, never joined to the data.
 """
 
 from __future__ import annotations
@@ -15,29 +15,32 @@ from pyspark.sql import functions as F
 from starling.domain import VALID_RATINGS
 
 
-def _classes_array(classes: Sequence[int]):
-    return F.array(*[F.lit(int(c)).cast("bigint") for c in classes])
+def _sum_if(cond, n) -> F.Column:
+    return F.coalesce(F.sum(F.when(cond, n)), F.lit(0)).cast("bigint")
 
 
-def _grid(groups: DataFrame | None, spark, by: Sequence[str], classes: Sequence[int]) -> DataFrame:
-    """Every (group, true class, predicted class) combination."""
-    base = groups if groups is not None else spark.range(1).drop("id")
-    return (base.select(*by, F.explode(_classes_array(classes)).alias("label"))
-                .select(*by, "label", F.explode(_classes_array(classes)).alias("prediction")))
+def _per_group(cells: DataFrame, by: Sequence[str], aggs: list) -> DataFrame:
+    return cells.groupBy(*by).agg(*aggs) if by else cells.agg(*aggs)
 
 
 def confusion_long(cells: DataFrame, classes: Sequence[int] = VALID_RATINGS,
                    by: Sequence[str] = ()) -> DataFrame:
     """K x K counts per group; labels or predictions outside ``classes`` are
-    skipped; empty cells are 0."""
-    c = cells.where(F.col("label").isin(list(classes)) & F.col("prediction").isin(list(classes))) \
-             .select(*by, F.col("label").cast("bigint").alias("label"),
-                     F.col("prediction").cast("bigint").alias("prediction"), "n") \
-             .groupBy(*by, "label", "prediction").agg(F.sum("n").alias("n"))
-    groups = cells.select(*by).distinct() if by else None
-    grid = _grid(groups, cells.sparkSession, by, classes)
-    keys = [*by, "label", "prediction"]
-    return grid.join(c, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+    skipped; empty cells are 0.
+
+    One aggregation with K^2 conditional sums per group (partial + final, so a
+    hot group costs one buffer row per task), then a narrow ``inline`` to K^2
+    rows: no class grid, no distinct, no join.
+    """
+    y, p, n = F.col("label").cast("double"), F.col("prediction").cast("double"), F.col("n")
+    ks = [int(c) for c in classes]
+    aggs = [_sum_if((y == float(a)) & (p == float(b)), n).alias(f"_c{i}_{j}")
+            for i, a in enumerate(ks) for j, b in enumerate(ks)]
+    wide = _per_group(cells, by, aggs)
+    entries = [F.struct(F.lit(a).cast("bigint").alias("label"), F.lit(b).cast("bigint").alias("prediction"),
+                        F.col(f"_c{i}_{j}").alias("n"))
+               for i, a in enumerate(ks) for j, b in enumerate(ks)]
+    return wide.select(*by, F.inline(F.array(*entries)))
 
 
 def confusion_wide(cells: DataFrame, classes: Sequence[int] = VALID_RATINGS,
@@ -57,30 +60,26 @@ def per_class(cells: DataFrame, classes: Sequence[int] = VALID_RATINGS,
               by: Sequence[str] = ()) -> DataFrame:
     """TP, FP, FN, support, precision, recall, F1 per class; 0/0 -> 0.0.
 
-    Each cell contributes TP (label == prediction) or FN to its true class
-    and FP to its predicted class, so one explode of at most two entries per
-    cell and a group-by give every class; FP counts any other label,
-    including labels outside ``classes``. Classes with no rows appear with
-    zeros (the class list is exploded per group).
+    One aggregation of 4K conditional sums per group: TP (label = prediction
+    = class), FP (prediction = class, any other label, including labels
+    outside ``classes``), FN (label = class, any other prediction), support;
+    then ``inline`` to K rows. Classes without rows appear with zeros.
     """
     y, p, n = F.col("label").cast("double"), F.col("prediction").cast("double"), F.col("n")
-    hit = y == p
-    contrib = F.array(
-        F.struct(F.col("label").cast("double").alias("cls"),
-                 F.when(hit, n).otherwise(F.lit(0)).alias("tp"), F.lit(0).cast("bigint").alias("fp"),
-                 F.when(hit, F.lit(0)).otherwise(n).alias("fn"), n.alias("support")),
-        F.struct(F.col("prediction").cast("double").alias("cls"), F.lit(0).cast("bigint").alias("tp"),
-                 F.when(hit, F.lit(0)).otherwise(n).alias("fp"), F.lit(0).cast("bigint").alias("fn"),
-                 F.lit(0).cast("bigint").alias("support")),
-    )
-    parts = cells.select(*by, F.inline(contrib)).where(F.col("cls").isin([float(c) for c in classes]))
-    sums = parts.groupBy(*by, F.col("cls").cast("bigint").alias("class")).agg(
-        F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"),
-        F.sum("support").alias("support"))
-    groups = cells.select(*by).distinct() if by else cells.sparkSession.range(1).drop("id")
-    all_classes = groups.select(*by, F.explode(_classes_array(classes)).alias("class"))
-    t = all_classes.join(sums, [*by, "class"], "left").select(
-        *by, "class", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("tp", "fp", "fn", "support")])
+    ks = [int(c) for c in classes]
+    aggs = []
+    for i, k in enumerate(ks):
+        kk = float(k)
+        aggs += [_sum_if((y == kk) & (p == kk), n).alias(f"_tp{i}"),
+                 _sum_if((p == kk) & (y != kk), n).alias(f"_fp{i}"),
+                 _sum_if((y == kk) & (p != kk), n).alias(f"_fn{i}"),
+                 _sum_if(y == kk, n).alias(f"_sup{i}")]
+    wide = _per_group(cells, by, aggs)
+    entries = [F.struct(F.lit(k).cast("bigint").alias("class"), F.col(f"_tp{i}").alias("tp"),
+                        F.col(f"_fp{i}").alias("fp"), F.col(f"_fn{i}").alias("fn"),
+                        F.col(f"_sup{i}").alias("support"))
+               for i, k in enumerate(ks)]
+    t = wide.select(*by, F.inline(F.array(*entries)))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     precision = _pct_ratio(tp, tp + fp)
     recall = _pct_ratio(tp, tp + fn)

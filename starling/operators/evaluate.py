@@ -117,25 +117,20 @@ def target_distribution(df: DataFrame, label: str = "rating", by: Sequence[str]
                         scale: Sequence[int] = ALL_SCALE_VALUES) -> DataFrame:
     """Count and share of every scale value, zero-filled, with an is_missing flag.
 
-    Counts are one partial aggregation; the scale (K rows, a literal) is the
-    preserved side of a small join, so absent ratings appear with n = 0.
-    Share denominator: all rows of the (group of the) table; empty -> NULL.
+    One aggregation of per-value conditional counts per group (absent ratings
+    count 0), then a narrow ``inline`` to one row per scale value. Share
+    denominator: all rows of the (group of the) table; empty -> NULL.
     """
-    spark = df.sparkSession
-    counts = df.groupBy(*by, F.col(label).alias("rating")).agg(F.count(F.lit(1)).alias("n"))
-    if by:
-        # every group gets the whole scale by a narrow explode of the literal
-        grid = counts.select(*by).distinct().select(
-            *by, F.explode(domain_array(scale)).alias("rating"))
-    else:
-        grid = domain_frame(spark, scale, "rating")
-    keys = list(by) + ["rating"]
-    filled = grid.join(counts, keys, "left").select(
-        *keys, F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("n"))
-    total = F.sum("n").over(Window.partitionBy(*by)) if by else F.sum("n").over(Window.partitionBy())
-    return filled.select(
-        *keys, "n",
-        F.try_divide(F.col("n").cast("double"), F.nullif(total, F.lit(0)).cast("double")).alias("share"),
+    lab = F.col(label)
+    aggs = [F.count_if(lab == F.lit(int(v))).alias(f"_n{i}") for i, v in enumerate(scale)]
+    aggs.append(F.count(F.lit(1)).alias("_all"))
+    wide = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
+    entries = [F.struct(F.lit(int(v)).cast("bigint").alias("rating"), F.col(f"_n{i}").cast("bigint").alias("n"))
+               for i, v in enumerate(scale)]
+    out = wide.select(*by, "_all", F.inline(F.array(*entries)))
+    return out.select(
+        *by, "rating", "n",
+        F.try_divide(F.col("n").cast("double"), F.nullif(F.col("_all"), F.lit(0)).cast("double")).alias("share"),
         (F.col("n") == 0).alias("is_missing"),
     )
 
