@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from starling.functions import metrics as M
 from starling.operators.rank import bucketed_prior_min, bucketed_row_number, spread_bucket
+from starling.session import shared_root
 
 
 def number_epochs(events: DataFrame, run: str = "run", order: Sequence[str] = ("ts", "event_id"),
@@ -42,7 +43,7 @@ def best_candidate(history: DataFrame, by: Sequence[str] = ("run",), order: str
 
 
 def early_stop(history: DataFrame, by: Sequence[str] = ("run",), order: str = "epoch",
-               metric: str = "eval_mae", bucket_width: int = 256) -> DataFrame:
+               metric: str = "eval_mae", bucket_width: int = 256, materialize: bool = True) -> DataFrame:
     """Patience-1 early stopping over ordered epochs, then the best kept epoch.
 
     One pass: the running minimum is taken over ``(metric, epoch)`` structs, so
@@ -50,6 +51,12 @@ def early_stop(history: DataFrame, by: Sequence[str] = ("run",), order: str = "e
     kept epoch (earliest on a tie); without a stall it is the minimum including
     the last epoch. A single group-by finishes; nothing is joined back.
     """
+    if materialize:
+        # the running minimum reads its input twice (bucket minima, then rows):
+        # checkpoint once to the shared folder so an upstream numbering of the
+        # epochs is not computed twice (this also cuts the lineage)
+        shared_root(history.sparkSession)
+        history = history.checkpoint(eager=True)
     own = F.struct(F.col(metric).alias("m"), F.col(order).alias("e"))
     bucket = F.floor(F.col(order) / F.lit(bucket_width)).cast("bigint")
     pm = bucketed_prior_min(history.where(F.col(metric).isNotNull()).withColumn("_own", own),
