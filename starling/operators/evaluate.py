@@ -96,13 +96,14 @@ def constant_baselines(train: DataFrame, test: DataFrame, label: str = "rating")
 
     Returned as cells ``(system, label, prediction, n)``: a constant system's
     cells are just the test label histogram, so no per-row constant column is
-    materialised. The three train statistics are scalar subqueries (computed
-    once, inlined as literals), not joins. ``mode(.., true)`` takes the
+    materialised. The three train statistics come from one scalar subquery
+    (computed once, inlined as literals), not from joins. ``mode(.., true)`` takes the
     smallest value on a tie, as pandas' ``mode().iloc[0]`` does.
     """
-    median = train.select(F.median(label).cast("double")).scalar()
-    mean = train.select(F.avg(label).cast("double")).scalar()
-    majority = train.select(F.mode(label, True).cast("double")).scalar()
+    stats = train.select(F.struct(  # one scalar subquery, one pass over train
+        F.median(label).cast("double").alias("median"), F.avg(label).cast("double").alias("mean"),
+        F.mode(label, True).cast("double").alias("mode"))).scalar()
+    median, mean, majority = stats.getField("median"), stats.getField("mean"), stats.getField("mode")
     hist = test.groupBy(F.col(label).alias("label")).agg(F.count(F.lit(1)).alias("n"))
     systems = F.array(
         F.struct(F.lit("Constant: training median").alias("system"), median.alias("prediction")),
