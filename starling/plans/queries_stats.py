@@ -328,9 +328,7 @@ def q_system_comparison(spark, sf_dir):
     ci = RS.excludes_zero(RS.bootstrap_cells(pc, {"mae_delta": metric}, n_resamples=N_RESAMPLES, seed=SEED,
                                              cell_cols=("label", "pred_a", "pred_b"), pred="pred_a"))
     mc = SG.mcnemar(pc, weight="n")
+    test = mc.select(F.struct("a_right_b_wrong", "a_wrong_b_right", "p_value", "significant")).scalar()
     return rounded(ci.select(
         F.col("point").alias("point_delta"), "ci_low", "ci_high", "excludes_zero", "n_resamples",
-        mc.select("a_right_b_wrong").scalar().alias("a_right_b_wrong"),
-        mc.select("a_wrong_b_right").scalar().alias("a_wrong_b_right"),
-        mc.select("p_value").scalar().alias("p_value"),
-        mc.select("significant").scalar().alias("significant")))
+        *[test.getField(k).alias(k) for k in ("a_right_b_wrong", "a_wrong_b_right", "p_value", "significant")]))
