@@ -63,10 +63,11 @@ def enforce(report: DataFrame, checks: Sequence[str]) -> DataFrame:
     first_fail = None
     for c in reversed(checks):
         first_fail = F.when(~F.col(c), F.lit(c)).otherwise(first_fail if first_fail is not None else F.lit(None))
-    return report.withColumn(
-        "_gate", F.when(first_fail.isNotNull(),
-                        F.raise_error(F.concat(F.lit("quality gate failed: "), first_fail)))
-    ).drop("_gate")
+    # a filter predicate is always evaluated (a dropped gate column would be pruned away)
+    gate = F.when(first_fail.isNotNull(),
+                  F.raise_error(F.concat(F.lit("quality gate failed: "), first_fail))
+                  ).otherwise(F.lit(True)).cast("boolean")
+    return report.where(gate)
 
 
 # ------------------------------------------------------------------ projection

@@ -184,10 +184,13 @@ def read_splits(spark: SparkSession, path: str, domain: Sequence[int] = VALID_RA
     cols = set(df.columns) - {"split"}
     if cols != SPLIT_COLUMNS:
         raise RuntimeError(f"split dataset has an unexpected schema: {sorted(cols)}")
-    bad = (F.col("target_origin") != F.lit(TARGET_ORIGIN)) | ~F.col("rating").isin(list(domain))
-    return df.select("*", F.when(bad, F.raise_error(F.concat(
-        F.lit("split "), F.col("split"), F.lit(" holds a row that is not a source rating in the domain"))))
-        .alias("_gate")).drop("_gate")
+    bad = (F.col("target_origin") != F.lit(TARGET_ORIGIN)) | ~F.col("rating").isin(list(domain)) \
+        | F.col("target_origin").isNull() | F.col("rating").isNull()
+    # a filter predicate is always evaluated (a dropped gate column would be pruned away)
+    gate = F.when(bad, F.raise_error(F.concat(
+        F.lit("split "), F.col("split"), F.lit(" holds a row that is not a source rating in the domain")))
+    ).otherwise(F.lit(True)).cast("boolean")
+    return df.where(gate)
 
 
 # ------------------------------------------------------------------ S8 / S9 training logs

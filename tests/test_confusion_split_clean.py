@@ -86,3 +86,40 @@ def test_gate_report_domain_checks(spark):
                                "rating long, review string, target_origin string")
     g = C.gate_report(df, expected_rows=3).first()
     assert g.rows_ok and g.domain_subset and not g.domain_equal and g.ratings_present == "1,2,4"
+
+
+def test_split_reader_gates(spark):
+    import pytest
+    from starling.session import scratch_path
+    from starling.sources import io as IO
+    good = spark.createDataFrame([("a", 1, "source_file", "train"), ("b", 5, "source_file", "test")],
+                                 "review string, rating long, target_origin string, split string")
+    path = scratch_path(spark, "gate_ok")
+    IO.write_splits(good, path)
+    assert IO.read_splits(spark, path).count() == 2
+    bad = spark.createDataFrame([("c", 3, "source_file", "train")],
+                                "review string, rating long, target_origin string, split string")
+    path = scratch_path(spark, "gate_bad")
+    IO.write_splits(bad, path)
+    with pytest.raises(Exception):
+        IO.read_splits(spark, path).collect()  # rating 3 is outside the domain
+    forged = spark.createDataFrame([("d", 4, "generated", "test")],
+                                   "review string, rating long, target_origin string, split string")
+    path = scratch_path(spark, "gate_forged")
+    IO.write_splits(forged, path)
+    with pytest.raises(Exception):
+        IO.read_splits(spark, path).collect()  # target not from the source file
+    extra = scratch_path(spark, "gate_schema")
+    good.withColumn("x", F.lit(1)).write.partitionBy("split").parquet(extra)
+    with pytest.raises(RuntimeError):
+        IO.read_splits(spark, extra)
+
+
+def test_enforce_raises_on_failed_gate(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "a", "source_file"), (3, "b", "source_file")],
+                               "rating long, review string, target_origin string")
+    report = C.gate_report(df, expected_rows=2)
+    with pytest.raises(Exception, match="domain_subset"):
+        C.enforce(report, ["rows_ok", "domain_subset"]).collect()
+    assert C.enforce(report, ["rows_ok", "origin_ok"]).count() == 1
