@@ -210,11 +210,14 @@ def _meet_edges(window: int, minimizer: int):
 def compacted(pieces: DataFrame) -> DataFrame:
     """Join the pieces of paths that don't branch: in a document one goes on where the one
     before it ended, and so do their sources."""
-    order = Window.partitionBy("id").orderBy("start", "source")
+    order = Window.partitionBy("id").orderBy("start", "source", "source_start")
+    rows = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a piece may come twice, from a task that saw some of its edges' copies and from the bucket
+    pieces = pieces.groupBy("id", "start", "source", "source_start").agg(F.max("n").alias("n"))
     follows = ((F.lag(F.col("start") + F.col("n")).over(order) == F.col("start")) & (F.lag("source").over(order) == F.col("source"))
                & (F.lag(F.col("source_start") + F.col("n")).over(order) == F.col("source_start")))
-    return (pieces.distinct().withColumn("new", F.when(follows, 0).otherwise(1))
-            .withColumn("path", F.sum("new").over(order))
+    return (pieces.withColumn("new", F.when(follows, 0).otherwise(1))
+            .withColumn("path", F.sum("new").over(rows))
             .groupBy("id", "path").agg(F.min("start").alias("start"), F.sum("n").cast("int").alias("n"), F.first("source").alias("source"),
                                        F.min("source_start").alias("source_start"))
             .drop("path"))
