@@ -7,10 +7,10 @@ again after an edit, so edit distance becomes Hamming distance between what they
 
 Every window of an item's size, at every word of every document, is read by
 the same walks as the items. A repetition samples three coordinates of the embedding:
-two near its start, for all windows at once, and one anywhere, for windows that agree
-so far. A window that agrees in all three with an item is a candidate. How many
-repetitions reach the target recall is measured on edited copies of the items. A
-candidate is verified by exact bit-parallel edit distance between the item and the best
+two near its start, for all windows at once, and one further on, for windows that agree
+so far. A window that agrees in all three with an item, and in enough of the whole
+embedding, is a candidate. How many repetitions reach the target recall is measured on edited
+copies of the items. A candidate is verified by exact bit-parallel edit distance between the item and the best
 stretch of words around the window.
 
 A document is read where it lies: nothing is shuffled. Items travel to all tasks in
@@ -35,7 +35,9 @@ MIN_WORDS = 8
 RECALL, MOST_REPETITIONS = 0.97, 32
 #: Words of all items that are sent to the tasks at once; more items go in several passes.
 BLOCK_WORDS = 2_000_000
-_EARLY = 6
+#: Share of the whole embedding in which a candidate agrees with its item (strangers agree in a few percent).
+AGREEMENT = 0.3
+_EARLY, _LATE = 6, 12
 _END = U8(0)
 
 
@@ -55,8 +57,8 @@ class Sampler:
         self.late = float(rng.random())
 
     def late_of(self, n):
-        """The third coordinate for items of n words: a walk takes about 2 n steps."""
-        return (_EARLY + self.late * (2 * n - _EARLY)).astype(np.int64)
+        """The third coordinate for items of n words."""
+        return (_EARLY + self.late * np.minimum(n, _LATE)).astype(np.int64)
 
     def bits(self, words: np.ndarray, block: int) -> np.ndarray:
         return common.mix(words ^ (self.seed + U8(block)))
@@ -78,6 +80,23 @@ def walk(sampler: Sampler, words: np.ndarray, start: np.ndarray, size: np.ndarra
     return out
 
 
+def agreement(sampler: Sampler, a: np.ndarray, a_start, a_size, b: np.ndarray, b_start, b_size) -> np.ndarray:
+    """Share of the steps, up to the end of either sequence, at which two walks write the same: 1 less
+    the relative Hamming distance of the embeddings."""
+    x, y, steps, same = a_start.copy(), b_start.copy(), np.zeros(len(a_start)), np.zeros(len(a_start))
+    a_end, b_end, live, j = a_start + a_size, b_start + b_size, np.arange(len(a_start)), 0
+    while len(live):
+        if j % 64 == 0:
+            a_bits, b_bits = sampler.bits(a, j // 64), sampler.bits(b, j // 64)
+        u, v = x[live], y[live]
+        steps[live] += 1
+        same[live] += a[u] == b[v]
+        x[live] = u + ((a_bits[u] >> U8(j % 64)) & U8(1)).astype(np.int64)
+        y[live] = v + ((b_bits[v] >> U8(j % 64)) & U8(1)).astype(np.int64)
+        live, j = live[(x[live] < a_end[live]) & (y[live] < b_end[live])], j + 1
+    return same / np.maximum(steps, 1)
+
+
 class Items:
     """Benchmark items as word sequences, with their LSH keys for each repetition."""
 
@@ -130,7 +149,9 @@ class Items:
             if not copies:
                 break
             theirs = self._keys(sampler, flat, begin, size)
-            found |= np.logical_and.reduce([x[owner] == y for x, y in zip(own, theirs)])
+            met = np.flatnonzero(np.logical_and.reduce([x[owner] == y for x, y in zip(own, theirs)]))
+            item = np.array(owner)[met]
+            found[met] |= agreement(sampler, flat, begin[met], size[met], self.hashes, self.start[item], self.size[item]) >= AGREEMENT
             self.recall = float(found.mean())
             if self.recall >= target:
                 break
@@ -171,8 +192,10 @@ def candidates(items: Items, hashes: np.ndarray, last: np.ndarray) -> tuple[np.n
         size = np.minimum(items.size[which], last[start] - start)
         third_here = walk(sampler, hashes, start, size, sampler.late_of(items.size[which]))
         agree = third_here == third[which]
-        found_at.append(start[agree])
-        found_item.append(which[agree])
+        start, which, size = start[agree], which[agree], size[agree]
+        near = agreement(sampler, hashes, start, size, items.hashes, items.start[which], items.size[which]) >= AGREEMENT
+        found_at.append(start[near])
+        found_item.append(which[near])
     pairs = np.unique(np.stack([np.concatenate(found_at), np.concatenate(found_item)]), axis=1)
     return pairs[0], pairs[1]
 
