@@ -29,8 +29,9 @@ from starling.llm.common import U8, Words
 HASH_BITS = 22
 #: Labelled rows that the model is fitted on, at most: those of least hash of their id.
 SAMPLE_ROWS = 10_000
-#: Terms in fewer sample rows than this are not learned.
-LEAST_ROWS = 5
+#: Terms in fewer sample rows than this are not learned, nor are those whose shares of rows in
+#: the two classes differ by less than so many standard errors.
+LEAST_ROWS, LEAST_ERRORS = 5, 3.0
 FACTORS, PASSES, BATCH, RATE, SHRINK = 4, 12, 256, 0.05, 2e-4
 #: Folds by crc32 of the id as text; this one is held out.
 FOLDS, HELD_OUT = 5, 0
@@ -75,9 +76,14 @@ class Model:
 
 def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
     """Fit to rows of distinct terms (sorted by row) by adaptive gradient steps on the logistic
-    loss. Only terms of enough rows are learned."""
+    loss. Only terms of enough rows, and unlike in the two classes, are learned."""
     kept, at, count = np.unique(term, return_inverse=True, return_counts=True)
-    frequent = count >= LEAST_ROWS
+    ones = np.bincount(at, label[doc], len(kept)) if len(doc) else np.empty(0)
+    n1 = float(label.sum())
+    n0, share = len(label) - n1, count / max(len(label), 1)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(n1, 1) + 1 / max(n0, 1)))
+    telling = np.abs(ones / max(n1, 1) - (count - ones) / max(n0, 1)) >= LEAST_ERRORS * error
+    frequent = (count >= LEAST_ROWS) & telling
     number = np.cumsum(frequent) - 1
     use = frequent[at]
     doc, at, kept = doc[use], number[at[use]], kept[frequent]
