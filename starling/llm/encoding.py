@@ -18,7 +18,7 @@ import numpy as np
 BOUNDARY = re.compile(r"(?<=[\w!-~])(?= [\w!-~])")
 _SAFE = re.compile(r"[\w!-~]")
 #: Letters, marks, and perhaps a line end with letters and marks after it.
-_LETTERS = "[A-Za-zÀ-ÖØ-öø-ſ]+"
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ſ]+"  # all but İ, which lower case makes two characters of
 _PLAIN = re.compile(rf"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 #: Pieces that a worker's younger memory holds (results don't depend on it).
 REMEMBERED = 300_000
@@ -109,8 +109,8 @@ class Encoder:
                 begin = np.flatnonzero(self.marked[ids])
                 end = np.append(begin[1:], len(ids))
             if len(begin) != len(some):
-                raise ValueError(f"{len(some)} words gave {len(begin)} groups of tokens")
-            if self.counts_only:
+                out.update((w, self._alone(w if glued else self.space + w)) for w in some)
+            elif self.counts_only:
                 out.update(zip(some, (end - begin).tolist()))
             else:
                 raw, w = ids.tobytes(), self.width.itemsize

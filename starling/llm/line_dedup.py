@@ -148,7 +148,7 @@ def _pairs(a: np.ndarray, b: np.ndarray, key=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)], schema=_PAIR)
 
 
-def _meet(threshold: int):
+def _meet(threshold: int, block: int):
     def meet(batches):
         for (records,) in common.bucket_records(batches, _RECORD):
             start, stop = common.runs(records["key"])
@@ -167,7 +167,7 @@ def _meet(threshold: int):
                 group = records[s:e]
                 _, first = np.unique(np.stack([group["id"], (group["sig"] & _PROBE).astype(U8)]), axis=1, return_index=True)
                 group = group[first]
-                if len(group) > common.BLOCK // 8:
+                if len(group) > block:
                     ids = np.unique(group["id"])
                     yield _pairs(ids, ids, np.full(len(ids), group["key"][0], U8).view(np.int64))
                     continue
@@ -190,7 +190,7 @@ def _lines(rows: pa.RecordBatch, least: int):
                 yield i, k, line
 
 
-def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, block: int = common.BLOCK // 8) -> DataFrame:
     """(a, b): links between line ids that connect the distinct lines within `threshold` edits.
     Groups up to a bounded size link every pair found; in larger ones, whose pairs
     would grow as their square, blocks link only as much as keeps them connected."""
@@ -210,7 +210,7 @@ def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHA
                 yield from packer.add(line_records(list(lines.values()), np.fromiter(lines, U8, len(lines)), threshold))
         yield from packer.end()
 
-    met = common.cut(common.by_bucket(slim.select("text").mapInArrow(send, common.PACKED)).mapInArrow(_meet(threshold), _PAIR_DDL).distinct(), "pairs")
+    met = common.cut(common.by_bucket(slim.select("text").mapInArrow(send, common.PACKED)).mapInArrow(_meet(threshold, block), _PAIR_DDL).distinct(), "pairs")
     wanted = common.cut(met.selectExpr("a AS line").unionByName(met.selectExpr("b AS line")).distinct(), "wanted")
 
     def texts(batches):
@@ -234,7 +234,7 @@ def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHA
     large = met.where("key IS NOT NULL").select("key", F.col("a").alias("line"))
     if large.isEmpty():
         return checked
-    dealt = common.block_pairs(large, "key", "line", common.BLOCK // 8).join(words, "line")
+    dealt = common.block_pairs(large, "key", "line", block).join(words, "line")
 
     def connect(pdf: pd.DataFrame) -> pd.DataFrame:
         rest, out = list(zip(pdf["line"], pdf["words"])), []

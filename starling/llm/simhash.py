@@ -158,9 +158,9 @@ def _links(found: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], schema=_LINK)
 
 
-def linked(distinct: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
+def linked(distinct: DataFrame, limit: int = MAX_DISTANCE, block: int = common.BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect exactly what
-    links of `limit` or fewer bits connect."""
+    links of `limit` or fewer bits connect. Groups of more than `block` are dealt into blocks."""
     if not 0 <= limit <= MAX_DISTANCE:
         raise ValueError(f"the keys are complete up to {MAX_DISTANCE} bits, not {limit}")
     n = common.buckets(distinct.sparkSession)
@@ -183,7 +183,7 @@ def linked(distinct: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
             found = [(x[near], y[near])]
             large = []
             for s, e in zip(start[size > 2], stop[size > 2]):
-                if e - s > common.BLOCK:
+                if e - s > block:
                     large.append(records[s:e])
                 else:
                     found += forest(records["fp"][s:e], limit)
@@ -214,7 +214,7 @@ def linked(distinct: DataFrame, limit: int = MAX_DISTANCE) -> DataFrame:
     large = met.where("key IS NOT NULL").select("key", "a")
     if large.isEmpty():
         return met.select("a", "b")
-    dealt = common.block_pairs(large, "key", "a").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = common.block_pairs(large, "key", "a", block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = dealt.select("key", "i", "j", "a").mapInArrow(blocks, "a long, b long, key long")
     return met.where("key IS NULL").unionByName(more).select("a", "b").distinct()
 
