@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +21,8 @@ _HALF_LN_2PI = 0.5 * math.log(2.0 * math.pi)
 
 def log_factorial(k: Column) -> Column:
     x = k.cast("double")
-    small = F.element_at(F.array(*[F.lit(v) for v in _SMALL]), (k.cast("int") + 1))
+    at = F.least(k, F.lit(STIRLING_FROM - 1)).cast("int") + 1
+    small = F.element_at(F.array(*[F.lit(v) for v in _SMALL]), at)
     inv = F.lit(1.0) / x
     inv2 = inv * inv
     series = (x * F.log(x) - x + F.lit(0.5) * F.log(x) + F.lit(_HALF_LN_2PI)
@@ -30,3 +32,47 @@ def log_factorial(k: Column) -> Column:
 
 def log_choose(n: Column, k: Column) -> Column:
     return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+
+
+def _stirling_error(n: float) -> float:
+    """ln n! less Stirling's formula for it."""
+    if n < STIRLING_FROM:
+        return math.lgamma(n + 1) - ((n + 0.5) * math.log(n) - n + _HALF_LN_2PI) if n > 0 else 0.0
+    return (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * n * n)) / (n * n)) / (n * n)) / n
+
+
+def _deviance(x: float, mean: float) -> float:
+    """x ln(x / mean) + mean - x without cancellation near x = mean."""
+    if abs(x - mean) < 0.1 * (x + mean):
+        v = (x - mean) / (x + mean)
+        total, term, j = (x - mean) * v, 2 * x * v, 1
+        while True:
+            term *= v * v
+            more = total + term / (2 * j + 1)
+            if more == total:
+                return total
+            total, j = more, j + 1
+    return x * math.log(x / mean) + mean - x
+
+
+def ln_half_binomial(n: int, m: int) -> float:
+    """ln P[X = m] of X ~ Bin(n, 1/2), to full precision at any n."""
+    if m == 0 or m == n:
+        return -n * math.log(2.0)
+    a, b, half = float(m), float(n - m), n / 2
+    return (_stirling_error(float(n)) - _stirling_error(a) - _stirling_error(b) - _deviance(a, half) - _deviance(b, half)
+            + 0.5 * math.log(n / a / b) - _HALF_LN_2PI)
+
+
+def ln_half_binomial_tail(n: int, m: int, chunk: int = 1 << 16) -> float:
+    """ln P[X <= m] of X ~ Bin(n, 1/2) for m <= n / 2: the terms below m fall off in
+    at most some sqrt(n) steps, and are summed until they no longer count."""
+    total, last, at = 1.0, 0.0, 0
+    while at < m:
+        t = np.arange(at, min(at + chunk, m), dtype=np.float64)
+        steps = last + np.cumsum(np.log1p((2.0 * m - n - 1.0 - 2.0 * t) / (n - m + 1.0 + t)))
+        total += float(np.exp(steps).sum())
+        last, at = float(steps[-1]), at + len(t)
+        if math.exp(last) < 1e-18 * total:
+            break
+    return ln_half_binomial(n, m) + math.log(total)

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starling.domain import ALL_SCALE_VALUES, VALID_RATINGS, domain_array, domain_frame
+from starling.domain import ALL_SCALE_VALUES, VALID_RATINGS, domain_array
 from starling.functions import metrics as M
 
 
@@ -75,19 +75,21 @@ def align_predictions(labels: DataFrame, predictions: DataFrame,
     """Positional alignment re-expressed as an inner equi-join on a row key.
 
     ``labels``: (key, label); ``predictions``: (system, key, prediction).
-    Returns the aligned long table and per-system aligned counts. The
-    reference fails on a length mismatch; here a system whose aligned count
-    differs from the label count raises at run time.
+    Every system must predict each label's row exactly once: its number of rows, and
+    the sum of its keys' hashes, must be those of the labels. The check is a filter's
+    predicate, so no plan can prune it. Returns the aligned long table and the aligned counts
+    per system.
     """
-    n_labels = labels.select(F.count(F.lit(1))).scalar()
+    mark = F.sum(F.xxhash64(key).cast("decimal(38,0)"))
+    want = labels.select(F.struct(F.count(F.lit(1)).alias("n"), mark.alias("mark"))).scalar()
     joined = predictions.join(labels, key, "inner")
-    per_system = joined.groupBy("system").agg(F.count(F.lit(1)).alias("aligned"))
-    checked = per_system.select(
-        "system",
-        F.when(F.col("aligned") == n_labels, F.col("aligned"))
-         .otherwise(F.raise_error(F.concat(F.lit("label/prediction count mismatch for "),
-                                           F.col("system")))).alias("aligned"),
-    )
+    good = ((F.col("aligned") == want.getField("n")) & (F.col("given") == want.getField("n"))
+            & F.col("mark").eqNullSafe(want.getField("mark")))
+    given = predictions.groupBy("system").agg(F.count(F.lit(1)).alias("given"), mark.alias("mark"))
+    aligned = joined.groupBy("system").agg(F.count(F.lit(1)).alias("aligned"))
+    checked = (given.join(aligned, "system", "left").withColumn("aligned", F.coalesce("aligned", F.lit(0)))
+               .where(F.when(good, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("rows predicted don't match the labels: "), F.col("system"))).cast("boolean")))
+               .select("system", "aligned"))
     return joined, checked
 
 

@@ -1,12 +1,12 @@
 """Training and batch scoring on Spark ML.
 
-* Features: word tokens of the whole text (``regexp_extract_all``), the
-  first ``max_length`` of them as model input (128, the reference's window),
-  hashed term frequencies and IDF. No vocabulary is collected on the driver.
+* Features: word tokens of the whole text (``regexp_extract_all``), hashed term
+  frequencies and IDF. A bag of words needs no window, so nothing is cut unless a
+  caller names a ``max_length``. No vocabulary is collected on the driver.
 * CE classifier: multinomial logistic regression (distributed L-BFGS via
   ``treeAggregate``) on the class index 0..K-1.
 * CORAL: an exact reduction to one binary logistic regression. Each row
-  becomes K-1 rows ``[x, onehot(k)]`` with label ``1[rank > k]``; with no
+  becomes K-1 rows ``[x, s * onehot(k)]`` with label ``1[rank > k]``; with no
   intercept and no standardisation, the learned weights are the shared
   projection ``w`` and the one-hot coefficients are the K-1 free biases,
   under the same mean binary cross-entropy as the CORAL head.
@@ -16,7 +16,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,28 +31,15 @@ from starling.domain import VALID_RATINGS, rank_to_rating, rating_to_rank
 from starling.functions.decode import coral_decode
 from starling.functions.text import truncate_tokens, word_tokens  # noqa: F401  (re-exported)
 
-MAX_LENGTH = 128
-ROWS_PER_TASK = 250_000  # training rows per partition for the L-BFGS passes
+MAX_LENGTH = 128  # the model window of ``tokenize_truncate``; training and scoring see whole texts
+#: The one-hot columns of the CORAL reduction hold this instead of 1; a bias is then this times its
+#: coefficient, and the penalty on biases shrinks by its square.
+BIAS_SCALE = 16.0
 
 
-def sized_for_training(df: DataFrame, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
-    """Persist the training rows with about ``rows_per_task`` rows per task.
-
-    Every L-BFGS iteration is a few full passes; with small inputs the fixed
-    per-task cost dominates, with large ones the parallelism matters. The row
-    count (one pass) picks the partition count; only a reduction uses
-    ``coalesce`` (no shuffle), growth uses ``repartition``.
-    """
-    n = df.count()
-    want = max(1, math.ceil(n / rows_per_task))
-    have = df.rdd.getNumPartitions()
-    out = df.coalesce(want) if want < have else (df.repartition(want) if want > have else df)
-    return out.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def tokenize(df: DataFrame, text: str = "review", max_length: int | None = MAX_LENGTH,
+def tokenize(df: DataFrame, text: str = "review", max_length: int | None = None,
              lowercase: bool = True) -> DataFrame:
-    """Adds ``tokens`` (model window) and ``n_tokens`` (whole text)."""
+    """Adds ``tokens`` (the first ``max_length``, all by default) and ``n_tokens`` (whole text)."""
     toks = word_tokens(F.lower(F.col(text)) if lowercase else F.col(text))
     return df.withColumn("_all", toks).withColumns(
         {"n_tokens": F.size("_all"), "tokens": truncate_tokens(F.col("_all"), max_length)}).drop("_all")
@@ -77,12 +63,12 @@ class CEModel:
 
 def train_ce(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
              domain: Sequence[int] = VALID_RATINGS, num_features: int = 1 << 16) -> CEModel:
-    """Multinomial LR on hashed TF-IDF features of the token window."""
-    # tokenise the whole texts once: only the model window and the label are kept
+    """Multinomial LR on hashed TF-IDF features of the whole texts."""
+    # tokenise the texts once: only tokens and labels are kept
     data = tokenize(train).select("tokens", rating_to_rank(label, domain).cast("double").alias("class")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     feats = Pipeline(stages=featurizer(num_features)).fit(data)
-    x = sized_for_training(feats.transform(data).select("features", "class"))
+    x = feats.transform(data).select("features", "class").persist(StorageLevel.MEMORY_AND_DISK)
     lr = LogisticRegression(featuresCol="features", labelCol="class", family="multinomial",
                             regParam=reg_param, maxIter=max_iter, standardization=True, tol=1e-4)
     model = lr.fit(x)
@@ -100,7 +86,7 @@ class CoralModel:
     @property
     def biases(self) -> list[float]:
         c = self.binary.coefficients.toArray()
-        return [float(x) for x in c[-self.n_thresholds:]]
+        return [float(x) * BIAS_SCALE for x in c[-self.n_thresholds:]]
 
     def cumulative_logits(self, df: DataFrame) -> DataFrame:
         """Adds ``cumulative_logits`` = w.x + b_k for every threshold."""
@@ -123,10 +109,10 @@ class CoralModel:
 
 def coral_rows(df: DataFrame, rank: str = "rank", n_thresholds: int = len(VALID_RATINGS) - 1,
                features: str = "features") -> DataFrame:
-    """Each row -> K-1 rows ``([x, onehot(k)], 1[rank > k])`` (narrow explode)."""
+    """Each row -> K-1 rows ``([x, BIAS_SCALE * onehot(k)], 1[rank > k])`` (narrow explode)."""
     k = F.explode(F.sequence(F.lit(0), F.lit(n_thresholds - 1))).alias("_thr")
     x = df.select(features, rank, k)
-    onehot = F.array(*[F.when(F.col("_thr") == i, F.lit(1.0)).otherwise(F.lit(0.0)) for i in range(n_thresholds)])
+    onehot = F.array(*[F.when(F.col("_thr") == i, F.lit(BIAS_SCALE)).otherwise(F.lit(0.0)) for i in range(n_thresholds)])
     x = x.withColumn("_k", array_to_vector(onehot)).withColumn(
         "target", F.when(F.col(rank) > F.col("_thr"), F.lit(1.0)).otherwise(F.lit(0.0)))
     return VectorAssembler(inputCols=[features, "_k"], outputCol="_x").transform(x).select("_x", "target")
@@ -138,11 +124,13 @@ def train_coral(train: DataFrame, label: str = "rating", reg_param: float = 0.01
     data = tokenize(train).select("tokens", rating_to_rank(label, domain).alias("rank")) \
         .persist(StorageLevel.MEMORY_AND_DISK)
     feats = features_model or Pipeline(stages=featurizer(num_features)).fit(data)
-    rows = sized_for_training(coral_rows(feats.transform(data), "rank", len(domain) - 1))
+    # one copy of each row is kept; the K-1 copies are made on the way to each pass
+    kept = feats.transform(data).select("features", "rank").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = coral_rows(kept, "rank", len(domain) - 1)
     lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
                             standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-4)
     model = lr.fit(rows)
-    rows.unpersist()
+    kept.unpersist()
     data.unpersist()
     return CoralModel(feats, model, len(domain) - 1)
 
@@ -154,7 +142,7 @@ def fit_coral_features(x: DataFrame, rank: str = "rank", n_thresholds: int = 3,
     lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
                             standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-10)
     c = lr.fit(rows).coefficients.toArray()
-    return [float(v) for v in c[:-n_thresholds]], [float(v) for v in c[-n_thresholds:]]
+    return [float(v) for v in c[:-n_thresholds]], [float(v) * BIAS_SCALE for v in c[-n_thresholds:]]
 
 
 def foreign_scorer(make_predict_fn, n_classes: int = len(VALID_RATINGS), batch_size: int = 128):

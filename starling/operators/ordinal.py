@@ -76,8 +76,8 @@ def is_monotone(values: Column | str, width: int, tol: float = MONOTONE_TOL) ->
     return cond
 
 
-MONOTONE_NOTE = "biases are non-increasing: cumulative probabilities are rank-monotone"
-NOT_MONOTONE_NOTE = "biases are not monotonic: rank-monotonicity is violated for this model"
+MONOTONE_NOTE = "each threshold is at most as likely to be passed as the one below it"
+NOT_MONOTONE_NOTE = "some threshold is likelier to be passed than the one below it"
 
 
 def bias_audit(models: DataFrame, biases: str = "biases", width: int = len(VALID_RATINGS) - 1) -> DataFrame:

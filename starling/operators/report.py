@@ -95,13 +95,12 @@ def confusion_report(wide: DataFrame, classes: Sequence[int] = VALID_RATINGS,
     return _header(wide, by, [header, sep]).unionByName(body)
 
 
-BOARD_WIDTH = 91
+#: Columns of the board: name and width; the first is set left, the others right.
+BOARD_COLUMNS = [("system", 38), ("mae", 9), ("rmse", 9), ("exact", 9), ("within one", 11)]
 BOARD_HEADER = [
-    "=" * BOARD_WIDTH,
-    "RATING SYSTEM COMPARISON - SAME HELD-OUT TEST SET",
-    "=" * BOARD_WIDTH,
-    f"{'System':<38} {'MAE':>9} {'RMSE':>9} {'Exact':>10} {'Within +/-1':>12}",
-    "-" * BOARD_WIDTH,
+    "Ratings on the test split, one line a system",
+    " ".join(f"{name:<{width}}" if k == 0 else f"{name:>{width}}" for k, (name, width) in enumerate(BOARD_COLUMNS)),
+    " ".join("-" * width for _, width in BOARD_COLUMNS),
 ]
 
 
@@ -109,10 +108,9 @@ def comparison_report(board: DataFrame, order: str = "ord") -> DataFrame:
     """Fixed-width board lines; system order kept through ``order``."""
     exact_n = F.col("exact_hits")
     within_n = F.col("within_hits")
-    line = F.concat_ws(" ", pad_right(F.col("system"), 38),
-                       pad_left(fixed_text("mae", 4), 9), pad_left(fixed_text("rmse", 4), 9),
-                       pad_left(percent_text(exact_n, F.col("n")), 9),
-                       pad_left(percent_text(within_n, F.col("n")), 11))
+    cells = [F.col("system"), fixed_text("mae", 4), fixed_text("rmse", 4), percent_text(exact_n, F.col("n")), percent_text(within_n, F.col("n"))]
+    line = F.concat_ws(" ", *[pad_right(c, width) if k == 0 else pad_left(c, width)
+                              for k, (c, (_, width)) in enumerate(zip(cells, BOARD_COLUMNS))])
     body = board.select(F.col(order).cast("bigint").alias("line_no"), line.alias("line"))
     return _header(board, (), BOARD_HEADER).unionByName(body)
 

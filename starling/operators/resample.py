@@ -5,15 +5,19 @@ cells, so resampling n rows with replacement is exactly a multinomial draw
 over cells. Three strategies share one output shape
 ``(by.., metric, point, ci_low, ci_high, n_resamples)``:
 
-* ``cells`` (default, scale-free): one aggregation to cells, then B
-  multinomial draws over at most K^2 (K^3 paired) cells per group, generated
-  in parallel over replicates with ``mapInPandas``. Cost B x cells,
-  independent of n. Same distribution as row resampling, not the same draws.
+* ``cells`` (default): one aggregation to cells, then a two-level multinomial.
+  Cells are dealt by hash into parts. Every task derives, from the same seed,
+  how many of a replicate's rows fall into its part, and draws these over its own
+  cells. Nothing but weighted partial sums leaves a task, and no task or driver
+  holds all cells, so near-continuous predictions are no special case. Cost B x
+  cells, spread over the parts. Same distribution as row resampling, not the same
+  draws. The seed of a draw holds the group's own hash: a group's interval doesn't
+  depend on which other groups are resampled beside it.
 * ``hash``: reproducible in any SQL engine. Draw j of replicate b picks row
-  ``md5(seed:b:j)[:8] mod n``; rows are ordered by cell, so the row maps to
+  ``md5(seed:b:j)[:15] mod n``; rows are ordered by cell, so the row maps to
   its cell by cumulative-count interval (equi-join on a coarse bucket of the
-  interval, broadcast, then a range filter). Cost B x n. The 32-bit hash
-  modulo n has bias below n / 2^32.
+  interval, then a range filter). Cost B x n. The 60-bit hash modulo n has bias
+  below n / 2^60.
 * ``poisson``: each row gets a Poisson(1) weight per replicate from a hash
   (for continuous predictions with near-unique cells). Cost B x n, fully
   parallel, approximate (the resample size varies).
@@ -36,7 +40,7 @@ from starling.domain import SEED
 from starling.functions import metrics as M
 from starling.functions.decode import nearest_rating
 
-MAX_CELLS = 1_000_000  # cells per group above which only ``poisson`` is allowed
+_BATCH_ROWS = 100_000  # drawn cells that a task hands on at once
 
 
 # ------------------------------------------------------------------ metric adapters
@@ -77,66 +81,63 @@ def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resampl
                     seed: int = SEED, confidence: float = 0.95, by: Sequence[str] = (),
                     cell_cols: Sequence[str] = ("label", "prediction"), label: str = "label",
                     pred: str = "prediction", partitions: int | None = None) -> DataFrame:
-    """Multinomial resampling over cells, parallel over replicates.
+    """Two-level multinomial resampling over cells (see the module's text).
 
-    The cell table is an aggregate whose size is bounded by the number of
-    distinct cells (checked against ``MAX_CELLS``); only that table is
-    shipped to the replicate tasks.
+    The driver sees one total per (group, part), never a cell.
     """
     spark = cells.sparkSession
-    keyed = cells.select(*by, *cell_cols, "n").persist()  # tiny; read by several actions
-    n_cells = keyed.count()
-    if n_cells > MAX_CELLS:
-        raise ValueError(f"{n_cells} cells: use strategy='poisson' for near-continuous predictions")
-    w = Window.partitionBy(*by).orderBy(*cell_cols) if by else Window.orderBy(*cell_cols)
-    indexed = keyed.withColumn("cell", F.row_number().over(w) - 1)
-    if by:
-        g = Window.orderBy(*by)
-        indexed = indexed.withColumn("gid", F.dense_rank().over(g) - 1)
-    else:
-        indexed = indexed.withColumn("gid", F.lit(1) - 1)
-    indexed = indexed.cache()
-    small = indexed.select("gid", "cell", "n").toPandas()  # bounded: <= MAX_CELLS rows
-    groups = [(int(gid), part.sort_values("cell")["n"].to_numpy(dtype=np.int64))
-              for gid, part in small.groupby("gid")]
-    shared = spark.sparkContext.broadcast(groups)  # shipped once per executor
+    parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = [*by, *cell_cols]
+    keyed = cells.where("n > 0").select(
+        *columns, F.col("n").cast("bigint").alias("n"),
+        (F.xxhash64(*by) if by else F.lit(0).cast("bigint")).alias("_group"),
+        F.pmod(F.xxhash64(*cell_cols), F.lit(parts)).cast("int").alias("_part")).checkpoint()
+    totals: dict[int, np.ndarray] = {}
+    for t in keyed.groupBy("_group", "_part").agg(F.sum("n").alias("t")).toLocalIterator():
+        totals.setdefault(t["_group"], np.zeros(parts, dtype=np.int64))[t["_part"]] = t["t"]
+    shared = spark.sparkContext.broadcast(totals)  # parts x groups numbers
+
+    def draws_of(group: int, part: int, own: pd.DataFrame):
+        sums, n = shared.value[group], own["n"].to_numpy(dtype=np.int64)
+        mark, share = group & 0xFFFFFFFFFFFFFFFF, n / n.sum()
+        order = np.argsort(pd.util.hash_pandas_object(own[list(cell_cols)], index=False).to_numpy(), kind="stable")
+        share, held, rows = share[order], [], 0  # the order doesn't hang on how the cells arrived
+        for b in range(int(n_resamples)):
+            mine = np.random.default_rng([int(seed), b, mark]).multinomial(sums.sum(), sums / sums.sum())[part]
+            k = np.random.default_rng([int(seed), b, mark, part + 1]).multinomial(mine, share)
+            hit = np.flatnonzero(k)
+            held.append((np.full(len(hit), b), order[hit], k[hit]))
+            rows += len(hit)
+            if rows >= _BATCH_ROWS or b == int(n_resamples) - 1:
+                bs, at, ws = (np.concatenate(x) for x in zip(*held))
+                held, rows = [], 0
+                if len(at):
+                    yield own[columns].iloc[at].reset_index(drop=True).assign(b=bs, w=ws)
 
     def draw(batches):
-        groups = shared.value
+        now, held = None, []
         for pdf in batches:
-            out_b, out_g, out_c, out_w = [], [], [], []
-            for b in pdf["id"].to_numpy():
-                rng = np.random.default_rng([int(seed), int(b)])
-                for gid, counts in groups:
-                    total = int(counts.sum())
-                    k = rng.multinomial(total, counts / total)
-                    nz = np.nonzero(k)[0]
-                    out_b.append(np.full(len(nz), b, dtype=np.int64))
-                    out_g.append(np.full(len(nz), gid, dtype=np.int64))
-                    out_c.append(nz.astype(np.int64))
-                    out_w.append(k[nz].astype(np.int64))
-            if out_b:
-                yield pd.DataFrame({"b": np.concatenate(out_b), "gid": np.concatenate(out_g),
-                                    "cell": np.concatenate(out_c), "w": np.concatenate(out_w)})
-
-    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("gid", T.LongType()),
-                           T.StructField("cell", T.LongType()), T.StructField("w", T.LongType())])
-    # one Python worker per ~2M drawn cells: tiny boards stay in one task
-    work = int(n_resamples) * max(1, int(n_cells))
-    nparts = partitions or max(1, min(spark.sparkContext.defaultParallelism, int(n_resamples),
-                                      math.ceil(work / 2_000_000)))
-    draws = spark.range(0, int(n_resamples), numPartitions=nparts).mapInPandas(draw, schema)
-    rows = draws.join(F.broadcast(indexed.select("gid", "cell", *by, *cell_cols)), ["gid", "cell"], "inner")
-    reps = _apply(rows, [*by, "b"], metrics, "w", label, pred)
-    point = _apply(indexed, list(by), metrics, "n", label, pred)
+            for key, own in pdf.groupby(["_group", "_part"], sort=False):
+                if key != now and held:
+                    yield from draws_of(*now, pd.concat(held, ignore_index=True))
+                    held = []
+                now = tuple(int(x) for x in key)
+                held.append(own)
+        if held:
+            yield from draws_of(*now, pd.concat(held, ignore_index=True))
+
+    schema = T.StructType([*(keyed.schema[c] for c in columns), T.StructField("b", T.LongType()), T.StructField("w", T.LongType())])
+    dealt = keyed.repartition("_group", "_part").sortWithinPartitions("_group", "_part")
+    reps = _apply(dealt.mapInPandas(draw, schema), [*by, "b"], metrics, "w", label, pred)
+    point = _apply(keyed, list(by), metrics, "n", label, pred)
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
 # ------------------------------------------------------------------ hash strategy
 def draw_index(seed: int, b, j, n) -> F.Column:
-    """Row drawn by draw j of replicate b: md5(seed:b:j), first 32 bits, mod n."""
+    """Row drawn by draw j of replicate b: md5(seed:b:j), first 60 bits, mod n."""
     h = F.md5(F.concat(F.lit(f"{seed}:"), b.cast("string"), F.lit(":"), j.cast("string")))
-    return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % n
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint") % n
 
 
 def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resamples: int = 1000,
@@ -145,9 +146,10 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
                    pred: str = "prediction", n_buckets: int = 4096) -> DataFrame:
     """Hash-drawn row resampling; every group must have the same row count n
     (systems scored on one test table). Draws are shared by all groups."""
-    # the cell table is tiny; persist it so the few small actions below do not
-    # each re-read and re-aggregate the source rows
-    keyed = cells.select(*by, *cell_cols, "n").persist()
+    if int(n_resamples) < 1:
+        raise ValueError("at least one resample is needed")
+    # cut once, so that the actions below do not each re-aggregate the source rows
+    keyed = cells.select(*by, *cell_cols, "n").checkpoint()
     totals = keyed.groupBy(*by).agg(F.sum("n").alias("t")).select("t").distinct().collect()
     if len(totals) != 1:
         raise ValueError("hash bootstrap needs the same row count in every group")
@@ -158,66 +160,23 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     iv = keyed.withColumn("lo", F.coalesce(F.sum("n").over(w), F.lit(0)))
     iv = iv.withColumn("hi", F.col("lo") + F.col("n"))
     spans = iv.withColumn("bucket", F.explode(F.sequence(
-        (F.col("lo") / width).cast("bigint"), ((F.col("hi") - 1) / width).cast("bigint"))))
-    n_span = spans.count()
-    if n_span > MAX_CELLS + n_buckets * 64:
-        raise ValueError("too many cells for the hash strategy; use 'poisson'")
+        F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width)
-    if keyed.count() <= MAX_TREE_CELLS:
-        counts = _tree_counts(iv, draws, by, cell_cols)
-    else:
-        hit = draws.join(F.broadcast(spans), "bucket", "inner") \
-                   .where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
-        counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
+    hit = draws.join(spans, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+    counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
     point = _apply(keyed, list(by), metrics, "n", label, pred)
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
-MAX_TREE_CELLS = 256  # per call; above it draws map to cells by a bucketed join
-
-
-def _search_tree(idx: F.Column, starts: Sequence[int], lo: int, hi: int) -> F.Column:
-    """Index of the interval holding ``idx``: a balanced CASE tree over the
-    sorted interval starts (log2 comparisons per draw, codegen'd)."""
-    if hi - lo == 1:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(idx < F.lit(int(starts[mid])), _search_tree(idx, starts, lo, mid)) \
-        .otherwise(_search_tree(idx, starts, mid, hi))
-
-
-def _tree_counts(iv: DataFrame, draws: DataFrame, by: Sequence[str], cell_cols: Sequence[str]) -> DataFrame:
-    """Draw counts per (group, replicate, cell) without a per-draw join.
-
-    The interval starts (at most ``MAX_TREE_CELLS`` numbers) are fetched once
-    to build the search trees; the draws are counted per (b, gid, cell) with
-    partial aggregation and joined back to the cell values on the tiny table.
-    """
-    order = [*by, *cell_cols]
-    w_cell = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(*cell_cols)
-    indexed = iv.withColumn("cell", F.row_number().over(w_cell) - 1)
-    indexed = indexed.withColumn("gid", (F.dense_rank().over(Window.orderBy(*by)) - 1) if by else F.lit(0))
-    rows = indexed.select("gid", "cell", "lo").orderBy("gid", "cell").collect()
-    starts: dict[int, list[int]] = {}
-    for r in rows:
-        starts.setdefault(int(r.gid), []).append(int(r.lo))
-    entries = [F.struct(F.lit(g).alias("gid"), _search_tree(F.col("idx"), st, 0, len(st)).alias("cell"))
-               for g, st in sorted(starts.items())]
-    per = draws.select("b", F.inline(F.array(*entries)))
-    counts = per.groupBy("b", "gid", "cell").agg(F.count(F.lit(1)).alias("w"))
-    values = F.broadcast(indexed.select("gid", "cell", *order))
-    return counts.join(values, ["gid", "cell"], "inner").drop("gid", "cell")
-
-
 def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int) -> DataFrame:
     """(b, idx, bucket) for all B x n draws, generated in parallel by ``range``."""
     ids = spark.range(0, int(n_resamples) * int(n))
-    b = F.floor(F.col("id") / F.lit(n)).cast("bigint")
-    j = F.col("id") - b * F.lit(n)
+    b = F.expr(f"id div {int(n)}")
+    j = F.expr(f"id % {int(n)}")
     idx = draw_index(seed, b, j, F.lit(n))
     return ids.select(b.alias("b"), idx.alias("idx")).withColumn(
-        "bucket", (F.col("idx") / F.lit(width)).cast("bigint"))
+        "bucket", F.expr(f"idx div {int(width)}"))
 
 
 # ------------------------------------------------------------------ poisson strategy

@@ -3,20 +3,18 @@
 The discordant counts are one aggregate over paired cells. The exact
 two-sided binomial p-value at 0.5 is ``min(1, 2 * P[X <= min(b, c)])`` with
 ``X ~ Bin(b + c, 1/2)``, evaluated in log space (2^-7532 underflows a
-double): the ``min(b, c) + 1`` terms ``ln C(n, i) - n ln 2`` are rows of a
-distributed ``range``; each is a closed-form expression and one aggregate
-does the log-sum-exp against the largest term (i = min(b, c)). No window and
-no single-task sequence is involved.
+double) from the two counts: the largest term without cancellation, then the
+terms below it until they no longer count, some sqrt(b + c) of them at most.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.functions.stats import log_choose
+from starling.functions.stats import ln_half_binomial_tail
 
 LN2 = math.log(2.0)
 
@@ -33,25 +31,18 @@ def discordant_counts(paired: DataFrame, label: str = "label", a: str = "pred_a"
     )
 
 
-def exact_ln_p(spark: SparkSession, b: int, c: int, partitions: int | None = None) -> Column | DataFrame:
+def exact_ln_p(spark: SparkSession, b: int, c: int) -> DataFrame:
     """One-row DataFrame ``(ln_p)``: log of the exact two-sided p-value."""
     n, m = int(b) + int(c), min(int(b), int(c))
-    if n == 0:
-        return spark.range(1).select(F.lit(0.0).alias("ln_p"))
-    nn = F.lit(n).cast("bigint")
-    top = log_choose(nn, F.lit(m).cast("bigint")) - F.lit(n * LN2)
-    rng = spark.range(0, m + 1, numPartitions=partitions) if partitions else spark.range(0, m + 1)
-    terms = rng.select((log_choose(nn, F.col("id")) - F.lit(n * LN2)).alias("t"))
-    ln_cdf = top + F.log(F.sum(F.exp(F.col("t") - top)))
-    return terms.agg(F.least(F.lit(0.0), F.lit(LN2) + ln_cdf).alias("ln_p"))
+    ln_p = 0.0 if 2 * m == n else min(0.0, LN2 + ln_half_binomial_tail(n, m))
+    return spark.range(1).select(F.lit(ln_p).alias("ln_p"))
 
 
 def mcnemar(paired: DataFrame, label: str = "label", a: str = "pred_a", b: str = "pred_b",
             weight: str | None = None, alpha: float = 0.05) -> DataFrame:
     """Counts, p-value (and its log), significance at ``alpha``.
 
-    The two counts are fetched (two scalars) to size the distributed range of
-    binomial terms; everything else stays on the cluster.
+    The two counts are fetched (two scalars); the p-value is a function of them.
     """
     counts = discordant_counts(paired, label, a, b, weight).first()
     bb, cc = int(counts["a_right_b_wrong"]), int(counts["a_wrong_b_right"])

@@ -51,7 +51,7 @@ def prepare(spark: SparkSession, raw: DataFrame, out_dir: str, expected_rows: in
     written = IO.read_splits(spark, splits_path)
     leak = S.leakage_report(written).first()
     if not leak.disjoint:
-        raise AssertionError("Prepared splits contain text leakage")
+        raise AssertionError("a text stands in more than one split")
     sha = IO.table_fingerprint(raw, ["rating", "review"]).select("fingerprint").scalar()
     m = IO.split_manifest(written, sha, seed, F.lit(bool(leak.disjoint)))
     IO.write_json(m, f"{out_dir.rstrip('/')}/split_manifest")

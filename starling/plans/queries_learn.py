@@ -32,13 +32,25 @@ FROM documents""")
 def q_tokenize_truncate(spark, sf_dir):
     d = X.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("doc_id"),
                                                    F.col("text").alias("review"))
-    t = L.tokenize(d, lowercase=False).withColumn("_all", L.word_tokens(F.col("review")))
+    t = L.tokenize(d, max_length=L.MAX_LENGTH, lowercase=False).withColumn("_all", L.word_tokens(F.col("review")))
     return t.select("doc_id", F.col("n_tokens").cast("bigint").alias("n_tokens"),
                     F.size("tokens").cast("bigint").alias("n_kept"),
                     F.md5(F.array_join("tokens", " ")).alias("digest"),
                     F.md5(F.array_join("_all", " ")).alias("digest_all"))
 
 
+# ------------------------------------------------------------------ tokens that training and scoring see
+@query("tokens_seen", sql=with_views() + f"""
+SELECT CAST(sum(len(regexp_extract_all(text, '{WORDS}'))) AS BIGINT) AS tokens_present,
+       CAST(sum(len(regexp_extract_all(text, '{WORDS}'))) AS BIGINT) AS tokens_seen
+FROM documents""")
+def q_tokens_seen(spark, sf_dir):
+    """What the default tokenisation hands to the models, against what the texts hold."""
+    docs = X.table(spark, sf_dir, "documents").select(F.col("text").alias("review"))
+    seen = L.tokenize(docs).withColumn("present", F.size(L.word_tokens(F.col("review"))))
+    return seen.agg(F.sum("present").cast("bigint").alias("tokens_present"), F.sum(F.size("tokens")).cast("bigint").alias("tokens_seen"))
+
+
 def _splits(spark, sf_dir):
     sp = S.stratified_split(C.clean_reviews(X.train_text(spark, sf_dir)))
     return sp.cache()

@@ -235,7 +235,7 @@ def _hash_ci_sql(metric_name: str, metric_expr: str, point_src: str, system: str
         "iv": """SELECT *, coalesce(sum(n) OVER (ORDER BY label, prediction ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
                  FROM c1""",
         "tot": "SELECT sum(n) AS n FROM c1",
-        "draws": f"""SELECT b, CAST(('0x' || substr(md5('{SEED}:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT)
+        "draws": f"""SELECT b, CAST(('0x' || substr(md5('{SEED}:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT)
                             % (SELECT n FROM tot) AS idx
                      FROM range({N_RESAMPLES}) t(b), (SELECT unnest(range(CAST((SELECT n FROM tot) AS BIGINT))) AS j)""",
         "hit": "SELECT d.b, i.label, i.prediction FROM draws d JOIN iv i ON d.idx >= i.lo AND d.idx < i.lo + i.n",
@@ -278,7 +278,7 @@ def _paired_sql() -> str:
         "iv": """SELECT *, coalesce(sum(n) OVER (ORDER BY label, pred_a, pred_b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo
                  FROM c1""",
         "tot": "SELECT sum(n) AS n FROM c1",
-        "draws": f"""SELECT b, CAST(('0x' || substr(md5('{SEED}:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT)
+        "draws": f"""SELECT b, CAST(('0x' || substr(md5('{SEED}:' || CAST(b AS VARCHAR) || ':' || CAST(j AS VARCHAR)), 1, 15)) AS BIGINT)
                             % (SELECT n FROM tot) AS idx
                      FROM range({N_RESAMPLES}) t(b), (SELECT unnest(range(CAST((SELECT n FROM tot) AS BIGINT))) AS j)""",
         "hit": "SELECT d.b, i.label, i.pred_a, i.pred_b FROM draws d JOIN iv i ON d.idx >= i.lo AND d.idx < i.lo + i.n",

@@ -2,7 +2,7 @@
 
 On a cluster the shared folder is whatever the cluster names in
 ``spark.checkpoint.dir``; it is read from the running session. Only when it is
-unset (local runs and tests) is a private folder created and registered.
+unset in a local run (tests) is a private folder created and registered.
 """
 
 from __future__ import annotations
@@ -63,7 +63,8 @@ def local_session(cores: int | str = "*", app: str = "starling", **conf) -> Spar
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; set a private one only if unset."""
+    """The cluster's shared checkpoint folder. Where it is unset, a local session gets a private
+    one, and a cluster's session is refused."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
@@ -71,6 +72,8 @@ def shared_root(spark: SparkSession) -> str:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(configured)
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="starling-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

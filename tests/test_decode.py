@@ -12,41 +12,41 @@ def _run(spark, probs, fn):
 
 
 def test_argmax(spark):
-    assert _run(spark, [[.7, .1, .1, .1], [.1, .1, .1, .7]], D.decode_argmax) == [1, 5]
-    assert _run(spark, [[.4, .4, .1, .1]], D.decode_argmax) == [1]  # first index on a tie
+    assert _run(spark, [[.1, .2, .6, .1], [.05, .55, .2, .2]], D.decode_argmax) == [4, 2]
+    assert _run(spark, [[.1, .3, .3, .3]], D.decode_argmax) == [2]  # first index on a tie
 
 
 def test_expected_value(spark):
-    assert _run(spark, [[.5, .5, 0, 0], [0, 0, 1, 0]], D.decode_expected) == [1.5, 4.0]
+    assert _run(spark, [[0, .5, 0, .5], [.25, .25, .25, .25]], D.decode_expected) == [3.5, 3.0]
 
 
 def test_rounded_snaps_with_lower_tie(spark):
-    assert _run(spark, [[.5, .5, 0, 0], [0, .5, .5, 0]], D.decode_rounded) == [1, 2]
+    assert _run(spark, [[0, 0, .5, .5], [.5, 0, 0, .5], [0, .25, .75, 0]], D.decode_rounded) == [4, 2, 4]
 
 
 def test_median(spark):
-    assert _run(spark, [[0, 1, 0, 0], [.3, .4, .2, .1]], D.decode_median) == [2, 2]
-    assert _run(spark, [[.1, .1, .1, .1]], D.decode_median) == [1]  # no prefix reaches 0.5
+    assert _run(spark, [[0, 0, 0, 1], [.5, .25, .25, 0], [.25, .125, .25, .375]], D.decode_median) == [5, 1, 4]
+    assert _run(spark, [[.125, .125, .125, 0]], D.decode_median) == [1]  # no prefix reaches 0.5
 
 
 def test_median_differs_from_argmax_when_skewed(spark):
-    p = [[.2, .35, .05, .4]]
-    assert _run(spark, p, D.decode_argmax) == [5]
+    p = [[.375, .25, .25, .125]]
+    assert _run(spark, p, D.decode_argmax) == [1]
     assert _run(spark, p, D.decode_median) == [2]
 
 
 def test_decoders_stay_in_domain(spark):
     rng = np.random.default_rng(0)
-    raw = rng.random((50, 4))
+    raw = rng.random((80, 4)) ** 3
     probs = raw / raw.sum(axis=1, keepdims=True)
     for fn in (D.decode_rounded, D.decode_median, D.decode_argmax):
         assert set(_run(spark, probs.tolist(), fn)) <= {1, 2, 4, 5}
 
 
 def test_rank_mapping_and_clipping(spark):
-    df = spark.createDataFrame([(r,) for r in [1, 2, 4, 5, 1, 5, 2, 4]], "r long")
+    df = spark.createDataFrame([(r,) for r in [5, 4, 4, 1, 2]], "r long")
     ranks = [x[0] for x in df.select(rating_to_rank("r")).collect()]
-    assert ranks == [0, 1, 2, 3, 0, 3, 1, 2]
+    assert ranks == [3, 2, 2, 0, 1]
     k = spark.createDataFrame([(v,) for v in [-3, 0, 3, 9]], "k long")
     assert [x[0] for x in k.select(rank_to_rating("k")).collect()] == [1, 1, 5, 5]
 
@@ -58,13 +58,13 @@ def test_unknown_rating_raises(spark):
 
 
 def test_coral_decode(spark):
-    got = _run(spark, [[5, 5, 5], [-5, -5, -5], [2, 1, -1], [0, 0, 0]], lambda c: D.coral_decode(c, 3))
-    assert got == [3, 0, 2, 0]
+    got = _run(spark, [[3, 2, 1], [-1, -2, -9], [4, -1, -1], [0, 0, 0], [-1, 2, 2]], lambda c: D.coral_decode(c, 3))
+    assert got == [3, 0, 1, 0, 2]
 
 
 def test_bias_monotonicity(spark):
-    got = _run(spark, [[1, .5, .1], [.1, .5, 1], [.5, .5, .5]], lambda c: O.is_monotone(c, 3))
-    assert got == [True, False, True]
+    got = _run(spark, [[3, 1, -2], [0, -1, 2], [2, 2, 2], [0, 1, -1]], lambda c: O.is_monotone(c, 3))
+    assert got == [True, False, True, False]
 
 
 def test_softmax_sums_to_one(spark):

@@ -22,6 +22,15 @@ def test_coral_reduction_recovers_planted_weights(spark):
     w_hat, b_hat = L.fit_coral_features(df)
     assert w_hat == pytest.approx(w.tolist(), abs=0.12)
     assert b_hat == pytest.approx(b.tolist(), abs=0.12)
+    # a penalty on the weights leaves the biases where they are, but for what the weights take along
+    assert L.fit_coral_features(df, reg_param=0.01)[1] == pytest.approx(b.tolist(), abs=0.2)
+
+
+def test_training_sees_whole_texts(spark):
+    text = " ".join(f"word{i}" for i in range(1000))
+    df = spark.createDataFrame([(text,)], "review string")
+    assert L.tokenize(df).selectExpr("size(tokens)").first()[0] == 1000
+    assert L.tokenize(df, max_length=L.MAX_LENGTH).selectExpr("size(tokens)", "n_tokens").first() == (L.MAX_LENGTH, 1000)
 
 
 def test_entry_runs(spark):
@@ -37,7 +46,8 @@ def test_every_oracle_key_is_a_query():
 
 
 @pytest.mark.parametrize("name", ["rating_metrics", "clean_summary", "split_allocation", "per_class",
-                                  "mcnemar_exact", "early_stop", "decode_all"])
+                                  "mcnemar_exact", "early_stop", "decode_all", "align_predictions", "tokens_seen",
+                                  "bootstrap_mae", "comparison_report"])
 def test_selected_queries_match_duckdb_at_sf0001(spark, name):
     import duckdb
     import __spark_entry__ as entry

@@ -1,4 +1,3 @@
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,25 +10,25 @@ def _metrics(spark, y, p):
     return df.agg(*M.rating_metrics("label", "prediction", with_qwk=True, with_polarity=True)).first()
 
 
-def test_perfect_predictions(spark):
-    r = _metrics(spark, [1, 2, 4, 5], [1, 2, 4, 5])
+def test_nothing_wrong(spark):
+    r = _metrics(spark, [5, 4, 4, 1, 2], [5, 4, 4, 1, 2])
     assert (r.mae, r.rmse, r.exact_accuracy, r.within_one_accuracy) == (0.0, 0.0, 1.0, 1.0)
 
 
-def test_known_errors(spark):
-    r = _metrics(spark, [1, 2, 4, 5], [2, 2, 5, 4])
-    assert r.mae == pytest.approx(0.75)
-    assert r.exact_accuracy == pytest.approx(0.25)
-    assert r.within_one_accuracy == pytest.approx(1.0)
+def test_errors_counted_by_hand(spark):
+    r = _metrics(spark, [5, 1, 2, 4, 5], [1, 1, 4, 5, 4])  # errors 4, 0, 2, 1, 1
+    assert r.mae == pytest.approx(8 / 5)
+    assert r.rmse == pytest.approx((22 / 5) ** 0.5)
+    assert r.exact_accuracy == pytest.approx(1 / 5)
+    assert r.within_one_accuracy == pytest.approx(3 / 5)
 
 
-def test_within_one_equals_polarity_on_the_scale(spark):
-    rng = np.random.default_rng(0)
-    dom = np.array([1, 2, 4, 5])
-    y, p = rng.choice(dom, 2000), rng.choice(dom, 2000)
-    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "label long, prediction double")
-    bad = df.where((F.abs(F.col("prediction") - F.col("label")) <= 1) != ((F.col("prediction") >= 4) == (F.col("label") >= 4)))
-    assert bad.count() == 0
+def test_within_one_is_the_same_side_of_the_gap(spark):
+    """Every pair of the scale: 1 and 2, or 4 and 5, are within one of each other and no others."""
+    pairs = [(a, float(b)) for a in (1, 2, 4, 5) for b in (1, 2, 4, 5)]
+    df = spark.createDataFrame(pairs, "label long, prediction double")
+    near = F.abs(F.col("prediction") - F.col("label")) <= 1
+    assert df.where(near != ((F.col("prediction") >= 4) == (F.col("label") >= 4))).count() == 0
 
 
 def test_exact_uses_isclose_tolerance(spark):
@@ -88,3 +87,13 @@ def test_target_distribution_zero_fills_the_scale(spark):
     got = {r.rating: r for r in E.target_distribution(df).collect()}
     assert got[3].n == 0 and got[3].is_missing
     assert got[1].share == pytest.approx(2 / 3)
+
+
+def test_alignment_refuses_wrong_keys(spark):
+    labels = spark.createDataFrame([(1, 4), (2, 5)], "row_id long, label long")
+    def of(*keys):
+        return spark.createDataFrame([("s", k, 4.0) for k in keys], "system string, row_id long, prediction double")
+    assert [tuple(r) for r in E.align_predictions(labels, of(1, 2))[1].collect()] == [("s", 2)]
+    for keys in ((1, 1), (1,), (1, 2, 3), (1, 3)):
+        with pytest.raises(Exception):
+            E.align_predictions(labels, of(*keys))[1].count()

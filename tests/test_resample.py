@@ -1,102 +1,140 @@
 import math
+from decimal import Decimal, getcontext
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from starling.functions import metrics as M
+from starling.functions import stats
 from starling.operators import evaluate as E
 from starling.operators import resample as RS
 from starling.operators import significance as SG
 
 
-def _accuracy(y, p, w):
-    return F.sum(w * F.when(y == p, 1.0).otherwise(0.0)) / F.sum(w)
+def _ratings(n, noise, seed):
+    """Labels of the scale, and predictions that miss with the given rate."""
+    rng = np.random.default_rng(seed)
+    y = rng.choice([1, 2, 4, 5], n)
+    return y, np.where(rng.random(n) < noise, rng.choice([1, 2, 4, 5], n), y)
 
 
-def _cells(spark, y, p):
-    df = spark.createDataFrame([(int(a), float(b)) for a, b in zip(y, p)], "label long, prediction double")
-    return E.cells(df.withColumn("system", F.lit("s"))).drop("system")
+def _cells(spark, systems):
+    rows = [(name, int(a), float(b)) for name, (y, p) in systems.items() for a, b in zip(y, p)]
+    return E.cells(spark.createDataFrame(rows, "system string, label long, prediction double"))
 
 
 @pytest.mark.parametrize("strategy", ["cells", "hash"])
-def test_bootstrap_is_deterministic(spark, strategy):
-    y = [0, 1] * 100
-    p = [0, 1] * 95 + [1, 0] * 5
-    c = _cells(spark, y, p)
-    a = RS.bootstrap_ci(c, {"acc": _accuracy}, strategy, n_resamples=200, seed=42).collect()
-    b = RS.bootstrap_ci(c, {"acc": _accuracy}, strategy, n_resamples=200, seed=42).collect()
-    assert a == b
-
-
-@pytest.mark.parametrize("strategy", ["cells", "hash"])
-def test_bootstrap_brackets_point(spark, strategy):
-    y = np.random.default_rng(1).integers(0, 2, 300)
-    p = np.random.default_rng(2).integers(0, 2, 300)
-    r = RS.bootstrap_ci(_cells(spark, y, p), {"acc": _accuracy}, strategy, n_resamples=300, seed=7).first()
+def test_same_seed_same_interval(spark, strategy):
+    c = _cells(spark, {"s": _ratings(150, 0.3, 3)}).drop("system")
+    runs = [RS.bootstrap_ci(c, {"mae": M.mae}, strategy, n_resamples=60, seed=11).collect() for _ in range(2)]
+    assert runs[0] == runs[1]
+    assert runs[0][0].ci_low <= runs[0][0].point <= runs[0][0].ci_high
+
+
+def test_an_interval_does_not_hang_on_its_company(spark):
+    both = _cells(spark, {"a": _ratings(120, 0.2, 1), "b": _ratings(140, 0.4, 2)})
+    kw = {"n_resamples": 80, "seed": 5, "by": ["system"]}
+    together = {r.system: r for r in RS.bootstrap_cells(both, {"mae": M.mae}, **kw).collect()}
+    alone = RS.bootstrap_cells(both.where("system = 'b'"), {"mae": M.mae}, **kw).first()
+    assert together["b"] == alone
+
+
+def test_cells_and_row_draws_agree(spark):
+    y, p = _ratings(400, 0.3, 8)
+    got = RS.bootstrap_cells(_cells(spark, {"s": (y, p)}).drop("system"), {"mae": M.mae}, n_resamples=1500, seed=2).first()
+    rng = np.random.default_rng(0)
+    error = np.abs(y - p)
+    means = [error[rng.integers(0, 400, 400)].mean() for _ in range(4000)]
+    low, high = np.quantile(means, [0.025, 0.975])
+    assert got.point == pytest.approx(error.mean())
+    assert got.ci_low == pytest.approx(low, abs=0.02) and got.ci_high == pytest.approx(high, abs=0.02)
+
+
+def test_predictions_that_all_differ(spark):
+    """More cells than any table of cells should hold in one place."""
+    n = 1_200_000
+    cells = spark.range(n).select((F.col("id") % 5 + 1).alias("label"), (F.col("id") / n).alias("prediction"), F.lit(1).cast("long").alias("n"))
+    got = RS.bootstrap_cells(cells, {"mae": M.mae}, n_resamples=4, seed=1).first()
+    assert got.point == pytest.approx(2.5, abs=0.01)
+    assert abs(got.ci_low - got.point) < 0.01 and abs(got.ci_high - got.point) < 0.01
+
+
+def test_no_spread_no_width(spark):
+    y = [4] * 30
+    r = RS.bootstrap_ci(_cells(spark, {"s": (y, y)}).drop("system"), {"mae": M.mae}, "cells", n_resamples=40, seed=9).first()
+    assert (r.point, r.ci_low, r.ci_high) == (0.0, 0.0, 0.0)
+
+
+def test_poisson_weights_on_rows(spark):
+    df = spark.range(240).select(F.col("id").alias("row_id"), (F.col("id") % 4 + 1).alias("label"), ((F.col("id") * 7) % 4 + 1).cast("double").alias("prediction"))
+    r = RS.bootstrap_ci(df, {"mae": M.mae}, "poisson", n_resamples=50, seed=3).first()
     assert r.ci_low <= r.point <= r.ci_high
 
 
-def test_bootstrap_zero_variance(spark):
-    r = RS.bootstrap_ci(_cells(spark, [0] * 50, [0] * 50), {"acc": _accuracy}, "cells", n_resamples=200, seed=0).first()
-    assert (r.point, r.ci_low, r.ci_high) == (1.0, 1.0, 1.0)
-
-
-def test_poisson_bootstrap_runs_on_rows(spark):
-    df = spark.createDataFrame([(i, i % 2, float((i * 7) % 2)) for i in range(200)],
-                               "row_id long, label long, prediction double")
-    r = RS.bootstrap_ci(df, {"acc": _accuracy}, "poisson", n_resamples=100, seed=3).first()
-    assert r.ci_low <= r.point <= r.ci_high
+def test_draws_reach_the_last_rows(spark):
+    n = 20_000_000_000
+    ids = spark.range(0, 2000)
+    far = ids.select(F.max(RS.draw_index(1, F.lit(0), F.col("id"), F.lit(n)))).first()[0]
+    assert far > 0.99 * n
 
 
 def _paired(spark, y, a, b):
-    df = spark.createDataFrame([(int(u), float(v), float(w)) for u, v, w in zip(y, a, b)],
-                               "label long, pred_a double, pred_b double")
+    df = spark.createDataFrame([(int(u), float(v), float(w)) for u, v, w in zip(y, a, b)], "label long, pred_a double, pred_b double")
     return df.groupBy("label", "pred_a", "pred_b").agg(F.count(F.lit(1)).alias("n"))
 
 
-def test_paired_delta_detects_a_clear_winner(spark):
-    y = np.random.default_rng(0).integers(0, 2, 500)
-    b = y.copy()
-    b[:250] = 1 - b[:250]
-    metric = RS.paired_delta_metric(_accuracy)
-    r = RS.excludes_zero(RS.bootstrap_ci(_paired(spark, y, y, b), {"d": metric}, "cells", n_resamples=500,
+@pytest.mark.parametrize("noise,apart", [(0.6, True), (0.0, False)])
+def test_paired_delta(spark, noise, apart):
+    y, good = _ratings(250, 0.0, 4)
+    other = _ratings(250, noise, 4)[1] if noise else good
+    r = RS.excludes_zero(RS.bootstrap_ci(_paired(spark, y, good, other), {"d": RS.paired_delta_metric(M.mae)}, "cells", n_resamples=150,
                                          cell_cols=("label", "pred_a", "pred_b"), pred="pred_a")).first()
-    assert r.point == pytest.approx(0.5)
-    assert r.excludes_zero is True
+    assert r.excludes_zero is apart
+    assert r.point == pytest.approx(-np.abs(y - other).mean())
 
 
-def test_paired_delta_zero_for_identical(spark):
-    y = np.random.default_rng(3).integers(0, 2, 200)
-    metric = RS.paired_delta_metric(_accuracy)
-    r = RS.excludes_zero(RS.bootstrap_ci(_paired(spark, y, y, y), {"d": metric}, "cells", n_resamples=200,
-                                         cell_cols=("label", "pred_a", "pred_b"), pred="pred_a")).first()
-    assert r.point == 0.0 and r.excludes_zero is False
-
+def test_mcnemar_counts(spark):
+    rows = [(2, 2.0, 4.0)] * 25 + [(5, 4.0, 5.0)] * 4 + [(1, 1.0, 1.0)] * 9
+    r = SG.mcnemar(spark.createDataFrame(rows, "label long, pred_a double, pred_b double")).first()
+    assert (r.a_right_b_wrong, r.a_wrong_b_right, r.n_discordant) == (25, 4, 29)
+    assert r.p_value == pytest.approx(2 * sum(math.comb(29, i) for i in range(5)) / 2**29, rel=1e-12) and r.significant
 
-def test_mcnemar_dominating_system(spark):
-    y = [1] * 100
-    b = [0] * 40 + [1] * 60
-    df = spark.createDataFrame([(1, 1.0, float(v)) for v in b], "label long, pred_a double, pred_b double")
-    r = SG.mcnemar(df).first()
-    assert (r.a_right_b_wrong, r.a_wrong_b_right) == (40, 0)
-    assert r.significant is True
 
-
-def test_mcnemar_no_discordant_pairs(spark):
-    df = spark.createDataFrame([(0, 0.0, 0.0), (1, 1.0, 1.0)], "label long, pred_a double, pred_b double")
-    r = SG.mcnemar(df).first()
+def test_mcnemar_without_discordant_pairs(spark):
+    r = SG.mcnemar(spark.createDataFrame([(4, 4.0, 4.0), (2, 5.0, 1.0)], "label long, pred_a double, pred_b double")).first()
     assert r.p_value == 1.0 and r.significant is False
 
 
 def test_mcnemar_golden_p_value(spark):
     # published: b = 5242, c = 2290 -> p = 2.84306e-260
     ln_p = SG.exact_ln_p(spark, 5242, 2290).first().ln_p
-    assert ln_p == pytest.approx(-597.62724311, abs=1e-6)
     assert math.exp(ln_p) == pytest.approx(2.84306e-260, rel=1e-5)
 
 
-def test_mcnemar_matches_scipy_small(spark):
-    # exact two-sided binomial at 1/2 for b=3, c=12: 2 * P[X <= 3], X ~ Bin(15, .5)
-    n = 15
-    expected = min(1.0, 2 * sum(math.comb(n, i) for i in range(4)) / 2 ** n)
-    assert math.exp(SG.exact_ln_p(spark, 3, 12).first().ln_p) == pytest.approx(expected, rel=1e-12)
+def _ln_factorial(n):
+    """To 50 digits, for large n."""
+    getcontext().prec = 60
+    x, pi = Decimal(n), Decimal("3.14159265358979323846264338327950288419716939937510582097494459")
+    return x * x.ln() - x + (2 * pi * x).ln() / 2 + 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
+@pytest.mark.parametrize("n,m", [(10**10, 5 * 10**9 - 70_000), (10**10, 4 * 10**9), (3 * 10**9 + 5, 10**6)])
+def test_binomial_terms_at_any_size(n, m):
+    want = _ln_factorial(n) - _ln_factorial(m) - _ln_factorial(n - m) - n * Decimal(2).ln()
+    assert stats.ln_half_binomial(n, m) == pytest.approx(float(want), rel=1e-13, abs=1e-9)
+
+
+def test_mcnemar_beyond_32_bits(spark):
+    assert SG.exact_ln_p(spark, 3 * 10**9, 5).first().ln_p < -1e9
+    n = 10**10
+    z = 2.0  # two standard deviations below the middle
+    p = math.exp(SG.exact_ln_p(spark, n // 2 + int(z * math.sqrt(n) / 2), n - (n // 2 + int(z * math.sqrt(n) / 2))).first().ln_p)
+    assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-4)
+
+
+@pytest.mark.parametrize("b,c", [(0, 1), (1, 9), (16, 17), (40, 3), (7, 7)])
+def test_mcnemar_small_counts(spark, b, c):
+    n, m = b + c, min(b, c)
+    want = 1.0 if b == c else min(1.0, 2 * sum(math.comb(n, i) for i in range(m + 1)) / 2**n)
+    assert math.exp(SG.exact_ln_p(spark, b, c).first().ln_p) == pytest.approx(want, rel=1e-12)
