@@ -40,6 +40,7 @@ from starling.domain import SEED
 from starling.functions import metrics as M
 from starling.functions.decode import nearest_rating
 
+BROADCAST_ROWS = 200_000  # intervals that the hash strategy's join broadcasts at most
 _BATCH_ROWS = 100_000  # drawn cells that a task hands on at once
 
 
@@ -162,7 +163,9 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     spans = iv.withColumn("bucket", F.explode(F.sequence(
         F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width)
-    hit = draws.join(spans, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+    # broadcast only where the intervals have been counted as few; an ordinary join beyond that
+    side = F.broadcast(spans) if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else spans
+    hit = draws.join(side, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
     counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
     point = _apply(keyed, list(by), metrics, "n", label, pred)
