@@ -37,6 +37,8 @@ RECALL, MOST_REPETITIONS = 0.97, 32
 BLOCK_WORDS = 2_000_000
 #: Share of the whole embedding in which a candidate agrees with its item (strangers agree in a few percent).
 AGREEMENT = 0.3
+#: Bytes of text read at once: the walks over it stay in the processor's cache.
+SLICE_BYTES = 1 << 20
 _EARLY, _LATE = 6, 12
 _END = U8(0)
 
@@ -97,6 +99,10 @@ def agreement(sampler: Sampler, a: np.ndarray, a_start, a_size, b: np.ndarray, b
     return same / np.maximum(steps, 1)
 
 
+def _joined(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    return common.mix(one + common.mix(two))
+
+
 class Items:
     """Benchmark items as word sequences, with their LSH keys for each repetition."""
 
@@ -109,8 +115,15 @@ class Items:
         self.hashes, self.start = hashes, words.first[:-1][use]
         self.allowed = np.floor(self.size * edits + 1e-9).astype(np.int64)
         self.samplers, self.keys, self.recall = [], [], 0.0
+        self._tables = None
         self._calibrate(recall)
 
+    def tables(self) -> list[tuple[KeyTable, KeyTable]]:
+        """For each repetition the items' first coordinates, and first and second together; made once a task."""
+        if self._tables is None:
+            self._tables = [(KeyTable(np.unique(a)), KeyTable(_joined(a, b))) for a, b, _ in self.keys]
+        return self._tables
+
     def sequence(self, i: int) -> np.ndarray:
         return self.hashes[self.start[i] : self.start[i] + self.size[i]]
 
@@ -157,36 +170,54 @@ class Items:
                 break
 
 
+class KeyTable:
+    """Which values are among `keys`: a bit table first, then a search among the sorted ones."""
+
+    def __init__(self, keys: np.ndarray):
+        self.order = np.argsort(keys, kind="stable")
+        self.sorted = keys[self.order]
+        self.mask = U8((1 << max(16, (16 * len(keys)).bit_length())) - 1)
+        self.seen = np.zeros(int(self.mask) + 1, bool)
+        self.seen[(keys & self.mask).astype(np.int64)] = True
+
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, low, high): the values that occur, and where in `sorted` they do."""
+        place = np.flatnonzero(self.seen[(values & self.mask).astype(np.int64)])
+        low = np.searchsorted(self.sorted, values[place], "left")
+        high = np.searchsorted(self.sorted, values[place], "right")
+        keep = high > low
+        return place[keep], low[keep], high[keep]
+
+
 def candidates(items: Items, hashes: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word, item): windows that agree with an item in all coordinates of a repetition. `last`:
     for each word, where its text ends."""
     found_at, found_item = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     n = len(hashes)
-    for sampler, (first, second, third) in zip(items.samplers, items.keys):
-        bits = sampler.bits(hashes, 0)
+    padded = np.append(hashes, np.zeros(_EARLY, U8))  # a walk may pass the end by as many steps
+    for sampler, (first, both), (_, _, third) in zip(items.samplers, items.tables(), items.keys):
+        bits = sampler.bits(padded, 0)
+        move = [((bits >> U8(j)) & U8(1)).astype(np.int8) for j in range(sampler.early[1])]
         # all windows: up to the first coordinate
         at = np.arange(n)
-        for j in range(sampler.early[0]):
-            at += ((bits[np.minimum(at, n - 1)] >> U8(j)) & U8(1)).astype(np.int64)
-        seen = np.zeros(1 << 16, bool)
-        seen[(first & U8(0xFFFF)).astype(np.int64)] = True
-        written = hashes[np.minimum(at, n - 1)]
-        start = np.flatnonzero(seen[(written & U8(0xFFFF)).astype(np.int64)] & (at < last))
-        start = start[np.isin(written[start], first)]
+        for step in move[: sampler.early[0]]:
+            at += step[at]
+        hit = np.zeros(n + _EARLY, bool)
+        hit[first.find(hashes)[0]] = True
+        start = np.flatnonzero(hit[at] & (at < last))
         if not len(start):
             continue
         # those that agree in one: up to the second
-        at, one = at[start], written[start]
-        for j in range(sampler.early[0], sampler.early[1]):
-            at += ((bits[np.minimum(at, n - 1)] >> U8(j)) & U8(1)).astype(np.int64)
-        two = hashes[np.minimum(at, n - 1)]
-        pair, own = common.mix(one + common.mix(two)), common.mix(first + common.mix(second))
-        order = np.argsort(own, kind="stable")
-        low, high = np.searchsorted(own[order], pair, "left"), np.searchsorted(own[order], pair, "right")
-        keep = (high > low) & (at < last[start])
-        start, low, high = start[keep], low[keep], high[keep]
+        at = at[start]
+        one = hashes[at]
+        for step in move[sampler.early[0] :]:
+            at += step[at]
+        keep, low, high = both.find(_joined(one, padded[at]))
+        inside = at[keep] < last[start[keep]]
+        start, low, high = start[keep[inside]], low[inside], high[inside]
         if not len(start):
             continue
+        order = both.order
         # those that agree in two, with each item they agree with: the third
         start, which = np.repeat(start, high - low), np.concatenate([order[a:b] for a, b in zip(low, high)])
         size = np.minimum(items.size[which], last[start] - start)
@@ -225,7 +256,7 @@ def _find(items: Items):
     schema = pa.schema([("id", pa.int64()), ("item", pa.int64()), ("edits", pa.int64()), ("end_word", pa.int64()), ("item_words", pa.int64())])
 
     def find(batches):
-        for rows in common.slices(batches, "text"):
+        for rows in common.slices(batches, "text", SLICE_BYTES):
             words, hashes = words_of(common.utf8(rows.column("text")))
             if not len(words):
                 continue
