@@ -22,7 +22,7 @@ from starling.llm import common
 from starling.llm.common import U8
 
 THRESHOLD = 2
-#: Lines of fewer characters are kept as they are: short lines are alike by chance.
+#: Lines of fewer characters have no near copies: short lines are alike by chance.
 MIN_CHARS = 20
 _LAST = (1 << 63) - 1
 _RECORD = np.dtype([("key", "<u8"), ("id", "<u8"), ("sig", "<u4")])
@@ -254,7 +254,7 @@ def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHA
     return checked.unionByName(more)
 
 
-def line_classes(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS) -> DataFrame:
+def line_classes(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, exact: int | None = None) -> DataFrame:
     """(id, mark, line_no, class_id, class_line): every line that repeats one before it,
     and the place (id of the document, number of the line) of its class's first line.
     `slim` has id, mark (hash of the text) and text; null ids come last."""
@@ -262,7 +262,7 @@ def line_classes(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_C
 
     def places(batches):
         for rows in common.slices(batches, "text"):
-            found = [(line_id(line), i, k) for i, k, line in _lines(rows, least)]
+            found = [(line_id(line), i, k) for i, k, line in _lines(rows, least if exact is None else max(1, min(exact, least)))]
             if found:
                 name, i, k = zip(*found)
                 own = rows.select(["id", "mark"]).take(pa.array(i, pa.int32()))
@@ -283,17 +283,18 @@ def line_classes(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_C
 
 
 def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text",
-                details: bool = False) -> DataFrame:
+                details: bool = False, exact: int | None = None) -> DataFrame:
     """The rows of `docs` with all their columns, each text without the lines that are
     within `threshold` edits (directly or over others) of one before it. Before means:
     in a document with a smaller id, or earlier in the same text.
 
-    Lines end at \\n. Lines of fewer than `least` characters always stay. Null texts stay null,
+    Lines end at \\n. Lines of fewer than `least` characters stay, except that those of `exact`
+    characters or more go where they repeat one before them exactly; empty lines always stay. Null texts stay null,
     empty ones empty; null ids come after all others, and rows that repeat id and text are one
     document. With `details` the columns are the id, n_lines, n_removed, classes (document id and line
     number of the first line of each removed line's class, in line order) and text."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
-    gone = (line_classes(slim.where("text IS NOT NULL"), threshold, least).distinct()
+    gone = (line_classes(slim.where("text IS NOT NULL"), threshold, least, exact).distinct()
             .groupBy(F.coalesce("id", F.lit(_LAST)).alias("gone_id"), "mark")
             .agg(F.sort_array(F.collect_list(F.struct("line_no", "class_id", "class_line"))).alias("gone"))
             .withColumnRenamed("mark", "gone_mark"))

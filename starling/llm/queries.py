@@ -23,7 +23,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines, how many go, the first places of their classes, and the digest of what is kept."""
-    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), details=True)
+    found = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), details=True, exact=1)
     return found.select("doc_id", "n_lines", "n_removed",
                         F.concat_ws(",", F.transform("classes", lambda c: F.concat_ws(":", c["class_id"].cast("string"), c["class_line"].cast("string")))).alias("classes"),
                         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -129,6 +129,26 @@ def test_lines(docs, rows):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines(spark):
+    """Exact repeats of lines of any length go; short lines that are only near stay, and so do empty ones."""
+    rows = [(1, "And.\nx\n\nLes."), (2, "Les.\n\nAnd.\n\nAnd!"), (3, "x\nx\n a line of more than twenty letters"), (None, "Les.\nown")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, exact=1).collect()}
+    assert got == {1: "And.\nx\n\nLes.", 2: "\n\nAnd!", 3: " a line of more than twenty letters", None: "own"}
+
+
+def test_short_lines_of_the_data(spark):
+    texts = dict(brute.rows_of(table(spark, brute.SF, "documents")))
+    seen, repeats = set(), {}
+    for d in sorted(texts):
+        lines = (texts[d] or "").split("\n")
+        repeats[d] = sum(line in seen or line in lines[:k] for k, line in enumerate(lines) if line)
+        seen.update(lines)
+    assert any(repeats.values())
+    got = {r["doc_id"]: r["n_removed"] for r in queries.op4_line_dedup(spark, brute.SF).collect()}
+    assert all(got[d] >= repeats[d] for d in texts)
+
+
 def test_lines_in_blocks(spark):
     """Very many near copies of one line meet in blocks and still form one class."""
     rng = np.random.default_rng(1)
