@@ -30,8 +30,9 @@ HASH_BITS = 22
 #: Labelled rows that the model is fitted on, at most: those of least hash of their id.
 SAMPLE_ROWS = 10_000
 #: Terms in fewer sample rows than this are not learned, nor are those whose shares of rows in
-#: the two classes differ by less than so many standard errors.
-LEAST_ROWS, LEAST_ERRORS = 5, 3.0
+#: the two classes differ by less than so many standard errors, unless a pair of terms tells more
+#: than both do alone: by so much that chance shows it in one of all pairs with odds below PAIR_ODDS.
+LEAST_ROWS, LEAST_ERRORS, PAIR_ODDS = 5, 3.0, 0.01
 FACTORS, PASSES, BATCH, RATE, SHRINK = 4, 12, 256, 0.05, 2e-4
 #: Folds by crc32 of the id as text; this one is held out.
 FOLDS, HELD_OUT = 5, 0
@@ -74,16 +75,64 @@ class Model:
         return out
 
 
+def _evidence(ones, zeros, base):
+    """How far, in nats, a share of ones lies from `base`: chance gets there with odds of exp(-this) at most."""
+    share = ones / np.maximum(ones + zeros, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (np.where(ones > 0, ones * np.log(share / base), 0.0)
+                + np.where(zeros > 0, zeros * np.log((1 - share) / (1 - base)), 0.0))
+
+
+def paired(doc: np.ndarray, at: np.ndarray, label: np.ndarray, n_terms: int, block: int = 1024) -> np.ndarray:
+    """Which terms belong to a pair whose rows are toxic more often than those of either term, or
+    less often than those of either. Every pair of terms of enough rows is tested; the terms that
+    are passed over first are those that no partner could bring to the bound."""
+    count, ones = np.bincount(at, minlength=n_terms), np.bincount(at, label[doc], n_terms)
+    frequent = int((count >= LEAST_ROWS).sum())
+    bound = np.log(max(frequent * (frequent - 1) / 2, 1) / PAIR_ODDS)
+    base = np.clip(ones / np.maximum(count, 1), 1e-9, 1 - 1e-9)
+    can = (count >= LEAST_ROWS) & ((-ones * np.log(base) >= bound) | ((ones - count) * np.log1p(-base) >= bound))
+    terms_, out = np.flatnonzero(can), np.zeros(n_terms, bool)
+    rank = np.full(n_terms, -1)
+    rank[terms_] = np.arange(len(terms_))
+    row = np.empty(len(label), np.int64)  # toxic rows first
+    row[np.argsort(-label, kind="stable")] = np.arange(len(label))
+    toxic, mine = int(label.sum()), rank[at] >= 0
+    column, place = rank[at[mine]], row[doc[mine]]
+    order = np.argsort(column, kind="stable")
+    column, place = column[order], place[order]
+
+    def dense(start):
+        a, b = np.searchsorted(column, [start, start + block])
+        x = np.zeros((len(label), min(block, len(terms_) - start)), np.float32)
+        x[place[a:b], column[a:b] - start] = 1
+        return x
+
+    for i in range(0, len(terms_), block):
+        x, own = dense(i), terms_[i : i + block]
+        for j in range(i, len(terms_), block):
+            y, other = dense(j) if j > i else x, terms_[j : j + block]
+            n1, n0 = (x[:toxic].T @ y[:toxic]).astype(np.float64), (x[toxic:].T @ y[toxic:]).astype(np.float64)
+            share = n1 / np.maximum(n1 + n0, 1)
+            high = np.maximum(base[own][:, None], base[other][None, :])
+            low = np.minimum(base[own][:, None], base[other][None, :])
+            a, b = np.nonzero((n1 + n0 >= LEAST_ROWS) & ((share > high) | (share < low)))
+            beyond = np.where(share[a, b] > high[a, b], high[a, b], low[a, b])
+            tells = (_evidence(n1[a, b], n0[a, b], beyond) >= bound) & (own[a] != other[b])
+            out[own[a[tells]]] = out[other[b[tells]]] = True
+    return out
+
+
 def fit(doc: np.ndarray, term: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
     """Fit to rows of distinct terms (sorted by row) by adaptive gradient steps on the logistic
-    loss. Only terms of enough rows, and unlike in the two classes, are learned."""
+    loss. Only terms of enough rows, and unlike in the two classes by themselves or in a pair, are learned."""
     kept, at, count = np.unique(term, return_inverse=True, return_counts=True)
     ones = np.bincount(at, label[doc], len(kept)) if len(doc) else np.empty(0)
     n1 = float(label.sum())
     n0, share = len(label) - n1, count / max(len(label), 1)
     error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / max(n1, 1) + 1 / max(n0, 1)))
     telling = np.abs(ones / max(n1, 1) - (count - ones) / max(n0, 1)) >= LEAST_ERRORS * error
-    frequent = (count >= LEAST_ROWS) & telling
+    frequent = (count >= LEAST_ROWS) & (telling | paired(doc, at, label, len(kept)))
     number = np.cumsum(frequent) - 1
     use = frequent[at]
     doc, at, kept = doc[use], number[at[use]], kept[frequent]

@@ -180,6 +180,48 @@ def test_factors_learn_pairs():
     assert toxicity.Model(model.terms, 0.0, 0 * model.w, model.v).score(["alpha bravo"])[0] > 0.5  # by the factors alone
 
 
+def two_terms(rows, toxic):
+    rng = np.random.default_rng(0)
+    texts, label = [], []
+    for _ in range(rows):
+        a, b = rng.random(2) < 0.5
+        texts.append(" ".join(["alpha"] * int(a) + ["bravo"] * int(b) + [f"filler{rng.integers(0, 50)}" for _ in range(3)]))
+        label.append(float(toxic(a, b)))
+    return texts, np.array(label)
+
+
+def test_pairs_that_tell_nothing_alone():
+    """Neither term differs between the classes: only the pair says which texts are toxic."""
+    for toxic in (lambda a, b: a != b, lambda a, b: a == b):
+        texts, label = two_terms(4000, toxic)
+        model = toxicity.fit(*toxicity.terms(texts), label)
+        score = model.score(["x", "bravo x", "alpha x", "alpha bravo x"])
+        assert [s > 0.5 for s in score] == [toxic(a, b) for a, b in ((0, 0), (0, 1), (1, 0), (1, 1))]
+
+
+def test_paired_against_every_pair():
+    rng = np.random.default_rng(2)
+    n, k = 400, 40
+    has = rng.random((n, k)) < 0.3
+    label = np.where(has[:, 3] & has[:, 8], 1.0, (rng.random(n) < 0.15).astype(float))
+    label[has[:, 20] & has[:, 21]] = 0.0
+    want = np.zeros(k, bool)
+    bound = np.log(k * (k - 1) / 2 / toxicity.PAIR_ODDS)
+    share = [label[has[:, i]].mean() for i in range(k)]
+    for i in range(k):
+        for j in range(i):
+            y = label[has[:, i] & has[:, j]]
+            s, high, low = y.mean(), max(share[i], share[j]), min(share[i], share[j])
+            if s > high or s < low:
+                base = high if s > high else low
+                nats = sum((c * np.log(c / len(y) / b) if c else 0.0) for c, b in ((y.sum(), base), (len(y) - y.sum(), 1 - base)))
+                want[[i, j]] |= nats >= bound
+    doc, at = np.nonzero(has)
+    assert want[[3, 8]].all() and not want.all()
+    for block in (7, 1024):
+        assert (toxicity.paired(doc, at, label, k, block) == want).all()
+
+
 def test_components(spark):
     rng = np.random.default_rng(6)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))] + [(i, i + 1) for i in range(1000, 1040)] + [(5000, k) for k in range(6000, 6050)] + [(7, 7)]
