@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starling.llm import decontaminate, line_dedup, packing, pii, simhash, substring_dedup, token_counts, token_store, topk, toxicity
+from starling.llm import blob_ledger, conversations, decontaminate, line_dedup, packing, pii, simhash, substring_dedup, token_counts, token_store, topk, toxicity, vector_codes
 from starling.llm.common import table
 
 
@@ -54,8 +54,21 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blob_ledger.secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_top_k, op3_decontamination, op4_line_dedup, op5_token_store, op6_substring_dedup,
-                                   op7_packing, op8_personal_data, op9_toxicity, op10_simhash)}
+                                   op7_packing, op8_personal_data, op9_toxicity, op10_simhash,
+                                   op11_conversation_repair, op12_vector_codes, op13_secret_scan)}
 
 ORACLE_SQL = {
     "op2_top_k": """
