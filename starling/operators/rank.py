@@ -20,7 +20,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _B = "_bucket"
 
@@ -31,20 +30,6 @@ def _offsets(df: DataFrame, by: Sequence[str]) -> DataFrame:
     return counts.select(*by, _B, F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_offset"))
 
 
-def offsets_from_counts(counts: DataFrame, by: Sequence[str], count_col: str = "_cnt") -> DataFrame:
-    """Rows before each (group, bucket): prefix sums over a (by.., _bucket, count) table."""
-    w = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(*by, _B, F.coalesce(F.sum(count_col).over(w), F.lit(0)).alias("_offset"))
-
-
-def rank_with_offsets(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
-                      offsets: DataFrame, name: str = "rn") -> DataFrame:
-    """Exact row_number given ``df`` with a ``_bucket`` column and its offsets."""
-    joined = df.join(offsets, [*by, _B], "inner")
-    w = Window.partitionBy(*by, _B).orderBy(*order)
-    return joined.withColumn(name, F.row_number().over(w) + F.col("_offset")).drop(_B, "_offset")
-
-
 def bucketed_row_number(df: DataFrame, by: Sequence[str], order: Sequence[Column | str],
                         bucket: Column, name: str = "rn", small_groups: bool = False) -> DataFrame:
     """Add ``name`` = exact 1-based row_number within ``by`` ordered by ``order``.
@@ -81,28 +66,3 @@ def bucketed_prior_min(df: DataFrame, by: Sequence[str], order: Sequence[Column
     inner = F.min(value).over(wi)
     prior = F.least(F.col("_carry"), inner)  # least() skips nulls
     return joined.withColumn(name, prior).drop(_B, "_carry")
-
-
-def hex_bucket(hex_key: Column, digits: int = 3) -> Column:
-    """Bucket of a hex digest by its leading digits (16**digits buckets)."""
-    return F.conv(F.substring(hex_key, 1, digits), 16, 10).cast("int")
-
-
-def time_bucket(ts: Column, seconds: int = 3600) -> Column:
-    """Bucket of a timestamp by fixed-width intervals."""
-    return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
-
-
-def spread_bucket(df: DataFrame, col: str, n_buckets: int = 4096) -> Column:
-    """Monotone bucket of a timestamp or number with about ``n_buckets``
-    equal-width buckets over the observed range (min and max enter as scalar
-    subqueries, one small aggregate), so the bucket count does not depend on
-    how dense or sparse the data is in time."""
-    v = F.col(col)
-    num = F.unix_micros(v.cast("timestamp")) if isinstance(df.schema[col].dataType, (T.TimestampType, T.TimestampNTZType)) \
-        else v.cast("double")
-    rng = df.select(num.cast("double").alias("_v")).select(
-        F.struct(F.min("_v").alias("lo"), F.max("_v").alias("hi"))).scalar()  # one subquery
-    lo, hi = rng.getField("lo"), rng.getField("hi")
-    width = F.greatest((hi - lo) / F.lit(float(n_buckets)), F.lit(1.0))
-    return F.least(F.floor((num.cast("double") - lo) / width), F.lit(n_buckets - 1)).cast("bigint")

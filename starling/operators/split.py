@@ -6,10 +6,12 @@ remainder (lower class wins a tie); stage 2 splits the held-out rows into
 test and validation the same way. All quota arithmetic is exact integer
 arithmetic on a K-row table (K = number of classes, bounded by the domain).
 
-Row choice: rows of a class are ordered by ``md5(seed:text)`` (then text) and
-the first ``test`` ranks go to test, the next ``validation`` ranks to
-validation, the rest to train. The rank is the skew-safe bucketed rank, so a
-class holding a third of the rows is still spread over many tasks.
+Row choice: rows of a class stand in the order of ``md5(seed:text)`` (copies of a
+text by their place in the table); the first ``test`` rows go to test, the next
+``validation`` rows to validation, the rest to train. No row is ranked or moved for that:
+the keys at the two cuts of each class are found by distributed selection
+(``operators.selection``), and a row's split follows from comparing its key with
+them. Texts take no part in any shuffle.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starling.domain import SEED
-from starling.operators.rank import hex_bucket, offsets_from_counts, rank_with_offsets
-from starling.session import shared_root
+from starling.operators.selection import prefix_counts, select_keys
+from starling.session import written
 
 SPLITS = ("train", "validation", "test")
 
@@ -62,33 +64,27 @@ def order_key(text: str = "review", seed: int = SEED):
 
 def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
                      seed: int = SEED, test_size: float = 0.20,
-                     test_share_of_holdout: float = 0.50, bucket_digits: int = 4,
-                     materialize: bool = True) -> DataFrame:
+                     test_share_of_holdout: float = 0.50, bucket_digits: int = 4) -> DataFrame:
     """Add a ``split`` column with exact per-class sizes (see module doc).
 
-    Plan: the input is checkpointed once to the shared checkpoint folder
-    (``materialize``; it is read twice, and this also cuts the lineage), one
-    partial aggregation counts rows per (class, key bucket); class counts,
-    the K-row allocation and the bucket offsets (at most K x 16**digits rows,
-    broadcast) all derive from that small table; then one shuffle by
-    (class, bucket) ranks rows inside buckets and a narrow CASE assigns the
-    split.
+    Plan: the input is written once with its keys to the shared scratch folder; counts by (class, key prefix), read
+    from the key column alone, give the class sizes, hence the K-row allocation, and the first step of the selection;
+    each further step reads the keys again. The result is a narrow comparison with two keys for each class.
+    Null labels are a class of their own.
     """
-    if materialize:
-        shared_root(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    keyed = df.withColumn("_key", order_key(text, seed)).withColumn(
-        "_bucket", hex_bucket(F.col("_key"), bucket_digits))
-    per_bucket = keyed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_cnt"))
-    counts = per_bucket.groupBy(label).agg(F.sum("_cnt").alias("n"))
-    alloc = split_allocation(counts, label, "n", test_size, test_share_of_holdout)
-    offsets = F.broadcast(offsets_from_counts(per_bucket, [label]))
-    ranked = rank_with_offsets(keyed, [label], [F.col("_key"), F.col(text)], offsets, name="_rn")
-    j = ranked.join(F.broadcast(alloc.select(label, "n_test", "n_holdout")), label, "inner")
-    split = (F.when(F.col("_rn") <= F.col("n_test"), F.lit("test"))
-             .when(F.col("_rn") <= F.col("n_holdout"), F.lit("validation"))
-             .otherwise(F.lit("train")))
-    return j.select(*df.columns, split.alias("split"))
+    place = F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0")
+    keyed = written(df.withColumn("_key", F.concat(F.coalesce(order_key(text, seed), F.lit("")), place)), "split")
+    keys = keyed.select(label, "_key")
+    buckets = prefix_counts(keys, label, "_key", bucket_digits).persist()
+    counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
+    sizes = split_allocation(counts, label, "n", test_size, test_share_of_holdout).select(label, "n_test", "n_holdout").collect()  # K rows
+    bounds = select_keys(keys, label, "_key", {r[label]: (r["n_test"], r["n_holdout"]) for r in sizes}, bucket_digits, buckets)
+    buckets.unpersist()
+    kind = df.schema[label].dataType.simpleString()
+    cuts = df.sparkSession.createDataFrame([(g, *b) for g, b in bounds.items()], f"_class {kind}, _test string, _held string")
+    split = F.when(F.col("_key") < F.col("_test"), F.lit("test")).when(F.col("_key") < F.col("_held"), F.lit("validation")).otherwise(F.lit("train"))
+    cut = keyed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_class")))  # a row for each class
+    return cut.select(*df.columns, split.alias("split"))
 
 
 def split_distribution(df: DataFrame, label: str = "rating") -> DataFrame:

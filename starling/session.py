@@ -11,7 +11,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -89,3 +89,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
+
+
+def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+    """`df` as Parquet in the shared scratch folder, read back: the lineage ends there, later reads take only
+    the columns they use, and a lost executor costs no recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
