@@ -5,11 +5,15 @@ expression. ``w`` is a row weight (a cell count after pre-aggregation, or 1).
 Because every metric is a plain sum-style aggregate, Spark runs it as a
 partial (map-side) + final aggregation: only one buffer row per group and
 partition crosses the shuffle, so skewed systems or labels cost nothing extra.
+
+A ``SumMetric`` says which row terms it sums and how the sums combine. Resampling needs no
+more than that: weights are multiplied into the terms where the rows are, and only sums travel.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +23,18 @@ from starling.functions.decode import nearest_rating
 
 Metric = Callable[[Column, Column, Column], Column]
 
+
+@dataclass(frozen=True)
+class SumMetric:
+    """``combine(weighted sums of terms(y, p), sum of weights)``; called as a metric, an aggregate Column."""
+
+    terms: Callable[[Column, Column], list[Column]]
+    combine: Callable[[Sequence[Column], Column], Column]
+
+    def __call__(self, y, p, w=None) -> Column:
+        w = _w(w)
+        return self.combine([F.sum(w * t) for t in self.terms(_c(y), _c(p))], F.sum(w))
+
 # Fixed values that must equal the reference for right results
 # (numpy.isclose defaults: atol, rtol).
 ISCLOSE_ATOL = 1e-8
@@ -34,8 +50,8 @@ def _w(w: Column | str | None) -> Column:
     return F.lit(1).cast("bigint") if w is None else _c(w)
 
 
-def _wavg(value: Column, w: Column) -> Column:
-    return F.sum(w * value) / F.sum(w)
+def _mean(term: Callable[[Column, Column], Column]) -> SumMetric:
+    return SumMetric(lambda y, p: [term(y, p)], lambda sums, n: sums[0] / n)
 
 
 def error(y: Column, p: Column) -> Column:
@@ -52,43 +68,18 @@ def _flag(cond: Column) -> Column:
     return F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def mae(y, p, w=None) -> Column:
-    return _wavg(F.abs(error(_c(y), _c(p))), _w(w))
-
-
-def rmse(y, p, w=None) -> Column:
-    e = error(_c(y), _c(p))
-    return F.sqrt(_wavg(e * e, _w(w)))
-
+mae = _mean(lambda y, p: F.abs(error(y, p)))
+rmse = SumMetric(lambda y, p: [error(y, p) * error(y, p)], lambda sums, n: F.sqrt(sums[0] / n))
+exact = _mean(lambda y, p: _flag(is_exact(y, p)))
+within_one = _mean(lambda y, p: _flag(F.abs(error(y, p)) <= F.lit(1.0)))
 
-def exact(y, p, w=None) -> Column:
-    return _wavg(_flag(is_exact(y, p)), _w(w))
 
-
-def within_one(y, p, w=None) -> Column:
-    return _wavg(_flag(F.abs(error(_c(y), _c(p))) <= F.lit(1.0)), _w(w))
+def polarity_at(cut: float = 4.0) -> SumMetric:
+    """Share of rows whose prediction is on the same side of the 2/4 gap."""
+    return _mean(lambda y, p: _flag((p.cast("double") >= F.lit(cut)) == (y.cast("double") >= F.lit(cut))))
 
 
-def polarity(y, p, w=None, cut: float = 4.0) -> Column:
-    """Share of rows whose prediction is on the same side of the 2/4 gap."""
-    y, p = _c(y).cast("double"), _c(p).cast("double")
-    return _wavg(_flag((p >= F.lit(cut)) == (y >= F.lit(cut))), _w(w))
-
-
-def qwk_parts(y, p, w=None, domain: Sequence[int] = VALID_RATINGS, snap: bool = True) -> dict:
-    """The six sums behind quadratic weighted kappa on rank indices."""
-    i = rating_to_rank(_c(y), domain).cast("double")
-    pred = nearest_rating(_c(p), domain) if snap else _c(p)
-    j = rating_to_rank(pred, domain).cast("double")
-    w = _w(w).cast("double")
-    return {
-        "n": F.sum(w),
-        "sd": F.sum(w * (i - j) * (i - j)),
-        "si": F.sum(w * i),
-        "sj": F.sum(w * j),
-        "sii": F.sum(w * i * i),
-        "sjj": F.sum(w * j * j),
-    }
+polarity = polarity_at()
 
 
 def qwk_from_parts(n, sd, si, sj, sii, sjj) -> Column:
@@ -97,7 +88,7 @@ def qwk_from_parts(n, sd, si, sj, sii, sjj) -> Column:
     return F.when(den == 0, F.lit(None).cast("double")).otherwise(F.lit(1.0) - n * sd / den)
 
 
-def qwk(y, p, w=None, domain: Sequence[int] = VALID_RATINGS) -> Column:
+def qwk_over(domain: Sequence[int] = VALID_RATINGS) -> SumMetric:
     """Quadratic weighted kappa on ranks 0..K-1, prediction snapped to the domain.
 
     Single-pass algebra: with i the true rank and j the predicted rank,
@@ -105,8 +96,16 @@ def qwk(y, p, w=None, domain: Sequence[int] = VALID_RATINGS) -> Column:
     which is the weighted-confusion definition expanded, so no K x K matrix
     is materialised.
     """
-    parts = qwk_parts(y, p, w, domain)
-    return qwk_from_parts(parts["n"], parts["sd"], parts["si"], parts["sj"], parts["sii"], parts["sjj"])
+
+    def terms(y: Column, p: Column) -> list[Column]:
+        i = rating_to_rank(y, domain).cast("double")
+        j = rating_to_rank(nearest_rating(p, domain), domain).cast("double")
+        return [(i - j) * (i - j), i, j, i * i, j * j]
+
+    return SumMetric(terms, lambda sums, n: qwk_from_parts(n.cast("double"), *sums))
+
+
+qwk = qwk_over()
 
 
 METRICS: dict[str, Metric] = {

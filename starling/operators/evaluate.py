@@ -47,21 +47,23 @@ def board(cell_df: DataFrame, by: Sequence[str] = ("system",), with_qwk: bool =
     aggs = [F.sum("n").alias("n")]
     aggs += M.rating_metrics("label", "prediction", "n", with_qwk=False, with_polarity=with_polarity)
     if with_qwk:
-        aggs.append(M.qwk("label", "prediction", "n", domain).alias("qwk"))
+        aggs.append(M.qwk_over(domain)("label", "prediction", "n").alias("qwk"))
     return cell_df.groupBy(*by).agg(*aggs)
 
 
 def leaderboard(long_dfs: Sequence[DataFrame], **kwargs) -> DataFrame:
     """Union the systems that exist (missing ones are simply absent) and rank them.
 
-    Each input is either long predictions or cells; they are reduced to cells
-    before the union, so the union itself moves only cell rows.
+    Each input is either long predictions or cells. Metrics are sums, so every task sends one row
+    of sums for each system, also where predictions are continuous and nearly all cells differ.
     """
     parts = []
     for df in long_dfs:
         if df is None:
             continue
-        parts.append(df if "n" in df.columns else cells(df))
+        if "n" not in df.columns:
+            df = df.select("system", "label", F.col("prediction").cast("double").alias("prediction"), F.lit(1).cast("bigint").alias("n"))
+        parts.append(df)
     if not parts:
         raise ValueError("no system to evaluate")
     union = parts[0]

@@ -1,17 +1,12 @@
-"""Training and batch scoring on Spark ML.
-
-* Features: word tokens of the whole text (``regexp_extract_all``), hashed term
-  frequencies and IDF. A bag of words needs no window, so nothing is cut unless a
-  caller names a ``max_length``. No vocabulary is collected on the driver.
-* CE classifier: multinomial logistic regression (distributed L-BFGS via
-  ``treeAggregate``) on the class index 0..K-1.
-* CORAL: an exact reduction to one binary logistic regression. Each row
-  becomes K-1 rows ``[x, s * onehot(k)]`` with label ``1[rank > k]``; with no
-  intercept and no standardisation, the learned weights are the shared
-  projection ``w`` and the one-hot coefficients are the K-1 free biases,
-  under the same mean binary cross-entropy as the CORAL head.
-* Scoring is ``model.transform`` plus ``vector_to_array`` (JVM side);
-  decoders then run as Column expressions.
+"""Training and batch scoring.
+
+* Features: word tokens of the whole text, hashed to ``num_features`` counts on the JVM side. A bag of
+  words needs no window, so nothing is cut unless a caller names a ``max_length``. No vocabulary is collected.
+* Training: ``operators.gradient``, a distributed full-batch fit of the cross-entropy classifier (L2) or of the
+  K-1 thresholds of the ordinal one (L3), each feature scaled to unit root mean square. One run
+  leaves a model at each candidate length.
+* Scoring: a row's scores are sums of its tokens' weights, taken by an Arrow function over the hashed tokens
+  only; texts stay on the JVM side, and decoders run as Column expressions.
 """
 
 from __future__ import annotations
@@ -19,22 +14,18 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF, IDF, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starling.domain import VALID_RATINGS, rank_to_rating, rating_to_rank
-from starling.functions.decode import coral_decode
+from starling.functions.decode import coral_decode, softmax
 from starling.functions.text import truncate_tokens, word_tokens  # noqa: F401  (re-exported)
+from starling.operators import gradient as G
 
 MAX_LENGTH = 128  # the model window of ``tokenize_truncate``; training and scoring see whole texts
-#: The one-hot columns of the CORAL reduction hold this instead of 1; a bias is then this times its
-#: coefficient, and the penalty on biases shrinks by its square.
-BIAS_SCALE = 16.0
+NUM_FEATURES = 1 << 16
 
 
 def tokenize(df: DataFrame, text: str = "review", max_length: int | None = None,
@@ -45,104 +36,95 @@ def tokenize(df: DataFrame, text: str = "review", max_length: int | None = None,
         {"n_tokens": F.size("_all"), "tokens": truncate_tokens(F.col("_all"), max_length)}).drop("_all")
 
 
-def featurizer(num_features: int = 1 << 16) -> list:
-    return [HashingTF(inputCol="tokens", outputCol="tf", numFeatures=num_features),
-            IDF(inputCol="tf", outputCol="features", minDocFreq=1)]
+def hashed_tokens(text: str = "review", num_features: int = NUM_FEATURES) -> Column:
+    """The whole text's word tokens as feature numbers, repeats included; a null text has none."""
+    return F.transform(word_tokens(F.lower(F.coalesce(F.col(text), F.lit("")))), lambda t: F.pmod(F.xxhash64(t), F.lit(num_features)).cast("int"))
 
 
 @dataclass
-class CEModel:
-    pipeline: PipelineModel
+class TextModel:
+    """A linear model over hashed tokens, ``coral`` or ``softmax``."""
 
-    def probabilities(self, df: DataFrame) -> DataFrame:
-        """Adds ``probabilities`` (array<double>, domain order)."""
-        out = self.pipeline.transform(tokenize(df))
-        return out.withColumn("probabilities", vector_to_array("probability")).drop(
-            "tokens", "tf", "features", "rawPrediction", "probability", "prediction")
+    linear: G.Linear
+    text: str = "review"
 
+    @property
+    def biases(self) -> list[float]:
+        return [float(b) for b in self.linear.biases]
 
-def train_ce(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
-             domain: Sequence[int] = VALID_RATINGS, num_features: int = 1 << 16) -> CEModel:
-    """Multinomial LR on hashed TF-IDF features of the whole texts."""
-    # tokenise the texts once: only tokens and labels are kept
-    data = tokenize(train).select("tokens", rating_to_rank(label, domain).cast("double").alias("class")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    feats = Pipeline(stages=featurizer(num_features)).fit(data)
-    x = feats.transform(data).select("features", "class").persist(StorageLevel.MEMORY_AND_DISK)
-    lr = LogisticRegression(featuresCol="features", labelCol="class", family="multinomial",
-                            regParam=reg_param, maxIter=max_iter, standardization=True, tol=1e-4)
-    model = lr.fit(x)
-    x.unpersist()
-    data.unpersist()
-    return CEModel(PipelineModel(stages=[*feats.stages, model]))
+    def _sums(self, spark: SparkSession):
+        held, m = spark.sparkContext.broadcast(self.linear.weights), self.linear.weights.shape[1]  # as long as the features
 
+        @F.arrow_udf("array<double>")
+        def sums(tokens: pa.Array) -> pa.Array:
+            sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = tokens.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(tokens)), sizes)
+            out = np.stack([np.bincount(row, held.value[flat, k], len(tokens)) for k in range(m)], axis=1)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * m, pa.int32()), pa.array(out.reshape(-1)))
 
-@dataclass
-class CoralModel:
-    features: PipelineModel
-    binary: LogisticRegressionModel
-    n_thresholds: int
+        return sums(hashed_tokens(self.text, len(self.linear.weights)))
 
-    @property
-    def biases(self) -> list[float]:
-        c = self.binary.coefficients.toArray()
-        return [float(x) * BIAS_SCALE for x in c[-self.n_thresholds:]]
+    def _scores(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("_z", self._sums(df.sparkSession))
+
+    def probabilities(self, df: DataFrame) -> DataFrame:
+        """Adds ``probabilities`` (array<double>, domain order) of a ``softmax`` model."""
+        logits = F.array(*[F.col("_z")[k] + F.lit(b) for k, b in enumerate(self.biases)])
+        return self._scores(df).withColumn("probabilities", softmax(logits, len(self.biases))).drop("_z")
 
     def cumulative_logits(self, df: DataFrame) -> DataFrame:
-        """Adds ``cumulative_logits`` = w.x + b_k for every threshold."""
-        x = self.features.transform(tokenize(df))
-        zeros = F.array(*[F.lit(0.0) for _ in range(self.n_thresholds)])
-        x = x.withColumn("_k", array_to_vector(zeros))
-        x = VectorAssembler(inputCols=["features", "_k"], outputCol="_x").transform(x)
-        scored = self.binary.setFeaturesCol("_x").setRawPredictionCol("_raw") \
-            .setProbabilityCol("_prob").setPredictionCol("_pred").transform(x)
-        m = vector_to_array("_raw").getItem(1)
-        logits = F.array(*[m + F.lit(b) for b in self.biases])
-        return scored.withColumn("cumulative_logits", logits).drop(
-            "tokens", "tf", "features", "_k", "_x", "_raw", "_prob", "_pred")
+        """Adds ``cumulative_logits`` = w.x + b_k for every threshold of a ``coral`` model."""
+        logits = F.array(*[F.col("_z")[0] + F.lit(b) for b in self.biases])
+        return self._scores(df).withColumn("cumulative_logits", logits).drop("_z")
 
     def ranks(self, df: DataFrame) -> DataFrame:
         out = self.cumulative_logits(df)
-        rank = coral_decode("cumulative_logits", self.n_thresholds)
+        rank = coral_decode("cumulative_logits", len(self.biases))
         return out.withColumn("rank", rank).withColumn("coral_rating", rank_to_rating(rank))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """One Parquet row, written by Spark."""
+        row = (self.linear.loss, self.text, self.linear.weights.shape[1], bytearray(self.linear.weights.astype("<f8").tobytes()), self.biases)
+        spark.createDataFrame([row], "loss string, text string, m int, weights binary, biases array<double>").write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> TextModel:
+        r = spark.read.parquet(path).first()
+        weights = np.frombuffer(r["weights"], "<f8").reshape(-1, r["m"])
+        return cls(G.Linear(r["loss"], weights, np.array(r["biases"])), r["text"])
+
+
+def train_snapshots(train: DataFrame, loss: str, lengths: Sequence[int], label: str = "rating", reg_param: float = 0.01,
+                    domain: Sequence[int] = VALID_RATINGS, num_features: int = NUM_FEATURES) -> dict[int, TextModel]:
+    """Models after each of ``lengths`` steps of one run (``softmax`` or ``coral``) on hashed tokens of the whole texts."""
+    rows = train.select(hashed_tokens("review", num_features).alias("idx"), rating_to_rank(label, domain).alias("rank"))
+    found = G.fit(G.pack(rows), loss, num_features, len(domain), lengths, reg_param)
+    return {n: TextModel(linear) for n, linear in found.items()}
 
-def coral_rows(df: DataFrame, rank: str = "rank", n_thresholds: int = len(VALID_RATINGS) - 1,
-               features: str = "features") -> DataFrame:
-    """Each row -> K-1 rows ``([x, BIAS_SCALE * onehot(k)], 1[rank > k])`` (narrow explode)."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(n_thresholds - 1))).alias("_thr")
-    x = df.select(features, rank, k)
-    onehot = F.array(*[F.when(F.col("_thr") == i, F.lit(BIAS_SCALE)).otherwise(F.lit(0.0)) for i in range(n_thresholds)])
-    x = x.withColumn("_k", array_to_vector(onehot)).withColumn(
-        "target", F.when(F.col(rank) > F.col("_thr"), F.lit(1.0)).otherwise(F.lit(0.0)))
-    return VectorAssembler(inputCols=[features, "_k"], outputCol="_x").transform(x).select("_x", "target")
+
+def train_ce(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
+             domain: Sequence[int] = VALID_RATINGS, num_features: int = NUM_FEATURES) -> TextModel:
+    """Multinomial cross-entropy classifier."""
+    return train_snapshots(train, "softmax", [max_iter], label, reg_param, domain, num_features)[max_iter]
 
 
 def train_coral(train: DataFrame, label: str = "rating", reg_param: float = 0.01, max_iter: int = 30,
-                domain: Sequence[int] = VALID_RATINGS, num_features: int = 1 << 16,
-                features_model: PipelineModel | None = None) -> CoralModel:
-    data = tokenize(train).select("tokens", rating_to_rank(label, domain).alias("rank")) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    feats = features_model or Pipeline(stages=featurizer(num_features)).fit(data)
-    # one copy of each row is kept; the K-1 copies are made on the way to each pass
-    kept = feats.transform(data).select("features", "rank").persist(StorageLevel.MEMORY_AND_DISK)
-    rows = coral_rows(kept, "rank", len(domain) - 1)
-    lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
-                            standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-4)
-    model = lr.fit(rows)
-    kept.unpersist()
-    data.unpersist()
-    return CoralModel(feats, model, len(domain) - 1)
-
-
-def fit_coral_features(x: DataFrame, rank: str = "rank", n_thresholds: int = 3,
+                domain: Sequence[int] = VALID_RATINGS, num_features: int = NUM_FEATURES) -> TextModel:
+    """Ordinal classifier: one projection, K-1 biases."""
+    return train_snapshots(train, "coral", [max_iter], label, reg_param, domain, num_features)[max_iter]
+
+
+def fit_coral_features(x: DataFrame, features: str = "features", rank: str = "rank", n_thresholds: int = 3,
                        reg_param: float = 0.0, max_iter: int = 200) -> tuple[list[float], list[float]]:
-    """CORAL on ready numeric features (used to check the reduction)."""
-    rows = coral_rows(x, rank, n_thresholds)
-    lr = LogisticRegression(featuresCol="_x", labelCol="target", family="binomial", fitIntercept=False,
-                            standardization=False, regParam=reg_param, maxIter=max_iter, tol=1e-10)
-    c = lr.fit(rows).coefficients.toArray()
-    return [float(v) for v in c[:-n_thresholds]], [float(v) * BIAS_SCALE for v in c[-n_thresholds:]]
+    """The ordinal fit on ready numeric features (array<double> of one length, or ML vectors): (weights, biases)."""
+    if dict(x.dtypes)[features] == "vector":
+        from pyspark.ml.functions import vector_to_array
+        x = x.withColumn(features, vector_to_array(features))
+    width = x.agg(F.max(F.size(features))).first()[0] or 0
+    rows = x.select(F.sequence(F.lit(0), F.size(features) - 1).alias("idx"), F.col(features).alias("val"), rank)
+    model = G.fit(G.pack(rows, rank=rank, val="val"), "coral", width, n_thresholds + 1, [max_iter], reg_param, np.ones(width), tolerance=1e-10)[max_iter]
+    return model.weights[:, 0].tolist(), model.biases.tolist()
 
 
 def foreign_scorer(make_predict_fn, n_classes: int = len(VALID_RATINGS), batch_size: int = 128):

@@ -2,17 +2,21 @@
 
 Every metric used here is a function of the counts of (label, prediction)
 cells, so resampling n rows with replacement is exactly a multinomial draw
-over cells. Three strategies share one output shape
+over cells. The strategies share one output shape
 ``(by.., metric, point, ci_low, ci_high, n_resamples)``:
 
 * ``cells`` (default): one aggregation to cells, then a two-level multinomial.
-  Cells are dealt by hash into parts. Every task derives, from the same seed,
-  how many of a replicate's rows fall into its part, and draws these over its own
-  cells. Nothing but weighted partial sums leaves a task, and no task or driver
-  holds all cells, so near-continuous predictions are no special case. Cost B x
-  cells, spread over the parts. Same distribution as row resampling, not the same
+  Cells are dealt by hash into parts. How many of a replicate's rows fall into a part follows from
+  a tree of binomial draws over the parts, which every task walks down to its own part from the same seeds
+  (log2(parts) draws a replicate); it draws these rows over its own cells. Metrics that are sums
+  (``SumMetric``) are summed right there, so a task sends a row of sums for each replicate; for any other
+  metric it sends the cells drawn. No task or driver holds all cells, so near-continuous
+  predictions are no special case. Cost B x cells, spread over the parts. Same distribution as row resampling, not the same
   draws. The seed of a draw holds the group's own hash: a group's interval doesn't
   depend on which other groups are resampled beside it.
+* ``little``: bag of little bootstraps, for any Python function of (labels, predictions, weights). Subsets of about
+  n^0.6 rows are each resampled to the full n by multinomial weights; the subsets' intervals are averaged. Only the
+  subsets' rows move, and no table of cells is made.
 * ``hash``: reproducible in any SQL engine. Draw j of replicate b picks row
   ``md5(seed:b:j)[:15] mod n``; rows are ordered by cell, so the row maps to
   its cell by cumulative-count interval (equi-join on a coarse bucket of the
@@ -28,7 +32,7 @@ Quantiles use linear interpolation (``percentile``), as numpy's default.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -39,19 +43,28 @@ from pyspark.sql import types as T
 from starling.domain import SEED
 from starling.functions import metrics as M
 from starling.functions.decode import nearest_rating
+from starling.session import written
 
-BROADCAST_ROWS = 200_000  # intervals that the hash strategy's join broadcasts at most
 _BATCH_ROWS = 100_000  # drawn cells that a task hands on at once
+_BATCH_DRAWS = 1 << 22  # draws (replicates x cells) that a task holds at once
 
 
 # ------------------------------------------------------------------ metric adapters
-def paired_delta_metric(metric: M.Metric, a: str = "pred_a", b: str = "pred_b"):
+def paired_delta_metric(metric: M.Metric, a: str = "pred_a", b: str = "pred_b") -> M.Metric:
     """metric(label, a) - metric(label, b) on the same weights."""
+    if isinstance(metric, M.SumMetric):
+        def combine(sums, n):
+            half = len(sums) // 2
+            return metric.combine(sums[:half], n) - metric.combine(sums[half:], n)
+
+        return M.SumMetric(lambda y, _p: [*metric.terms(y, F.col(a)), *metric.terms(y, F.col(b))], combine)
     return lambda y, _p, w: metric(y, F.col(a), w) - metric(y, F.col(b), w)
 
 
-def snapped(metric: M.Metric):
+def snapped(metric: M.Metric) -> M.Metric:
     """The metric applied to predictions snapped to the nearest valid rating."""
+    if isinstance(metric, M.SumMetric):
+        return M.SumMetric(lambda y, p: metric.terms(y, nearest_rating(p).cast("double")), metric.combine)
     return lambda y, p, w: metric(y, nearest_rating(p).cast("double"), w)
 
 
@@ -78,6 +91,22 @@ def _apply(df: DataFrame, by: Sequence[str], metrics: Mapping[str, M.Metric], w:
 
 
 # ------------------------------------------------------------------ cells strategy
+def rows_of_part(totals: np.ndarray, part: int, n_resamples: int, seed: Sequence[int]) -> np.ndarray:
+    """How many of each replicate's rows fall into one part of a multinomial over ``totals``: binomial draws at the nodes on
+    the way down to the part. Tasks that pass the same node draw the same numbers there, so parts add up."""
+    upto = np.concatenate([[0], np.cumsum(totals)])
+    low, high, n = 0, len(totals), np.full(n_resamples, upto[-1], np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        whole, left = upto[high] - upto[low], upto[middle] - upto[low]
+        drawn = np.random.default_rng([*seed, low, high]).binomial(n, left / whole if whole else 0.0)
+        if part < middle:
+            high, n = middle, drawn
+        else:
+            low, n = middle, n - drawn
+    return n
+
+
 def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resamples: int = 1000,
                     seed: int = SEED, confidence: float = 0.95, by: Sequence[str] = (),
                     cell_cols: Sequence[str] = ("label", "prediction"), label: str = "label",
@@ -86,51 +115,84 @@ def bootstrap_cells(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resampl
 
     The driver sees one total per (group, part), never a cell.
     """
-    spark = cells.sparkSession
+    spark, columns, b = cells.sparkSession, [*by, *cell_cols], int(n_resamples)
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    columns = [*by, *cell_cols]
-    keyed = cells.where("n > 0").select(
+    y, p = F.col(label), F.col(pred) if pred in columns else F.lit(None)
+    summed = all(isinstance(m, M.SumMetric) for m in metrics.values())
+    terms = {name: m.terms(y, p) for name, m in metrics.items()} if summed else {}
+    keyed = written(cells.where("n > 0").select(
         *columns, F.col("n").cast("bigint").alias("n"),
-        (F.xxhash64(*by) if by else F.lit(0).cast("bigint")).alias("_group"),
-        F.pmod(F.xxhash64(*cell_cols), F.lit(parts)).cast("int").alias("_part")).checkpoint()
+        (F.xxhash64(*by) if by else F.lit(0).cast("bigint")).alias("_group"), F.xxhash64(*cell_cols).alias("_cell"),
+        F.array(*[F.coalesce(t.cast("double"), F.lit(0.0)) for each in terms.values() for t in each]).cast("array<double>").alias("_terms"))
+        .withColumn("_part", F.pmod("_cell", F.lit(parts)).cast("int")), "cells")
     totals: dict[int, np.ndarray] = {}
     for t in keyed.groupBy("_group", "_part").agg(F.sum("n").alias("t")).toLocalIterator():
         totals.setdefault(t["_group"], np.zeros(parts, dtype=np.int64))[t["_part"]] = t["t"]
     shared = spark.sparkContext.broadcast(totals)  # parts x groups numbers
-
-    def draws_of(group: int, part: int, own: pd.DataFrame):
-        sums, n = shared.value[group], own["n"].to_numpy(dtype=np.int64)
-        mark, share = group & 0xFFFFFFFFFFFFFFFF, n / n.sum()
-        order = np.argsort(pd.util.hash_pandas_object(own[list(cell_cols)], index=False).to_numpy(), kind="stable")
-        share, held, rows = share[order], [], 0  # the order doesn't hang on how the cells arrived
-        for b in range(int(n_resamples)):
-            mine = np.random.default_rng([int(seed), b, mark]).multinomial(sums.sum(), sums / sums.sum())[part]
-            k = np.random.default_rng([int(seed), b, mark, part + 1]).multinomial(mine, share)
-            hit = np.flatnonzero(k)
-            held.append((np.full(len(hit), b), order[hit], k[hit]))
-            rows += len(hit)
-            if rows >= _BATCH_ROWS or b == int(n_resamples) - 1:
-                bs, at, ws = (np.concatenate(x) for x in zip(*held))
-                held, rows = [], 0
-                if len(at):
-                    yield own[columns].iloc[at].reset_index(drop=True).assign(b=bs, w=ws)
+    names, n_terms = list(by), sum(map(len, terms.values()))
+    held_cols = [*names, "n", "_group", "_part", "_cell", "_terms"] if summed else [*columns, "n", "_group", "_part", "_cell"]
+
+    def draws(own: pd.DataFrame, group: int, part: int):
+        """(first replicate, draws of some replicates over the part's cells, in the cells' own order)."""
+        mark, n = group & 0xFFFFFFFFFFFFFFFF, own["n"].to_numpy(np.int64)
+        mine, share = rows_of_part(shared.value[group], part, b, [int(seed), mark]), n / n.sum()
+        rng, step = np.random.default_rng([int(seed), mark, part, parts, 1]), max(1, _BATCH_DRAWS // len(n))
+        for at in range(0, b, step):
+            yield at, rng.multinomial(mine[at : at + step], share)
+
+    def sums_of(own: pd.DataFrame, group: int, part: int):
+        held = np.stack(own["_terms"].to_numpy()).astype(float).reshape(len(own), n_terms)
+        got = [(k.sum(axis=1), k @ held) for _, k in draws(own, group, part)]
+        out = pd.DataFrame({"b": np.arange(b), "w": np.concatenate([w for w, _ in got]), "s": list(np.concatenate([x for _, x in got]))})
+        yield out.assign(**{c: [own[c].iloc[0]] * b for c in names})
+
+    def cells_of(own: pd.DataFrame, group: int, part: int):
+        held, rows = [], 0
+        for at, drawn in draws(own, group, part):
+            for i, k in enumerate(drawn):
+                hit = np.flatnonzero(k)
+                held.append((np.full(len(hit), at + i), hit, k[hit]))
+                rows += len(hit)
+                if rows >= _BATCH_ROWS:
+                    yield own[columns].iloc[np.concatenate([h[1] for h in held])].reset_index(drop=True).assign(
+                        b=np.concatenate([h[0] for h in held]), w=np.concatenate([h[2] for h in held]))
+                    held, rows = [], 0
+        if rows:
+            yield own[columns].iloc[np.concatenate([h[1] for h in held])].reset_index(drop=True).assign(
+                b=np.concatenate([h[0] for h in held]), w=np.concatenate([h[2] for h in held]))
+
+    each = sums_of if summed else cells_of
 
     def draw(batches):
         now, held = None, []
         for pdf in batches:
             for key, own in pdf.groupby(["_group", "_part"], sort=False):
+                key = tuple(int(x) for x in key)
                 if key != now and held:
-                    yield from draws_of(*now, pd.concat(held, ignore_index=True))
+                    yield from each(pd.concat(held, ignore_index=True), *now)
                     held = []
-                now = tuple(int(x) for x in key)
+                now = key
                 held.append(own)
         if held:
-            yield from draws_of(*now, pd.concat(held, ignore_index=True))
-
-    schema = T.StructType([*(keyed.schema[c] for c in columns), T.StructField("b", T.LongType()), T.StructField("w", T.LongType())])
-    dealt = keyed.repartition("_group", "_part").sortWithinPartitions("_group", "_part")
-    reps = _apply(dealt.mapInPandas(draw, schema), [*by, "b"], metrics, "w", label, pred)
-    point = _apply(keyed, list(by), metrics, "n", label, pred)
+            yield from each(pd.concat(held, ignore_index=True), *now)
+
+    drawn = [T.StructField("b", T.LongType()), T.StructField("w", T.LongType())]
+    schema = T.StructType([*drawn, T.StructField("s", T.ArrayType(T.DoubleType())), *(keyed.schema[c] for c in names)] if summed
+                          else [*(keyed.schema[c] for c in columns), *drawn])
+    order = ["_group", "_part", "_cell", *cell_cols]  # the draws don't hang on how the cells arrived
+    dealt = keyed.repartition("_group", "_part").sortWithinPartitions(*order).select(*held_cols)
+    if summed:
+        added = dealt.mapInPandas(draw, schema).groupBy(*names, "b").agg(
+            F.sum("w").alias("w"), *[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(n_terms)])
+        at, out = 0, []
+        for name, m in metrics.items():
+            width = len(terms[name])
+            out.append(m.combine([F.col(f"s{at + i}") for i in range(width)], F.col("w")).alias(name))
+            at += width
+        reps = added.select(*names, "b", *out)
+    else:
+        reps = _apply(dealt.mapInPandas(draw, schema), [*names, "b"], metrics, "w", label, pred)
+    point = _apply(keyed, names, metrics, "n", label, pred)
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
@@ -150,7 +212,7 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     if int(n_resamples) < 1:
         raise ValueError("at least one resample is needed")
     # cut once, so that the actions below do not each re-aggregate the source rows
-    keyed = cells.select(*by, *cell_cols, "n").checkpoint()
+    keyed = written(cells.select(*by, *cell_cols, "n"), "cells")
     totals = keyed.groupBy(*by).agg(F.sum("n").alias("t")).select("t").distinct().collect()
     if len(totals) != 1:
         raise ValueError("hash bootstrap needs the same row count in every group")
@@ -163,9 +225,7 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     spans = iv.withColumn("bucket", F.explode(F.sequence(
         F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
     draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width)
-    # broadcast only where the intervals have been counted as few; an ordinary join beyond that
-    side = F.broadcast(spans) if spans.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else spans
-    hit = draws.join(side, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
+    hit = draws.join(spans, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
     counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
     point = _apply(keyed, list(by), metrics, "n", label, pred)
@@ -209,6 +269,54 @@ def bootstrap_poisson(rows: DataFrame, metrics: Mapping[str, M.Metric], n_resamp
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
+# ------------------------------------------------------------------ bag of little bootstraps
+def bootstrap_little(rows: DataFrame, metrics: Mapping[str, Callable[[np.ndarray, np.ndarray, np.ndarray], float]], n_resamples: int = 100,
+                     seed: int = SEED, confidence: float = 0.95, by: Sequence[str] = (), key: str = "row_id", label: str = "label",
+                     pred: str = "prediction", subsets: int = 20, exponent: float = 0.6) -> DataFrame:
+    """Intervals of any functions ``f(labels, predictions, weights) -> float`` over rows with a unique ``key``.
+
+    A row's hash deals it into one of n^(1 - exponent) subsets of its group; up to ``subsets`` of them are used, each
+    in a task of its own, where ``n_resamples`` multinomial weights that add up to the group's n make replicates
+    of the full size. ``point``, ``ci_low`` and ``ci_high`` are means over the subsets. Rows whose label or prediction is null take no part."""
+    names, alpha, b = list(by), (1.0 - confidence) / 2.0, int(n_resamples)
+    slim = rows.select(*names, F.xxhash64(F.lit(int(seed)), F.col(key)).alias("_h"), F.col(label).cast("double").alias("_y"),
+                       F.col(pred).cast("double").alias("_p")).where("_y IS NOT NULL AND _p IS NOT NULL")
+    sizes = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))  # a row for each group
+    n_subsets = F.greatest(F.lit(1), F.floor(F.pow(F.col("_n").cast("double"), F.lit(1.0 - exponent)))).cast("long")
+    sizes = sizes.withColumn("_of", n_subsets)
+    with_size = slim.join(F.broadcast(sizes), names) if names else slim.crossJoin(F.broadcast(sizes))
+    chosen = with_size.withColumn("_subset", F.pmod("_h", "_of")).where(F.col("_subset") < int(subsets)).drop("_of")
+    schema = T.StructType([*(slim.schema[c] for c in names), *(T.StructField(c, T.DoubleType()) for c in ("point", "ci_low", "ci_high")), T.StructField("metric", T.StringType())])
+
+    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_h", "_y", "_p"])
+        y, p, n = pdf["_y"].to_numpy(), pdf["_p"].to_numpy(), int(pdf["_n"].iloc[0])
+        rng, even, ones = np.random.default_rng([int(seed), int(pdf["_subset"].iloc[0])]), np.full(len(y), 1 / len(y)), np.ones(len(y))
+        values = {m: np.empty(b) for m in metrics}
+        for i in range(b):
+            w = rng.multinomial(n, even)
+            for m, f in metrics.items():
+                values[m][i] = f(y, p, w)
+        out = [{"metric": m, "point": f(y, p, ones), "ci_low": np.quantile(values[m], alpha), "ci_high": np.quantile(values[m], 1 - alpha)} for m, f in metrics.items()]
+        return pd.DataFrame(out).assign(**{c: pdf[c].iloc[0] for c in names})[schema.names]
+
+    per_subset = chosen.groupBy(*names, "_subset").applyInPandas(resample, schema)
+    return per_subset.groupBy(*names, "metric").agg(*[F.avg(c).alias(c) for c in ("point", "ci_low", "ci_high")], F.count(F.lit(1)).alias("n_subsets")) \
+        .withColumn("n_resamples", F.lit(b).cast("bigint"))
+
+
+def weighted_median(x: np.ndarray, w: np.ndarray) -> float:
+    """The least value that at least half of the weight does not exceed."""
+    order = np.argsort(x, kind="stable")
+    upto = np.cumsum(w[order])
+    return float(x[order][np.searchsorted(upto, 0.5 * upto[-1])])
+
+
+def median_error(y: np.ndarray, p: np.ndarray, w: np.ndarray) -> float:
+    """Median absolute error, which no sums give."""
+    return weighted_median(np.abs(p - y), w)
+
+
 def bootstrap_ci(cells_or_rows: DataFrame, metrics: Mapping[str, M.Metric], strategy: str = "cells",
                  **kwargs) -> DataFrame:
     if strategy == "cells":
@@ -217,6 +325,8 @@ def bootstrap_ci(cells_or_rows: DataFrame, metrics: Mapping[str, M.Metric], stra
         return bootstrap_hash(cells_or_rows, metrics, **kwargs)
     if strategy == "poisson":
         return bootstrap_poisson(cells_or_rows, metrics, **kwargs)
+    if strategy == "little":
+        return bootstrap_little(cells_or_rows, metrics, **kwargs)
     raise ValueError(f"unknown strategy {strategy!r}")
 
 

@@ -16,6 +16,7 @@ them. Texts take no part in any shuffle.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
@@ -58,6 +59,23 @@ def split_allocation(class_counts: DataFrame, label: str = "rating", n_col: str
                     (F.col(n_col) - F.col("n_holdout")).alias("n_train"))
 
 
+def holdout_sizes(counts: Mapping[object, int], test_size: float = 0.20, test_share_of_holdout: float = 0.50) -> dict[object, tuple[int, int]]:
+    """``split_allocation`` of counts that are at hand: class -> (test, holdout)."""
+
+    def quotas(sizes: dict[object, int], share: Fraction) -> dict[object, int]:
+        exact = {g: n * share for g, n in sizes.items()}
+        out = {g: int(q) for g, q in exact.items()}
+        spare = -int(-sum(sizes.values()) * share // 1) - sum(out.values())
+        by_rest = sorted((g for g in exact if exact[g] > out[g]), key=lambda g: (out[g] - exact[g], g is not None, g or 0))
+        for g in by_rest[:spare]:
+            out[g] += 1
+        return out
+
+    held = quotas(dict(counts), Fraction(str(test_size)))
+    test = quotas(held, Fraction(str(test_share_of_holdout)))
+    return {g: (test[g], held[g]) for g in counts}
+
+
 def order_key(text: str = "review", seed: int = SEED):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(text)))
 
@@ -68,18 +86,16 @@ def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
     """Add a ``split`` column with exact per-class sizes (see module doc).
 
     Plan: the input is written once with its keys to the shared scratch folder; counts by (class, key prefix), read
-    from the key column alone, give the class sizes, hence the K-row allocation, and the first step of the selection;
+    from the key column alone, give the class sizes, hence the allocation, and the first step of the selection;
     each further step reads the keys again. The result is a narrow comparison with two keys for each class.
     Null labels are a class of their own.
     """
     place = F.lpad(F.lower(F.hex(F.monotonically_increasing_id())), 16, "0")
     keyed = written(df.withColumn("_key", F.concat(F.coalesce(order_key(text, seed), F.lit("")), place)), "split")
     keys = keyed.select(label, "_key")
-    buckets = prefix_counts(keys, label, "_key", bucket_digits).persist()
-    counts = buckets.groupBy(label).agg(F.sum("n").alias("n"))
-    sizes = split_allocation(counts, label, "n", test_size, test_share_of_holdout).select(label, "n_test", "n_holdout").collect()  # K rows
-    bounds = select_keys(keys, label, "_key", {r[label]: (r["n_test"], r["n_holdout"]) for r in sizes}, bucket_digits, buckets)
-    buckets.unpersist()
+    counts = prefix_counts(keys, label, "_key", bucket_digits)
+    sizes = holdout_sizes({g: sum(n for _, n in found) for g, found in counts.items()}, test_size, test_share_of_holdout)
+    bounds = select_keys(keys, label, "_key", sizes, bucket_digits, counts)
     kind = df.schema[label].dataType.simpleString()
     cuts = df.sparkSession.createDataFrame([(g, *b) for g, b in bounds.items()], f"_class {kind}, _test string, _held string")
     split = F.when(F.col("_key") < F.col("_test"), F.lit("test")).when(F.col("_key") < F.col("_held"), F.lit("validation")).otherwise(F.lit("train"))

@@ -16,8 +16,6 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +40,8 @@ CE_SYSTEMS = {
 CORAL_SYSTEM = "CORAL ordinal regression"
 
 
-def evaluate(spark: SparkSession, splits: DataFrame, ce: L.CEModel | None = None,
-             coral: L.CoralModel | None = None, n_resamples: int = 1000) -> dict[str, DataFrame]:
+def evaluate(spark: SparkSession, splits: DataFrame, ce: L.TextModel | None = None,
+             coral: L.TextModel | None = None, n_resamples: int = 1000) -> dict[str, DataFrame]:
     train = splits.where("split = 'train'")
     test = splits.where("split = 'test'").select(F.col("review"), F.col("rating").alias("label"))
     parts = [E.constant_baselines(train, splits.where("split = 'test'"))]
@@ -90,16 +88,13 @@ def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
     ap.add_argument("--splits", required=True)
     ap.add_argument("--ce-model")
-    ap.add_argument("--coral", help="folder with features/ and binary/ from the training plan")
+    ap.add_argument("--coral", help="the ordinal model of the training plan")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
     splits = IO.read_splits(spark, a.splits)
-    ce = L.CEModel(PipelineModel.load(a.ce_model)) if a.ce_model else None
-    coral = None
-    if a.coral:
-        coral = L.CoralModel(PipelineModel.load(f"{a.coral}/features"),
-                             LogisticRegressionModel.load(f"{a.coral}/binary"), len(VALID_RATINGS) - 1)
+    ce = L.TextModel.load(spark, a.ce_model) if a.ce_model else None
+    coral = L.TextModel.load(spark, a.coral) if a.coral else None
     results = evaluate(spark, splits, ce, coral)
     for name, df in results.items():
         df.coalesce(1).write.mode("overwrite").json(f"{a.out}/{name}")

@@ -1,8 +1,8 @@
 """Registered queries: tokens, training, scoring.
 
-Training results depend on L-BFGS convergence, so apart from the tokenizer
-these are checked by rows (and by the unit tests on planted weights), not
-against an SQL oracle.
+Training results depend on the path of L-BFGS, so apart from the tokenizer
+these are checked by rows (and by the unit tests on planted weights and
+snapshots), not against an SQL oracle.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def q_train_ce(spark, sf_dir):
 # ------------------------------------------------------------------ L3 + D12
 @query("train_coral")
 def q_train_coral(spark, sf_dir):
-    """Fit the CORAL reduction, decode test ranks, board + bias audit."""
+    """Fit the K-1 thresholds, decode test ranks, board + bias audit."""
     sp = _splits(spark, sf_dir)
     train, test = sp.where("split = 'train'"), sp.where("split = 'test'")
     model = L.train_coral(train)

@@ -2,10 +2,10 @@
 
     python -m starling.plans.training --splits /shared/run1/splits --kind ce --out /shared/run1/ce
 
-Candidates are training lengths (L-BFGS iterations, the analogue of epochs).
-Each is scored on the validation split (never on test), early stopping with
-patience 1 cuts the candidate list, and the best validation MAE wins (the
-earliest on a tie). The chosen model is saved with Spark ML persistence.
+Candidates are training lengths (L-BFGS steps, the analogue of epochs), all taken as
+snapshots of one run. Each is scored on the validation split (never on test), early
+stopping with patience 1 cuts the candidate list, and the best validation MAE wins
+(the earliest on a tie). The chosen model is saved as one Parquet row.
 """
 
 from __future__ import annotations
@@ -36,13 +36,13 @@ def _predict(model, kind: str, df: DataFrame) -> DataFrame:
 def train(spark: SparkSession, splits: DataFrame, kind: str = "ce",
           candidates: Sequence[int] = DEFAULT_CANDIDATES) -> tuple[object, DataFrame, DataFrame]:
     """Returns (best model, validation history, test metrics)."""
-    train_df = splits.where("split = 'train'").persist()
     val = splits.where("split = 'validation'").select("review", F.col("rating").alias("label")).persist()
     test = splits.where("split = 'test'").select("review", F.col("rating").alias("label"))
-    fit = L.train_ce if kind == "ce" else L.train_coral
+    lengths = [int(n) for n in candidates]
+    found = L.train_snapshots(splits.where("split = 'train'"), "softmax" if kind == "ce" else "coral", lengths)
     models, rows, schema = {}, [], None
-    for epoch, iters in enumerate(candidates, start=1):
-        models[epoch] = fit(train_df, max_iter=int(iters))
+    for epoch, n in enumerate(lengths, start=1):
+        models[epoch] = found[n]
         p = _predict(models[epoch], kind, val)
         cells = E.cells(p.withColumn("system", F.lit(epoch))).withColumnRenamed("system", "epoch")
         one = SL.candidate_metrics(cells, by=("epoch",)).withColumn("run", F.lit(kind)).withColumnRenamed("mae", "eval_mae")
@@ -54,7 +54,6 @@ def train(spark: SparkSession, splits: DataFrame, kind: str = "ce",
     chosen = SL.early_stop(history).first()
     best = models[int(chosen.best_epoch)]
     test_cells = E.cells(_predict(best, kind, test).withColumn("system", F.lit(kind)))
-    train_df.unpersist()
     val.unpersist()
     return best, history, E.board(test_cells)
 
@@ -89,11 +88,7 @@ def main(argv=None) -> None:
     if a.smoke_test:
         splits = smoke_slice(splits)
     model, history, board = train(spark, splits, a.kind, candidates=(5,) if a.smoke_test else DEFAULT_CANDIDATES)
-    if a.kind == "ce":
-        model.pipeline.write().overwrite().save(f"{a.out}/model")
-    else:
-        model.features.write().overwrite().save(f"{a.out}/features")
-        model.binary.write().overwrite().save(f"{a.out}/binary")
+    model.save(spark, f"{a.out}/model")
     print(json.dumps({"validation_history": [r.asDict() for r in history.collect()],
                       "test_results": [r.asDict() for r in board.collect()]}, default=str, indent=2))
 

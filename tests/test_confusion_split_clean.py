@@ -46,6 +46,21 @@ def test_split_allocation_golden(spark):
     assert [got[k].n_validation for k in (1, 2, 4, 5)] == [3597, 6390, 1878, 8117]
 
 
+def test_sizes_at_hand_equal_the_allocation_table(spark):
+    for counts in ({1: 7, 2: 13, 4: 1, 5: 29}, {1: 5, 2: 5, 4: 5, 5: 5}, {1: 35970, 2: 63903, 4: 18776, 5: 81167}, {3: 0, 4: 2}):
+        table = S.split_allocation(spark.createDataFrame(list(counts.items()), "rating long, n long")).collect()
+        assert S.holdout_sizes(counts) == {r.rating: (r.n_test, r.n_holdout) for r in table}
+
+
+def test_split_of_copies_and_null_classes(spark):
+    """Exact sizes where one text holds most rows, and where labels are null."""
+    rows = [(i, "same", 1) for i in range(300)] + [(1000 + i, f"t{i}", None) for i in range(50)]
+    sp = S.stratified_split(spark.createDataFrame(rows, "row_id long, review string, rating long"))
+    got = {(r.split, r.rating): r.n for r in sp.groupBy("split", "rating").agg(F.count("*").alias("n")).collect()}
+    assert got == {("test", 1): 30, ("validation", 1): 30, ("train", 1): 240, ("test", None): 5, ("validation", None): 5, ("train", None): 40}
+    assert S.stratified_split(sp.drop("split").limit(0)).collect() == []
+
+
 def test_stratified_split_sizes_and_disjointness(spark):
     rows = [(i, f"text {i}", [1, 2, 4, 5][i % 4]) for i in range(400)]
     df = spark.createDataFrame(rows, "row_id long, review string, rating long")

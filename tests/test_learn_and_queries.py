@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from starling.operators import learn as L
@@ -26,6 +27,62 @@ def test_coral_reduction_recovers_planted_weights(spark):
     assert L.fit_coral_features(df, reg_param=0.01)[1] == pytest.approx(b.tolist(), abs=0.2)
 
 
+def _texts(spark, n=400):
+    rng = np.random.default_rng(2)
+    good, bad = [f"good{i}" for i in range(30)], [f"bad{i}" for i in range(30)]
+    rows = []
+    for _ in range(n):
+        k = int(rng.integers(0, 4))
+        rows.append((" ".join(rng.choice(good if rng.random() < k / 3 else bad) for _ in range(12)), [1, 2, 4, 5][k]))
+    rows += [(None, 5), ("", 1)]
+    return spark.createDataFrame(rows, "review string, rating long").repartition(3)
+
+
+@pytest.mark.parametrize("loss", ["softmax", "coral"])
+def test_one_run_leaves_the_snapshots_of_shorter_runs(spark, loss):
+    df = _texts(spark)
+    together = L.train_snapshots(df, loss, [3, 6], num_features=512)
+    for n in (3, 6):
+        alone = L.train_snapshots(df, loss, [n], num_features=512)[n]
+        assert np.allclose(alone.linear.weights, together[n].linear.weights, atol=1e-9)
+        assert np.allclose(alone.linear.biases, together[n].linear.biases, atol=1e-9)
+    assert not np.allclose(together[3].linear.weights, together[6].linear.weights)
+
+
+def test_losses_and_gradients_match_differences(spark):
+    from starling.operators import gradient as G
+    rng = np.random.default_rng(4)
+    rows = [([int(i) for i in rng.integers(0, 5, int(rng.integers(0, 6)))], int(rng.integers(0, 4))) for _ in range(40)]
+    blocks = G.pack(spark.createDataFrame(rows, "idx array<int>, rank long").repartition(3), entries=20)
+    scales = np.linspace(0.5, 1.5, 5)
+    for loss, m, k in (("coral", 1, 3), ("softmax", 4, 4)):
+        theta = rng.normal(size=5 * m + k)
+        at = lambda t: G.evaluate(blocks, G.Linear(loss, t[: 5 * m].reshape(5, m), t[5 * m :]), scales, 0.1)
+        value, grad = at(theta)
+        for i in (0, 5 * m - 1, 5 * m, len(theta) - 1):
+            step = np.zeros(len(theta))
+            step[i] = 1e-5
+            assert (at(theta + step)[0] - at(theta - step)[0]) / 2e-5 == pytest.approx(grad[i], abs=1e-6)
+
+
+def test_models_learn_save_and_load(spark):
+    df = _texts(spark)
+    ce, coral = L.train_ce(df, num_features=1024), L.train_coral(df, num_features=1024)
+    path = f"{spark.sparkContext.getCheckpointDir()}-model-{id(ce)}"
+    ce.save(spark, path)
+    scored = coral.ranks(L.TextModel.load(spark, path).probabilities(df.withColumn("rank0", F.lit(0))))
+    rows = scored.select("review", "rating", "probabilities", "cumulative_logits", "rank", "coral_rating").collect()
+    assert all(sum(r.probabilities) == pytest.approx(1) for r in rows)
+    told = [r for r in rows if r.review]
+    assert np.corrcoef([r.rank for r in told], [r.rating for r in told])[0, 1] > 0.6
+    assert all(r.rank == sum(x > 0 for x in r.cumulative_logits) for r in rows)
+
+
+def test_training_on_no_rows(spark):
+    model = L.train_coral(_texts(spark).limit(0), num_features=64)
+    assert not model.linear.weights.any() and model.biases == [0.0, 0.0, 0.0]
+
+
 def test_training_sees_whole_texts(spark):
     text = " ".join(f"word{i}" for i in range(1000))
     df = spark.createDataFrame([(text,)], "review string")

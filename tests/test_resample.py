@@ -138,3 +138,44 @@ def test_mcnemar_small_counts(spark, b, c):
     n, m = b + c, min(b, c)
     want = 1.0 if b == c else min(1.0, 2 * sum(math.comb(n, i) for i in range(m + 1)) / 2**n)
     assert math.exp(SG.exact_ln_p(spark, b, c).first().ln_p) == pytest.approx(want, rel=1e-12)
+
+
+def test_parts_of_a_replicate_add_up():
+    totals = np.array([5, 0, 17, 40, 1, 0, 9])
+    rows = np.stack([RS.rows_of_part(totals, k, 300, [4, 2]) for k in range(len(totals))])
+    assert (rows.sum(axis=0) == totals.sum()).all() and (rows[[1, 5]] == 0).all()
+    assert rows.mean(axis=1) == pytest.approx(totals, abs=1.0)
+
+
+def test_sums_and_cells_give_like_intervals(spark):
+    c = _cells(spark, {"s": _ratings(500, 0.3, 6)}).drop("system")
+    metrics = {"mae": M.mae, "qwk": M.qwk, "rmse": M.rmse}
+    by_sums = {r.metric: r for r in RS.bootstrap_cells(c, metrics, n_resamples=800, seed=3).collect()}
+    plain = {k: (lambda y, p, w, f=f: f(y, p, w)) for k, f in metrics.items()}  # not known as sums: cells travel
+    by_cells = {r.metric: r for r in RS.bootstrap_cells(c, plain, n_resamples=800, seed=3).collect()}
+    for k in metrics:
+        assert by_sums[k].point == pytest.approx(by_cells[k].point)
+        assert by_sums[k].ci_low == pytest.approx(by_cells[k].ci_low, rel=1e-9) and by_sums[k].ci_high == pytest.approx(by_cells[k].ci_high, rel=1e-9)
+
+
+def test_little_bootstraps_cover_a_known_median(spark):
+    """60 tables of exponential errors, whose median is ln 2."""
+    rng = np.random.default_rng(12)
+    rows = [(t, t * 10_000 + i, 0.0, float(e)) for t in range(60) for i, e in enumerate(rng.exponential(size=900))]
+    df = spark.createDataFrame(rows, "t int, row_id long, label double, prediction double")
+    got = RS.bootstrap_ci(df, {"median_error": RS.median_error}, "little", n_resamples=60, seed=1, by=["t"]).collect()
+    assert len(got) == 60
+    covered = sum(r.ci_low <= math.log(2) <= r.ci_high for r in got)
+    assert covered >= 52  # of nominally 57
+    widths = [r.ci_high - r.ci_low for r in got]
+    assert np.mean(widths) == pytest.approx(2 * 1.96 / math.sqrt(900), rel=0.2)  # 1 / (2 f(median) sqrt(n)), f = 1/2
+
+
+def test_little_bootstraps_agree_with_sums_on_a_mean(spark):
+    y, p = _ratings(3000, 0.3, 8)
+    df = spark.createDataFrame([(i, int(a), float(b)) for i, (a, b) in enumerate(zip(y, p))], "row_id long, label long, prediction double")
+    mean = lambda a, b, w: float((np.abs(a - b) * w).sum() / w.sum())
+    little = RS.bootstrap_little(df, {"mae": mean}, n_resamples=100, seed=2).first()
+    whole = RS.bootstrap_cells(E.cells(df.withColumn("system", F.lit("s"))).drop("system"), {"mae": M.mae}, n_resamples=800, seed=2).first()
+    assert little.ci_high - little.ci_low == pytest.approx(whole.ci_high - whole.ci_low, rel=0.2)
+    assert RS.bootstrap_little(df.limit(0), {"mae": mean}, n_resamples=5).collect() == []
