@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from starling.domain import TARGET_ORIGIN, VALID_RATINGS, rating_to_rank
 from starling.functions.text import unicode_trim
+from starling.session import written
 
 
 # ------------------------------------------------------------------ gates
@@ -93,6 +94,11 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "row_id") -> DataFrame
 
 
 # ------------------------------------------------------------------ cleaning
+def text_digest(text: Column) -> Column:
+    """256 bits that stand for a text wherever only its identity counts."""
+    return F.unhex(F.sha2(text, 256))
+
+
 def text_groups(raw: DataFrame, text: str = "review", label: str = "rating",
                 row_id: str = "row_id") -> DataFrame:
     """Per trimmed text: lo/hi rating, first row id and row count (one shuffle)."""
@@ -110,26 +116,32 @@ def clean_reviews(raw: DataFrame, text: str = "review", label: str = "rating",
         "row_id", "review", F.col("lo").alias("rating"), F.lit(TARGET_ORIGIN).alias("target_origin"))
 
 
+def _verdicts(raw: DataFrame, text: str, label: str) -> DataFrame:
+    """Per digest of a trimmed text: lo/hi rating and row count. Texts stay where they are."""
+    t = raw.select(text_digest(unicode_trim(text)).alias("digest"), F.col(label).alias("rating"))
+    return t.groupBy("digest").agg(F.min("rating").alias("lo"), F.max("rating").alias("hi"), F.count(F.lit(1)).alias("n"))
+
+
 def conflict_removal(raw: DataFrame, text: str = "review", label: str = "rating",
                      row_id: str = "row_id") -> DataFrame:
     """All rows whose (trimmed, non-blank) text has a single rating; no dedupe.
 
-    The per-text verdict is joined back on the text. A hot text is handled by
-    AQE's skew-join split of the row side (the verdict side has one row per
-    text).
+    Texts with several ratings are told by digest and written, so their size is known before the
+    rows are joined against them: few are broadcast, and no text moves. A null rating among others is no conflict, as is
+    a text without any rating, which goes.
     """
     t = raw.select(F.col(row_id).alias("row_id"), unicode_trim(text).alias("review"),
                    F.col(label).alias("rating"))
-    t = t.where(F.length("review") > 0)
-    verdict = t.groupBy("review").agg((F.min("rating") == F.max("rating")).alias("single"))
-    return t.join(verdict.where("single"), "review", "left_semi")
+    t = t.where(F.length("review") > 0).withColumn("_digest", text_digest(F.col("review")))
+    mixed = written(_verdicts(raw, text, label).where("digest IS NOT NULL AND NOT coalesce(lo = hi, false)").select(F.col("digest").alias("_digest")), "conflicts")
+    return t.join(mixed, "_digest", "left_anti").drop("_digest")
 
 
 def clean_summary(raw: DataFrame, text: str = "review", label: str = "rating",
                   row_id: str = "row_id") -> DataFrame:
-    """Raw, blank, conflicting rows/texts, duplicate rows and kept rows."""
-    g = text_groups(raw, text, label, row_id)
-    blank = F.length("review") == 0
+    """Raw, blank, conflicting rows/texts, duplicate rows and kept rows, from digests alone."""
+    g = _verdicts(raw, text, label)
+    blank = F.col("digest") == text_digest(F.lit(""))
     conflict = ~blank & (F.col("lo") != F.col("hi"))
     keep = ~blank & (F.col("lo") == F.col("hi"))
     return g.agg(

@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from starling.domain import SEED
+from starling.operators.bloom import shared_rows
+from starling.operators.clean import text_digest
 from starling.operators.selection import prefix_counts, select_keys
 from starling.session import written
 
@@ -111,14 +113,15 @@ def split_distribution(df: DataFrame, label: str = "rating") -> DataFrame:
 
 
 def leakage_report(df: DataFrame, text: str = "review", split: str = "split") -> DataFrame:
-    """Pairwise disjointness of the split text sets, in one shuffle by text.
+    """Pairwise disjointness of the split text sets.
 
-    Per text: which splits contain it (three flags, partial aggregation).
-    Then one global aggregate counts texts shared by each pair. ``disjoint``
-    is true when no text is in more than one split (also for empty input).
+    Bloom filters leave the rows whose text may stand in two splits (``operators.bloom``); only these are
+    grouped, by their texts' digests, with three flags each. Then one global aggregate counts texts shared by
+    each pair. ``disjoint`` is true when no text is in more than one split (also for empty input).
     """
-    per_text = df.groupBy(text).agg(
-        *[F.max(F.when(F.col(split) == s, F.lit(1)).otherwise(F.lit(0))).alias(f"in_{s}") for s in SPLITS])
+    named = df.select(text_digest(F.col(text)).alias("_text"), F.col(split).cast("string").alias("split"))
+    per_text = shared_rows(named, "_text", "split").groupBy("_text").agg(
+        *[F.max(F.when(F.col("split") == s, F.lit(1)).otherwise(F.lit(0))).alias(f"in_{s}") for s in SPLITS])
     per_text = per_text.withColumn("n_splits", sum(F.col(f"in_{s}") for s in SPLITS))
     pairs = [("train", "validation"), ("train", "test"), ("validation", "test")]
     aggs = [F.count_if((F.col(f"in_{a}") == 1) & (F.col(f"in_{b}") == 1)).alias(f"shared_{a}_{b}")

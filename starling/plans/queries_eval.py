@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from starling.domain import VALID_RATINGS
 from starling.functions import metrics as M
 from starling.operators import evaluate as E
+from starling.operators import position as P
 from starling.plans import fixtures as X
 from starling.plans.catalog import query, r, rounded
 from starling.plans.oracle import with_views
+from starling.session import scratch_path
 
 SCORED_SYSTEMS = {"pred_a": "pred_a", "pred_b": "pred_b", "pred_c": "pred_c"}
 
@@ -140,3 +142,35 @@ def q_align_predictions(spark, sf_dir):
     joined, checked = E.align_predictions(labels, preds)
     m = joined.groupBy("system").agg(M.mae("label", "prediction").alias("mae"))
     return rounded(checked.join(m, "system"))
+
+
+# ---------------------------------------------------------------- J1 without a key: by position
+@query("align_by_position", sql=f"""
+WITH e AS (SELECT event_id % 7 AS label, CAST(value AS DOUBLE) AS prediction, row_number() OVER (ORDER BY event_id) - 1 AS position FROM events)
+SELECT CAST(label AS BIGINT) AS label, CAST(COUNT(*) AS BIGINT) AS n, CAST(sum(position) AS BIGINT) AS positions,
+       {r('sum(prediction) / 1000')} AS predictions, {r('avg(abs(prediction - label))')} AS mae
+FROM e GROUP BY label""")
+def q_align_by_position(spark, sf_dir):
+    """Labels and predictions as two tables without a key, in files of different sizes, aligned by the rows' places."""
+    ev = X.table(spark, sf_dir, "events").select(F.col("event_id").cast("bigint").alias("event_id"), (F.col("event_id") % 7).cast("bigint").alias("label"),
+                                                 F.col("value").cast("double").alias("prediction"))
+    labels, predictions = scratch_path(spark, "labels"), scratch_path(spark, "predictions")
+    ev.repartitionByRange(5, "event_id").sortWithinPartitions("event_id").select("label").write.parquet(labels)
+    ev.repartitionByRange(3, "event_id").sortWithinPartitions("event_id").select("prediction").write.parquet(predictions)
+    both = P.align_by_position(spark.read.parquet(labels), spark.read.parquet(predictions))
+    return rounded(both.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("position").alias("positions"), (F.sum("prediction") / 1000).alias("predictions"),
+        F.avg(F.abs(F.col("prediction") - F.col("label"))).alias("mae")))
+
+
+# ---------------------------------------------------------------- A8 with weights from the observed ranks
+@query("qwk_observed", sql=with_views("scored", extra={
+    "narrow": f"""SELECT {sql_rank('label')} AS i, {sql_rank(sql_nearest('CAST(pred_b AS DOUBLE)'))} AS j FROM scored WHERE label <> 2 AND pred_b <> 2""",
+    "seen": "SELECT DISTINCT i AS k FROM narrow UNION SELECT DISTINCT j FROM narrow",
+    "pos": "SELECT k, CAST(row_number() OVER (ORDER BY k) - 1 AS DOUBLE) AS p FROM seen",
+    "x": "SELECT a.p AS i, b.p AS j FROM narrow JOIN pos a ON narrow.i = a.k JOIN pos b ON narrow.j = b.k"}) + f"""
+SELECT {r("1.0 - COUNT(*) * sum((i - j) * (i - j)) / (COUNT(*) * sum(i * i) + COUNT(*) * sum(j * j) - 2.0 * sum(i) * sum(j))")} AS qwk FROM x""")
+def q_qwk_observed(spark, sf_dir):
+    """Kappa over rows in which one rating occurs on neither side, so that the scale closes up."""
+    s = X.scored(spark, sf_dir).where("label <> 2 AND pred_b <> 2")
+    return rounded(M.qwk_observed(s, "label", "pred_b"))

@@ -14,6 +14,7 @@ from starling.plans.catalog import query, r, rounded
 from starling.plans.oracle import add_view, sql_trim, with_views
 from starling.plans.queries_eval import _board_sql
 from starling.session import scratch_path
+from starling.sources import hashtree as HT
 from starling.sources import io as IO
 
 # ------------------------------------------------------------------ shared SQL views
@@ -338,3 +339,53 @@ def q_split_manifest(spark, sf_dir):
     sha = IO.table_fingerprint(rv, ["rating", "review"]).select("fingerprint").scalar()
     disjoint = S.leakage_report(sp).select("disjoint").scalar()
     return IO.split_manifest(sp, sha, SEED, disjoint)
+
+
+# ------------------------------------------------------------------ B7: a source that is not the manifest's
+@query("manifest_gate_tampered", sql=with_views("reviews") + """
+, wrong AS (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3)
+SELECT CASE k WHEN 1 THEN 'one rating changed' WHEN 2 THEN 'one row missing' ELSE 'as it was' END AS source,
+       CAST(COUNT(*) - (CASE WHEN k = 2 THEN 1 ELSE 0 END) AS BIGINT) AS observed_rows, k = 3 AS manifest_ok,
+       CASE WHEN k < 3 THEN 'fingerprint does not match the manifest' END AS reason
+FROM reviews, wrong GROUP BY k""".replace("\n, wrong", ",\nwrong"))
+def q_manifest_gate_tampered(spark, sf_dir):
+    """The gate over the source, over it with one rating changed, and without its last row."""
+    rv = X.reviews(spark, sf_dir).select("row_id", "rating", "review")
+    path = scratch_path(spark, "gate_manifest")
+    IO.write_json(IO.source_manifest(rv, "documents"), path)
+    manifest = IO.read_json(spark, path, IO.SOURCE_MANIFEST_SCHEMA)
+    last = rv.agg(F.max("row_id")).scalar()
+    changed = rv.withColumn("rating", F.when(F.col("row_id") == last, F.when(F.col("rating") == 5, 4).otherwise(5)).otherwise(F.col("rating")))
+    out = None
+    for name, df in (("one rating changed", changed), ("one row missing", rv.where(F.col("row_id") != last)), ("as it was", rv)):
+        gate = IO.manifest_gate(IO.table_fingerprint(df, ["rating", "review"]), manifest).select(
+            F.lit(name).alias("source"), "observed_rows", "manifest_ok", "reason")
+        out = gate if out is None else out.unionByName(gate)
+    return out
+
+
+# ------------------------------------------------------------------ S6 / S7 / B7: hash tree of the split files
+@query("split_hash_tree", sql=with_views("split") + """
+, n AS (SELECT split, CAST(COUNT(*) AS BIGINT) AS n_rows FROM split GROUP BY split)
+SELECT split, n_rows, true AS intact, split <> 'test' AS intact_after, CAST(CASE WHEN split = 'test' THEN 1 ELSE 0 END AS BIGINT) AS files_named
+FROM n""".replace("\n, n AS", ",\nn AS"))
+def q_split_hash_tree(spark, sf_dir):
+    """Write the splits with their tree; write one test file anew with one rating changed; compare before and after."""
+    path, kept = scratch_path(spark, "splits"), scratch_path(spark, "tree")
+    IO.write_splits(_split(spark, sf_dir), path)
+    HT.write_tree(spark, path, kept)
+    before = HT.differences(spark, path, kept).select("split").distinct().withColumn("b", F.lit(True))
+    test = spark.read.parquet(path).where("split = 'test'").select("*", F.col("_metadata.file_name").alias("_f"))
+    one = test.agg(F.min(F.struct("_f", "review"))).first()[0]
+    changed = (F.col("_f") == one["_f"]) & (F.col("review") == one["review"])
+    other = scratch_path(spark, "splits_tampered")
+    spark.read.parquet(path).where("split <> 'test'").write.partitionBy("split").parquet(other)
+    test.withColumn("rating", F.when(changed, F.when(F.col("rating") == 5, 4).otherwise(5)).otherwise(F.col("rating"))) \
+        .drop("_f").write.mode("append").partitionBy("split").parquet(other)
+    # files are told by the rows they hold: the copy has names of its own, so leaves are compared by digest
+    old, new = HT.leaves(spark, path), HT.leaves(spark, other)
+    strange = new.join(old, ["split", "digest"], "left_anti").groupBy("split").agg(F.count(F.lit(1)).alias("files_named"))
+    rows = HT.tree(old).where("level = 0").groupBy("split").agg(F.sum("n_rows").alias("n_rows"))
+    return (rows.join(before, "split", "left").join(strange, "split", "left")
+            .select("split", "n_rows", F.col("b").isNull().alias("intact"), F.col("files_named").isNull().alias("intact_after"),
+                    F.coalesce("files_named", F.lit(0)).cast("bigint").alias("files_named")))

@@ -332,3 +332,92 @@ def q_system_comparison(spark, sf_dir):
     return rounded(ci.select(
         F.col("point").alias("point_delta"), "ci_low", "ci_high", "excludes_zero", "n_resamples",
         *[test.getField(k).alias(k) for k in ("a_right_b_wrong", "a_wrong_b_right", "p_value", "significant")]))
+
+
+# ------------------------------------------------------------------ R5 / R6 against the normal approximation
+# Quantiles of B = 1000 replicates stray by some 0.09 standard errors of the metric; 0.4 is over four times that.
+_NEAR = 0.4
+_Z = 1.959964  # fixed value: the normal quantile at 0.975
+
+
+@query("leaderboard_ci_near_normal", sql=with_views("long", extra={"e": """
+    SELECT system, 'mae' AS metric, abs(prediction - label) AS x FROM long
+    UNION ALL SELECT system, 'exact_accuracy', CASE WHEN abs(prediction - label) <= 1e-8 + 1e-5 * abs(label) THEN 1.0 ELSE 0.0 END FROM long"""}) + f"""
+SELECT system, metric, CAST(COUNT(*) AS BIGINT) AS n, {r('avg(x)')} AS point, {r('stddev_pop(x) / sqrt(COUNT(*))')} AS standard_error,
+       true AS low_is_near, true AS high_is_near
+FROM e GROUP BY system, metric""")
+def q_leaderboard_ci_near_normal(spark, sf_dir):
+    """The drawn intervals of two means beside point +- 1.96 standard errors of the rows themselves."""
+    s = X.scored(spark, sf_dir)
+    long = E.long_predictions(s, SCORED_SYSTEMS, row_id=None)
+    ci = RS.bootstrap_cells(E.cells(long), {"mae": M.mae, "exact_accuracy": M.exact}, n_resamples=1000, seed=SEED, by=["system"])
+    y, p = F.col("label"), F.col("prediction")
+    terms = [("mae", M.mae), ("exact_accuracy", M.exact)]
+    rows = long.select("system", F.inline(F.array(*[F.struct(F.lit(k).alias("metric"), m.terms(y, p)[0].alias("x")) for k, m in terms])))
+    own = rows.groupBy("system", "metric").agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop("x") / F.sqrt(F.count(F.lit(1)))).alias("standard_error"))
+    se = F.col("standard_error")
+    near = lambda bound, sign: F.abs(F.col(bound) - (F.col("point") + sign * _Z * se)) <= _NEAR * se
+    return rounded(ci.join(own, ["system", "metric"]).select("system", "metric", "n", "point", "standard_error",
+                                                             near("ci_low", -1).alias("low_is_near"), near("ci_high", 1).alias("high_is_near")))
+
+
+@query("system_comparison_near_normal", sql=with_views("scored", extra={
+    "d": f"""SELECT abs({sql_nearest('pred_a')} - label) - abs({sql_nearest('pred_b')} - label) AS x FROM scored"""}) + f"""
+SELECT CAST(COUNT(*) AS BIGINT) AS n, {r('avg(x)')} AS point, {r('stddev_pop(x) / sqrt(COUNT(*))')} AS standard_error,
+       true AS low_is_near, true AS high_is_near,
+       abs(avg(x)) > {_Z} * stddev_pop(x) / sqrt(COUNT(*)) AS excludes_zero,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM scored WHERE pred_a = label AND pred_b <> label) AS a_right_b_wrong,
+       (SELECT CAST(COUNT(*) AS BIGINT) FROM scored WHERE pred_a <> label AND pred_b = label) AS a_wrong_b_right
+FROM d""")
+def q_system_comparison_near_normal(spark, sf_dir):
+    """The paired delta and the discordant counts from paired cells, the interval beside its normal approximation."""
+    pc = paired_cells(spark, sf_dir)
+    delta = RS.paired_delta_metric(RS.snapped(M.mae), "pred_a", "pred_b")
+    ci = RS.excludes_zero(RS.bootstrap_cells(pc, {"mae_delta": delta}, n_resamples=1000, seed=SEED,
+                                             cell_cols=("label", "pred_a", "pred_b"), pred="pred_a"))
+    a, b = delta.terms(F.col("label"), None)
+    x, n = a - b, F.col("n")
+    mean = F.sum(n * x) / F.sum(n)
+    own = pc.agg(F.sum(n).alias("n"), F.sqrt(F.sum(n * x * x) / F.sum(n) - mean * mean).alias("sd")).select(
+        "n", (F.col("sd") / F.sqrt("n")).alias("standard_error"))
+    both = own.join(SG.mcnemar(pc, weight="n").select("a_right_b_wrong", "a_wrong_b_right"), how="cross").join(ci, how="cross")  # one row each
+    se = F.col("standard_error")
+    near = lambda bound, sign: F.abs(F.col(bound) - (F.col("point") + sign * _Z * se)) <= _NEAR * se
+    return rounded(both.select("n", "point", "standard_error", near("ci_low", -1).alias("low_is_near"), near("ci_high", 1).alias("high_is_near"),
+                               "excludes_zero", "a_right_b_wrong", "a_wrong_b_right"))
+
+
+# ------------------------------------------------------------------ U1 / R1: any metric, by little bootstraps
+@query("median_error_ci", sql=with_views("long") + f"""
+SELECT system, CAST(COUNT(*) AS BIGINT) AS n, {r('quantile_disc(abs(prediction - label), 0.5)')} AS median_error, true AS covered, true AS ordered
+FROM long GROUP BY system""")
+def q_median_error_ci(spark, sf_dir):
+    """An interval of the median absolute error, which no sums give, beside the exact median of all rows. The
+    interval is of subsets' medians; it must reach the median, up to one step between neighbouring error values."""
+    s = X.scored(spark, sf_dir).select("row_id", "label", "pred_a", "pred_b", "pred_c")
+    long = E.long_predictions(s, SCORED_SYSTEMS, row_id="row_id")
+    ci = RS.bootstrap_little(long, {"median_error": RS.median_error}, n_resamples=40, seed=SEED, by=["system"])
+    error = F.abs(F.col("prediction") - F.col("label"))
+    exact = long.groupBy("system").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(prediction - label))").alias("median_error"))
+    step = 0.01
+    return rounded(ci.join(exact, "system").select(
+        "system", "n", "median_error", (F.col("median_error").between(F.col("ci_low") - step, F.col("ci_high") + step)).alias("covered"),
+        (F.col("ci_low") <= F.col("ci_high")).alias("ordered")))
+
+
+# ------------------------------------------------------------------ F4 with results that must not pass
+_TAMPERED = {"as it was": ("base", "sha", "1,2,4,5"), "other base": ("other", "sha", "1,2,4,5"), "other source": ("base", "x", "1,2,4,5"),
+             "no source": ("base", None, "1,2,4,5"), "other ratings": ("base", "sha", "1,2,3,4,5"), "all wrong": ("other", "x", "1")}
+
+
+@query("release_gate_tampered", sql=with_views("scored", extra={"label_fp": _LABEL_FP_SQL}) + """
+SELECT v.name, v.ok AS release_ok, v.reason FROM label_fp, (VALUES
+  ('as it was', true, CAST(NULL AS VARCHAR)), ('other base', false, 'unexpected base checkpoint'), ('other source', false, 'unverified rating source'),
+  ('no source', false, 'unverified rating source'), ('other ratings', false, 'unexpected rating classes'), ('all wrong', false, 'unexpected base checkpoint')) v(name, ok, reason)""")
+def q_release_gate_tampered(spark, sf_dir):
+    """The gate over results that differ in base, source and ratings from what the label table's fingerprint demands."""
+    fp = IO.table_fingerprint(X.scored(spark, sf_dir), ["label"]).select("fingerprint")
+    rows = [F.struct(F.lit(k).alias("name"), F.lit(base).alias("base_checkpoint"), (F.col("fingerprint") if sha == "sha" else F.lit(sha)).cast("string").alias("source_sha256"),
+                     F.lit(ratings).alias("ratings")) for k, (base, sha, ratings) in _TAMPERED.items()]
+    results = fp.select("fingerprint", F.inline(F.array(*rows)))
+    return RP.release_gate(results, "base", F.col("fingerprint")).select("name", "release_ok", "reason")
