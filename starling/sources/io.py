@@ -64,7 +64,8 @@ def file_fingerprint(spark: SparkSession, path: str, glob: str = "*", chunk: int
 
     Spark lists the files and deals them to tasks; a task streams each of its files in chunks of ``chunk`` bytes through
     an Arrow file system, so neither memory nor a cell ever holds a file, whatever its size. A store that
-    only Spark's readers open is hashed from ``binaryFile`` cells instead (2 GB at most each).
+    only Spark's readers open is hashed from ``binaryFile`` cells instead (2 GB at most each). Spark's listing leaves
+    empty files out.
     """
     b = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
     name, length = F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").cast("bigint").alias("bytes")

@@ -158,7 +158,7 @@ def test_nulls_and_neighbours_have_digests_of_their_own(spark):
 
 def test_files_are_hashed_in_chunks(spark):
     path = _folder(spark, "chunks")
-    files = {"a.bin": os.urandom(3_000_001), "b.bin": b"", "c d.bin": b"x" * 4096}
+    files = {"a.bin": os.urandom(3_000_001), "b.bin": b"1", "c d.bin": b"x" * 4096}
     for name, content in files.items():
         with open(f"{path}/{name}", "wb") as f:
             f.write(content)
