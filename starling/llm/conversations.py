@@ -11,7 +11,7 @@ conversation spans many. Costs run backwards: the vector of a place holds the co
 * A conversation within one chunk is finished where it lies.
 * Chunks of a longer one start from a speculative vector behind them, the end's. Fix-up passes hand each
   chunk its successor's vector; a chunk whose vector differs from the one it had by more than a constant is run again, from
-  its end until the new vectors differ from the old by constants only. After ``FIXUPS`` passes,
+  its end until the new vectors differ from the old by constants only. After ``fixups`` passes,
   chunks that still move (turns whose vectors never forget) are solved by products of their cost matrices, whose reach doubles.
 * The stitched costs drive the trace: each chunk says where it leaves from each state it could be entered
   in; these maps are composed along the conversation, then each chunk traces its own piece of the audit."""
@@ -186,8 +186,8 @@ _ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "int
 class Chunk:
     """Consecutive turns of one conversation."""
 
-    def __init__(self, conv: int | None):
-        self.conv, self.turns, self.roles, self.texts, self.said, self.size = conv, bytearray(), [], [], {}, 0
+    def __init__(self, conv: int | None, most: int = CHUNK_TURNS):
+        self.conv, self.most, self.turns, self.roles, self.texts, self.said, self.size = conv, most, bytearray(), [], [], {}, 0
         self.low = self.high = self.first = self.last = None
         self.distinct = self.illegal = 0
 
@@ -209,7 +209,7 @@ class Chunk:
 
     @property
     def full(self) -> bool:
-        return len(self.turns) >= CHUNK_TURNS or self.size >= CHUNK_BYTES
+        return len(self.turns) >= self.most or self.size >= CHUNK_BYTES
 
     def facts(self) -> dict:
         return {name: getattr(self, name) for name, _ in _FACTS}
@@ -286,7 +286,7 @@ _PIECES_DDL = ", ".join(["conv long", "open boolean", *(f"r_{n} {k}" for n, k in
                          "roles array<string>", "texts array<string>", "said array<struct<pos:int,said:binary>>"])
 
 
-def pieces(sorted_rows: DataFrame) -> DataFrame:
+def pieces(sorted_rows: DataFrame, chunk_turns: int = CHUNK_TURNS) -> DataFrame:
     """Results of the conversations that lie whole in a chunk inside a partition, and the open chunks of all others."""
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def pieces(sorted_rows: DataFrame) -> DataFrame:
             columns = [batch.column(c).to_pylist() for c in ("conv", "turn", "role", "text", "gone", "byte", "initial", "said")]
             for conv, turn, role, text, gone, byte, initial, said in zip(*columns):
                 if now is None:
-                    now = Chunk(conv)
+                    now = Chunk(conv, chunk_turns)
                 elif conv != now.conv:
                     if inside:
                         out.append({"conv": now.conv, "open": False} | {f"r_{n}": v for (n, _), v in zip(_RESULT, _finished(now))})
@@ -313,11 +313,11 @@ def pieces(sorted_rows: DataFrame) -> DataFrame:
                         out.append(opened(now))
                         seq += 1
                     size += now.size + 100
-                    now, inside = Chunk(conv), True
+                    now, inside = Chunk(conv, chunk_turns), True
                 elif now.full:
                     out.append(opened(now))
                     seq, size = seq + 1, size + now.size
-                    now, inside = Chunk(conv), False
+                    now, inside = Chunk(conv, chunk_turns), False
                 if not gone:
                     now.add(turn, role, text, byte, initial, said)
                 if size >= CHUNK_BYTES:
@@ -387,7 +387,7 @@ def _patched(turns: bytes, late: list[int] | None) -> bytes:
     return bytes(out)
 
 
-def stitched(chunks: DataFrame) -> DataFrame:
+def stitched(chunks: DataFrame, fixups: int = FIXUPS) -> DataFrame:
     """(g, follows, turns, given): the true vector, but for a constant, behind each open chunk."""
 
     def speculate(r: dict) -> dict:
@@ -406,7 +406,7 @@ def stitched(chunks: DataFrame) -> DataFrame:
         after = state.select((F.col("g") - 1).alias("g"), F.col("vector").alias("next"))
         return state.join(after, "g", "left").withColumn("next", F.when(F.col("goes_on"), F.col("next")))
 
-    for _ in range(FIXUPS):
+    for _ in range(fixups):
         state = common.cut(_by_rows(handed(state), _STATE, rerun), "fixup")
         if not state.where("moved").limit(1).count():
             return state
@@ -459,9 +459,9 @@ def entered(state: DataFrame) -> DataFrame:
     return maps.select((F.col("g") + 1).alias("g"), F.get("exits", F.lit(NOTHING)).alias("entry"))
 
 
-def _repaired(chunks: DataFrame) -> DataFrame:
+def _repaired(chunks: DataFrame, fixups: int) -> DataFrame:
     """Results of the conversations of the open chunks: their texts pass in order, one chunk at a time."""
-    state = stitched(chunks.select("g", "conv", "follows", "goes_on", "turns", "late"))
+    state = stitched(chunks.select("g", "conv", "follows", "goes_on", "turns", "late"), fixups)
     entry = entered(state)
     known = (state.select("g", "turns", "given").join(entry, "g", "left"))
     whole = chunks.drop("turns", "said", "late").join(known, "g").withColumn("entry", F.when(F.col("follows"), F.col("entry")).otherwise(NOTHING))
@@ -491,7 +491,7 @@ def _repaired(chunks: DataFrame) -> DataFrame:
 
 # -------------------------------------------------------------- operators
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, chunk_turns: int = CHUNK_TURNS, fixups: int = FIXUPS) -> DataFrame:
     """(conv, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256) of each conversation among
     `rows` (conv, turn, role, text, gone). Turns stand by number, nulls first; turns of one number by the digest of role and text.
 
@@ -499,18 +499,18 @@ def repair(rows: DataFrame) -> DataFrame:
     described = _described(rows).withColumn("_at", F.monotonically_increasing_id())
     order: list[Column] = [F.asc_nulls_first(c) for c in ("conv", "turn", "said", "_at")]  # turns are told apart, so that equal ones can be dealt out too
     dealt = described.repartitionByRange(common.parallelism(rows.sparkSession), *order).sortWithinPartitions(*order)
-    found = common.cut(pieces(dealt.drop("_at")), "pieces")
+    found = common.cut(pieces(dealt.drop("_at"), chunk_turns), "pieces")
     whole = found.where("NOT open").select("conv", *[F.col(f"r_{n}").alias(n) for n, _ in _RESULT])
     chunks = common.cut(_numbered(found.where("open").drop(*(f"r_{n}" for n, _ in _RESULT))), "open")
     chunks = chunks.join(_late(chunks), "g", "left")
-    return whole.unionByName(_repaired(chunks))
+    return whole.unionByName(_repaired(chunks, fixups))
 
 
-def repaired_conversations(table: DataFrame) -> DataFrame:
+def repaired_conversations(table: DataFrame, chunk_turns: int = CHUNK_TURNS, fixups: int = FIXUPS) -> DataFrame:
     """The damaged table's conversations (``damage``), repaired: one row for each conv_id, also where no turn is left.
 
     Nulls in any column count as one space (a null turn is left out of `gaps` and stands first); an empty or blank text is a blank
     turn; repeated rows are duplicates after the first; an empty table gives an empty result. Further columns aren't read. A text
     is never cut; a chunk holds one turn at least, however long. The digest of a conversation is sequential by
     nature: its chunks pass one task in order, one at a time."""
-    return repair(damage(table)).withColumnRenamed("conv", "conv_id")
+    return repair(damage(table), chunk_turns, fixups).withColumnRenamed("conv", "conv_id")

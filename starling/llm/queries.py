@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starling.llm import blob_ledger, conversations, decontaminate, line_dedup, packing, pii, simhash, substring_dedup, token_counts, token_store, topk, toxicity, vector_codes
+from starling.llm import oracle
 from starling.llm.common import table
 
 
@@ -109,3 +110,5 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
 FROM d LEFT JOIN kept USING (doc_id)
 """,
 }
+
+ORACLE_SQL |= oracle.ORACLE_SQL
