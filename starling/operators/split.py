@@ -98,11 +98,11 @@ def stratified_split(df: DataFrame, label: str = "rating", text: str = "review",
     counts = prefix_counts(keys, label, "_key", bucket_digits)
     sizes = holdout_sizes({g: sum(n for _, n in found) for g, found in counts.items()}, test_size, test_share_of_holdout)
     bounds = select_keys(keys, label, "_key", sizes, bucket_digits, counts)
-    kind = df.schema[label].dataType.simpleString()
-    cuts = df.sparkSession.createDataFrame([(g, *b) for g, b in bounds.items()], f"_class {kind}, _test string, _held string")
-    split = F.when(F.col("_key") < F.col("_test"), F.lit("test")).when(F.col("_key") < F.col("_held"), F.lit("validation")).otherwise(F.lit("train"))
-    cut = keyed.join(F.broadcast(cuts), F.col(label).eqNullSafe(F.col("_class")))  # a row for each class
-    return cut.select(*df.columns, split.alias("split"))
+    split = F.lit("train")
+    for group, (test, held) in bounds.items():  # a comparison for each class
+        mine = F.when(F.col("_key") < test, F.lit("test")).when(F.col("_key") < held, F.lit("validation")).otherwise(F.lit("train"))
+        split = F.when(F.col(label).eqNullSafe(F.lit(group)), mine).otherwise(split)
+    return keyed.select(*df.columns, split.alias("split"))
 
 
 def split_distribution(df: DataFrame, label: str = "rating") -> DataFrame:
