@@ -114,9 +114,9 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, longest: int | None = None, slab: int = 1 << 18) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first `longest` bytes."""
-        out = np.empty(len(self), dtype=U8)
+    def hashes(self, longest: int | None = None, slab: int = 1 << 18, seed: int = 0) -> np.ndarray:
+        """A 64-bit hash of each word, or of its first `longest` bytes. Every seed is another hash function."""
+        out, power = np.empty(len(self), dtype=U8), _POWERS if not seed else powers(LONG_WORD + 1, _MULTIPLIER + (seed << 17))
         end = self.end if longest is None else np.minimum(self.end, self.start + longest)
         size = end - self.start
         for a in range(0, len(self), slab):
@@ -125,11 +125,11 @@ class Words:
             place = np.arange(int(n.sum())) - np.repeat(offset, n)
             terms = self.buf[np.repeat(self.start[a : a + slab], n) + place].astype(U8)
             terms += U8(1)
-            terms *= _POWERS[place]
+            terms *= power[place]
             out[a : a + slab] = np.add.reduceat(terms, offset) if len(n) else 0
         out = mix(out + size.astype(U8) * U8(0xD6E8FEB86659FD93))
         for i in np.flatnonzero(size > LONG_WORD):
-            out[i] = xxhash.xxh64_intdigest(self.buf[self.start[i] : end[i]].tobytes())
+            out[i] = xxhash.xxh64_intdigest(self.buf[self.start[i] : end[i]].tobytes(), seed)
         return out
 
     def grams(self, words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -140,9 +140,9 @@ class Words:
         return gram_hashes(words, k), self.doc[:n] == self.doc[k - 1 :]
 
 
-def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
+def gram_hashes(words: np.ndarray, k: int, multiplier: int = _MULTIPLIER) -> np.ndarray:
     n = len(words) - k + 1
-    out, power = np.zeros(max(n, 0), dtype=U8), powers(k)
+    out, power = np.zeros(max(n, 0), dtype=U8), powers(k, multiplier)
     for j in range(k if n > 0 else 0):
         out += words[j : j + n] * power[j]
     return mix(out)

@@ -16,9 +16,10 @@ Three steps keep the graph small:
 Both kinds of records are combined before they are sent: of a passage that very many documents
 share, a task decides all but the first copy itself and sends that one only.
 
-Before words are removed, the words of each path are compared with those at its source's
-coordinates, by a 128-bit digest of the words themselves. A path that only shared hashes is
-dropped and its documents are done again without it."""
+An edge travels as 128 bits that stand for its words. Before words are removed, the words of each path are
+compared with those at its source's coordinates, by a digest of the words themselves. Where every path
+holds, every edge's source is a true one, so nothing is missed; where one only shared hashes, all
+edges are hashed anew by another function."""
 
 from __future__ import annotations
 
@@ -41,8 +42,7 @@ _OUT = "id long, mark long, n_words long, n_removed long, kept_sha256 string, ke
 
 
 def _record(window: int, minimizer: int) -> np.dtype:
-    return np.dtype([("gram", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "<i4"),
-                     ("words", "<u4", (2 * window - minimizer,))])
+    return np.dtype([("gram", "<u8"), ("id", "<i8"), ("start", "<i4"), ("n", "<i4"), ("edges", "<u8", (window - minimizer + 1, 2))])
 
 
 def minimizers(grams: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,7 +80,11 @@ def _share(records: np.ndarray) -> list:
     return [(0, records[~apart], records["gram"][~apart]), (0, records[apart], common.mix(records["id"][apart].astype(U8)))]
 
 
-def suspects(slim: DataFrame, window: int, minimizer: int) -> DataFrame:
+def word_hashes(words: Words, seed: int) -> np.ndarray:
+    return words.hashes(seed=seed)
+
+
+def suspects(slim: DataFrame, window: int, minimizer: int, hashes=word_hashes, seed: int = 0) -> DataFrame:
     """(id, grams): minimizers of each document that also stand in another one."""
     n = common.buckets(slim.sparkSession)
 
@@ -88,7 +92,7 @@ def suspects(slim: DataFrame, window: int, minimizer: int) -> DataFrame:
         packer = common.Packer(n, _share)
         for rows in common.slices(batches, "text"):
             words = Words(common.utf8(rows.column("text")))
-            first, least, _ = _edges(words, words.hashes(), window, minimizer)
+            first, least, _ = _edges(words, hashes(words, seed), window, minimizer)
             if not len(first):
                 continue
             doc = words.doc[first]
@@ -113,7 +117,11 @@ def suspects(slim: DataFrame, window: int, minimizer: int) -> DataFrame:
     return met.groupBy("id").agg(F.collect_set("gram").alias("grams"))
 
 
-def _send_edges(n: int, window: int, minimizer: int):
+#: The second half of an edge's 128 bits.
+_OTHER = 0xD1B54A32D192ED03
+
+
+def _send_edges(n: int, window: int, minimizer: int, hashes, seed: int):
     dtype = _record(window, minimizer)
 
     def combine(records: np.ndarray) -> list:
@@ -125,8 +133,8 @@ def _send_edges(n: int, window: int, minimizer: int):
         packer = common.Packer(n, combine)
         for rows in common.slices(batches, "text"):
             words = Words(common.utf8(rows.column("text")))
-            hashes = words.hashes()
-            first, least, place = _edges(words, hashes, window, minimizer)
+            hashed = hashes(words, seed)
+            first, least, place = _edges(words, hashed, window, minimizer)
             if not len(first):
                 continue
             doc = words.doc[first]
@@ -150,10 +158,10 @@ def _send_edges(n: int, window: int, minimizer: int):
             records["gram"], records["id"] = least[begin], common.ids(rows.column("id"))[doc[begin]]
             records["start"] = first[begin] - words.first[doc[begin]]
             records["n"] = np.diff(np.append(begin, len(first)))
-            small = (hashes >> U8(32)).astype(np.uint32)
-            reach = first[begin][:, None] + np.arange(2 * window - minimizer)[None, :]
-            used = np.arange(2 * window - minimizer)[None, :] < (records["n"] + window - 1)[:, None]
-            records["words"] = np.where(used, small[np.minimum(reach, len(small) - 1)], 0)
+            whole = np.stack([common.gram_hashes(hashed, window), common.gram_hashes(hashed, window, _OTHER)], axis=1)
+            reach = np.arange(window - minimizer + 1)[None, :]
+            used = reach < records["n"][:, None]
+            records["edges"] = np.where(used[:, :, None], whole[np.minimum(first[begin][:, None] + reach, len(whole) - 1)], 0)
             yield from packer.add(records)
         yield from packer.end()
 
@@ -166,17 +174,15 @@ _PIECE = "id long, start int, n int, source long, source_start int"
 def repeated(records: np.ndarray, window: int, minimizer: int) -> tuple[np.ndarray, np.ndarray]:
     """Paths of edges (with their sources) that some smaller document among these super
     k-mers also has, and which super k-mers have only such edges."""
-    power, reach, words = common.powers(window), window - minimizer + 1, records["words"].astype(U8)
-    edge = np.zeros((len(records), reach), U8)
-    for t in range(window):
-        edge += words[:, t : t + reach] * power[t]
-    record, j = np.nonzero(np.arange(reach)[None, :] < records["n"][:, None])
-    edge = common.mix(edge[record, j] + records["gram"][record])
+    record, j = np.nonzero(np.arange(window - minimizer + 1)[None, :] < records["n"][:, None])
+    edge, other = records["edges"][record, j].T
     doc, at = records["id"][record], records["start"][record] + j.astype(np.int32)
-    order = np.lexsort((at, doc, edge))
-    start, stop = common.runs(edge[order])
+    order = np.lexsort((at, doc, other, edge))
+    new = np.ones(len(order), bool)
+    new[1:] = (edge[order][1:] != edge[order][:-1]) | (other[order][1:] != other[order][:-1])
+    start = np.flatnonzero(new)
     head = np.empty(len(order), np.int64)
-    head[order] = np.repeat(order[start], stop - start)
+    head[order] = np.repeat(order[start], np.diff(np.append(start, len(order))))
     source, source_at = doc[head], at[head]
     is_late = source < doc
     count = np.bincount(record[is_late], minlength=len(records))
@@ -191,9 +197,6 @@ def repeated(records: np.ndarray, window: int, minimizer: int) -> tuple[np.ndarr
     return out, count == records["n"]
 
 
-_PIECE = "id long, start int, n int, source long, source_start int"
-
-
 def _meet_edges(window: int, minimizer: int):
     dtype = _record(window, minimizer)
     schema = pa.schema([("id", pa.int64()), ("start", pa.int32()), ("n", pa.int32()), ("source", pa.int64()), ("source_start", pa.int32())])
@@ -250,7 +253,7 @@ def _remove(window: int, texts: bool):
 
 
 def dedup_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZER, id_col: str = "doc_id", text_col: str = "text",
-                texts: bool = False) -> DataFrame:
+                texts: bool = False, hashes=word_hashes) -> DataFrame:
     """(id, n_words, n_removed, kept_sha256[, kept]) of each row: every word covered by a
     window of `window` words that also starts in a document with a smaller id is
     removed; windows are judged on the input. Words are `[^\\x20\\x09-\\x0D]+`; kept words are
@@ -258,18 +261,22 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZE
 
     Null and empty texts have no words. Documents with a null id lose nothing and take
     nothing from others; rows with equal ids don't compete with each other. An empty table
-    gives an empty result."""
+    gives an empty result. `hashes(words, seed)` gives a 64-bit hash of each word, another function for each seed."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("text"))
     named = slim.where("id IS NOT NULL")
-    shared = common.cut(suspects(named, window, minimizer), "suspects")
     # the same exchange of texts serves both joins
-    dealt = named.repartition("id")
-    edges = (dealt.select("id", "text").join(shared.hint("shuffle_hash"), "id")
-             .mapInArrow(_send_edges(common.buckets(docs.sparkSession), window, minimizer), common.PACKED))
-    pieces = common.by_bucket(edges).mapInArrow(_meet_edges(window, minimizer), _PIECE)
-    paths = common.cut(compacted(pieces), "paths")
-    remove = _remove(window, texts)
+    dealt, remove, seed, loose = named.repartition("id"), _remove(window, texts), 0, None
     while True:
+        shared = common.cut(suspects(named, window, minimizer, hashes, seed), "suspects")
+        edges = (dealt.select("id", "text").join(shared.hint("shuffle_hash"), "id")
+                 .mapInArrow(_send_edges(common.buckets(docs.sparkSession), window, minimizer, hashes, seed), common.PACKED))
+        pieces = common.by_bucket(edges).mapInArrow(_meet_edges(window, minimizer), _PIECE)
+        if loose is None:
+            paths = compacted(pieces)
+        else:  # pieces of different texts of one id may have been joined: there they stay apart
+            pieces = common.cut(pieces, "pieces")
+            paths = compacted(pieces.join(loose, "id", "left_anti")).unionByName(pieces.join(loose, "id", "left_semi").distinct())
+        paths = common.cut(paths, "paths")
         spans = paths.groupBy("id").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
         lent = (paths.select(F.col("source").alias("id"), F.col("source_start").alias("start"), "n").distinct()
                 .groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("lent")))
@@ -277,11 +284,13 @@ def dedup_spans(docs: DataFrame, window: int = WINDOW, minimizer: int = MINIMIZE
         done = common.cut(joined.mapInArrow(remove, _OUT), "removed")
         said = done.select("id", F.explode("digests").alias("d")).select("id", "d.start", "d.n", "d.digest").distinct()
         theirs = said.selectExpr("id AS source", "start AS source_start", "n", "digest AS theirs")
+        # rows of one id may have different texts: a path holds if some text of either id has its words
         false = (paths.join(said, ["id", "start", "n"]).join(theirs, ["source", "source_start", "n"])
                  .groupBy("id", "start", "n", "source", "source_start").agg(F.max(F.col("digest") == F.col("theirs")).alias("same")).where("NOT same"))
+        false = common.cut(false.select("id").distinct(), "false")
         if false.isEmpty():
             break
-        paths = common.cut(paths.join(false, ["id", "start", "n", "source", "source_start"], "left_anti"), "paths")
+        seed, loose = seed + 1, false if loose is None else loose.unionByName(false).distinct()
     unnamed = (slim.where("id IS NULL").withColumn("spans", F.lit(None).cast(_SPANS)).withColumn("lent", F.lit(None).cast(_SPANS))
                .mapInArrow(remove, _OUT))
     result = done.unionByName(unnamed)

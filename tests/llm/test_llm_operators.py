@@ -169,6 +169,28 @@ def test_spans(docs, rows):
     assert substring_dedup.dedup_spans(docs.limit(0)).count() == 0
 
 
+def test_spans_under_hashes_that_collide(spark):
+    """Two words of one hash: the first function's paths fail verification, and another function decides."""
+    def weak(words, seed):
+        found = words.hashes(seed=seed)
+        if not seed:  # x and y words look alike
+            first = words.buf[words.start]
+            found[(first == ord("x")) | (first == ord("y"))] = 7
+        return found
+
+    shared = [" ".join(f"s{k}w{i}" for i in range(50)) for k in range(8)]
+    texts = [f"{w}{k} {t}" for k, t in enumerate(shared) for w in ("x", "y", "y")] + [f"{t} x{k}" for k, t in enumerate(shared)]
+    rows = list(enumerate(texts)) + [(7, texts[9]), (7, " ".join(shared[:2]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = brute.spans_removed([(i, t) for i, t in enumerate(texts)])
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    for hashes in (weak, substring_dedup.word_hashes):
+        got = substring_dedup.dedup_spans(plain, hashes=hashes).collect()
+        assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got), key=str) == sorted(want, key=str)
+    assert substring_dedup.dedup_spans(df, hashes=weak).count() == len(rows)
+
+
+
 def test_spans_over_many_flushes(spark):
     """Copies that are decided partly in a task and partly in the bucket."""
     rng = np.random.default_rng(3)
