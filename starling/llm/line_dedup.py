@@ -139,16 +139,34 @@ def near_signatures(a: np.ndarray, b: np.ndarray, threshold: int) -> np.ndarray:
 
 # ------------------------------------------------------------------- join
 
-_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64())])
-_PAIR_DDL = "a long, b long, key long"
-
-
-def _pairs(a: np.ndarray, b: np.ndarray, key=None) -> pa.RecordBatch:
-    low, high = np.minimum(a, b).view(np.int64), np.maximum(a, b).view(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high), pa.nulls(len(a), pa.int64()) if key is None else pa.array(key)], schema=_PAIR)
+_MET = pa.schema([("part", pa.int64()), ("line", pa.int64()), ("whole", pa.bool_())])
+_MET_DDL = "part long, line long, whole boolean"
+
+
+def alike_parts(asked: np.ndarray, held: np.ndarray, threshold: int, step: int = 256) -> np.ndarray:
+    """The lines (number of the asked record) joined through pairs whose signatures allow the threshold: for each asked
+    record the number of its part. `held` marks the records that stand in the index; one of a pair does."""
+    n = len(asked)
+    part, index = np.arange(n), np.flatnonzero(held)
+    while True:
+        before = part.copy()
+        for at in range(0, n, step):
+            rows = slice(at, at + step)
+            near = near_signatures(asked["sig"][rows, None], asked["sig"][None, index], threshold) & (asked["id"][rows, None] != asked["id"][None, index])
+            near |= asked["id"][rows, None] == asked["id"][None, index]
+            low = np.where(near, part[index][None, :], n).min(axis=1, initial=n)
+            part[rows] = np.minimum(part[rows], low)
+            up = np.where(near, part[rows][:, None], n).min(axis=0, initial=n)
+            part[index] = np.minimum(part[index], up)
+        part = part[part]
+        if (part == before).all():
+            return part
 
 
 def _meet(threshold: int, block: int):
+    """Lines that share a key as (part, line): a part's lines are joined through likely pairs, so rows grow with the lines of a
+    key, not with its pairs. Lines of a key too common to compare are one part, not `whole`."""
+
     def meet(batches):
         for (records,) in common.bucket_records(batches, _RECORD):
             start, stop = common.runs(records["key"])
@@ -162,26 +180,49 @@ def _meet(threshold: int, block: int):
             least = np.minimum.reduceat(records["id"], whole)[::2]
             most = np.maximum.reduceat(records["id"], whole)[::2]
             indexed = np.minimum.reduceat(records["sig"] & _PROBE, whole)[::2] == 0
-            found_a, found_b = [], []
+            parts, lines, compared = [], [], []
             for s, e in zip(start[(least != most) & indexed], stop[(least != most) & indexed]):
                 group = records[s:e]
                 _, first = np.unique(np.stack([group["id"], (group["sig"] & _PROBE).astype(U8)]), axis=1, return_index=True)
                 group = group[first]
-                if len(group) > block:
-                    ids = np.unique(group["id"])
-                    yield _pairs(ids, ids, np.full(len(ids), group["key"][0], U8).view(np.int64))
-                    continue
-                held, asked = group[(group["sig"] & _PROBE) == 0], group
-                near = near_signatures(asked["sig"][:, None], held["sig"][None, :], threshold) & (asked["id"][:, None] != held["id"][None, :])
-                x, y = np.nonzero(near)
-                found_a.append(asked["id"][x])
-                found_b.append(held["id"][y])
-            if found_a:
-                yield _pairs(np.concatenate(found_a), np.concatenate(found_b))
+                small = len(group) <= block
+                part = alike_parts(group, (group["sig"] & _PROBE) == 0, threshold) if small else np.zeros(len(group), np.int64)
+                found = np.unique(np.stack([part.astype(U8), group["id"]]), axis=1)
+                _, inverse, size = np.unique(found[0], return_inverse=True, return_counts=True)
+                found = found[:, size[inverse] > 1]
+                # a part is named by its own lines: the same lines under another key are the same part
+                mark = common.mix(found[1])
+                names, where = np.unique(found[0], return_inverse=True)
+                name = np.zeros(len(names), U8)
+                np.add.at(name, where, mark)
+                parts.append(name[where] if small else np.full(found.shape[1], group["key"][0], U8))
+                lines.append(found[1])
+                compared.append(np.full(found.shape[1], small))
+            if parts and sum(map(len, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (parts, lines)] + [pa.array(np.concatenate(compared))], schema=_MET)
 
     return meet
 
 
+def forest(names: list[int], texts: list[str], threshold: int) -> list[tuple[int, int]]:
+    """Links that connect the lines within `threshold` edits, as few as connect them: from each line reached, to all
+    lines not reached yet."""
+    rest, out = list(zip(names, texts)), []
+    while len(rest) > 1:
+        ahead, rest = [rest[0]], rest[1:]
+        while ahead and rest:
+            name, text = ahead.pop()
+            apart = []
+            for other in rest:
+                if abs(len(other[1]) - len(text)) <= threshold and edit_within(text, other[1], threshold):
+                    out.append((name, other[0]))
+                    ahead.append(other)
+                else:
+                    apart.append(other)
+            rest = apart
+    return out
+
+
 def _lines(rows: pa.RecordBatch, least: int):
     """(index of the row, number of the line, line) of every line that takes part."""
     for i, text in enumerate(rows.column("text").to_pylist()):
@@ -190,10 +231,11 @@ def _lines(rows: pa.RecordBatch, least: int):
                 yield i, k, line
 
 
-def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, block: int = common.BLOCK // 8) -> DataFrame:
+def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, block: int = common.BLOCK // 2) -> DataFrame:
     """(a, b): links between line ids that connect the distinct lines within `threshold` edits.
-    Groups up to a bounded size link every pair found; in larger ones, whose pairs
-    would grow as their square, blocks link only as much as keeps them connected."""
+    Lines that meet are gathered with their texts, and a part's links are a forest over the pairs
+    verified there: neither rows nor links grow with the pairs. A part of more than `block` lines of one key is dealt
+    into pairs of blocks."""
     n = common.buckets(slim.sparkSession)
 
     def send(batches):
@@ -210,8 +252,8 @@ def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHA
                 yield from packer.add(line_records(list(lines.values()), np.fromiter(lines, U8, len(lines)), threshold))
         yield from packer.end()
 
-    met = common.cut(common.by_bucket(slim.select("text").mapInArrow(send, common.PACKED)).mapInArrow(_meet(threshold, block), _PAIR_DDL).distinct(), "pairs")
-    wanted = common.cut(met.selectExpr("a AS line").unionByName(met.selectExpr("b AS line")).distinct(), "wanted")
+    met = common.cut(common.by_bucket(slim.select("text").mapInArrow(send, common.PACKED)).mapInArrow(_meet(threshold, block), _MET_DDL).distinct(), "met")
+    wanted = common.cut(met.select("line").distinct(), "wanted")
 
     def texts(batches):
         schema = pa.schema([("line", pa.int64()), ("words", pa.string())])
@@ -224,34 +266,16 @@ def near_lines(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHA
     words = common.cut(slim.select("text").mapInArrow(texts, "line long, words string")
                        .join(wanted, "line", "left_semi").dropDuplicates(["line"]), "words")
 
-    @F.pandas_udf("boolean")
-    def within(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edit_within(x, y, threshold) for x, y in zip(a, b)], dtype=bool)
+    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("line").sort_values("line")
+        return pd.DataFrame(forest(pdf["line"].tolist(), pdf["words"].tolist(), threshold), columns=["a", "b"], dtype="int64")
 
-    pairs = met.where("key IS NULL").select("a", "b")
-    checked = (pairs.join(words.selectExpr("line AS a", "words AS x"), "a").join(words.selectExpr("line AS b", "words AS y"), "b")
-               .where(within("x", "y")).select("a", "b"))
-    large = met.where("key IS NOT NULL").select("key", F.col("a").alias("line"))
+    links = met.where("whole").join(words, "line").groupBy("part").applyInPandas(connect, "a long, b long")
+    large = met.where("NOT whole").select("part", "line")
     if large.isEmpty():
-        return checked
-    dealt = common.block_pairs(large, "key", "line", block).join(words, "line")
-
-    def connect(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, out = list(zip(pdf["line"], pdf["words"])), []
-        while len(rest) > 1:
-            ahead, rest = [rest[0]], rest[1:]
-            while ahead and rest:
-                name, text = ahead.pop()
-                hit = [r for r in rest if abs(len(r[1]) - len(text)) <= threshold and edit_within(text, r[1], threshold)]
-                if hit:
-                    reached = {r[0] for r in hit}
-                    out += [(name, r) for r in reached]
-                    ahead += hit
-                    rest = [r for r in rest if r[0] not in reached]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    more = dealt.groupBy("key", "i", "j").applyInPandas(lambda pdf: connect(pdf.drop_duplicates("line")), "a long, b long")
-    return checked.unionByName(more)
+        return links
+    dealt = common.block_pairs(large, "part", "line", block).join(words, "line")
+    return links.unionByName(dealt.groupBy("part", "i", "j").applyInPandas(connect, "a long, b long"))
 
 
 def line_classes(slim: DataFrame, threshold: int = THRESHOLD, least: int = MIN_CHARS, exact: int | None = None) -> DataFrame:

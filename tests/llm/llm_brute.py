@@ -94,18 +94,18 @@ class Union:
         self.up[max(a, b)] = min(a, b)
 
 
-def lines_kept(rows, threshold=2, least=20, within=None):
+def lines_kept(rows, threshold=2, least=20, within=None, exact=None):
     """{(id, text): kept text}: rows that repeat id and text are one document."""
     last = 1 << 62
     docs = sorted({(last if d is None else d, signed(xxhash.xxh64_intdigest((t or "").encode(), 42)), t) for d, t in rows if t is not None})
-    places = [((d, m, k), line) for d, m, t in docs for k, line in enumerate(t.split("\n")) if len(line) >= least]
+    places = [((d, m, k), line) for d, m, t in docs for k, line in enumerate(t.split("\n")) if len(line) >= (least if exact is None else exact)]
     first = {}
     for p, line in places:
         first[line] = min(p, first.get(line, p))
     joined, distinct = Union(), sorted(first, key=len)
     for i, a in enumerate(distinct):
         for b in distinct[i + 1 :]:
-            if len(b) - len(a) > threshold:
+            if len(a) < least or len(b) - len(a) > threshold:
                 break
             if (within or (lambda x, y: distance(x, y) <= threshold))(a, b):
                 joined.join(a, b)

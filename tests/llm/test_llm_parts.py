@@ -231,3 +231,35 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {x: joined.find(x) for a, b in edges for x in (a, b) if a != b}
     assert got == want
+
+
+def test_parts_are_the_components_of_likely_pairs():
+    rng = np.random.default_rng(8)
+    for _ in range(20):
+        n = int(rng.integers(2, 60))
+        group = np.zeros(n, line_dedup._RECORD)
+        group["id"], group["sig"] = rng.integers(0, 40, n), rng.integers(0, 1 << 7, n).astype(np.uint32)
+        held = rng.random(n) < 0.6
+        part = line_dedup.alike_parts(group, held, 2, step=7)
+        want = brute.Union()
+        for x in range(n):
+            for y in np.flatnonzero(held):
+                if group["id"][x] == group["id"][y] or line_dedup.near_signatures(group["sig"][x : x + 1], group["sig"][y : y + 1], 2)[0]:
+                    want.join(x, int(y))
+        assert all((part[x] == part[y]) == (want.find(x) == want.find(y)) for x in range(n) for y in range(n))
+
+
+def test_forests_connect_all_lines_within_the_threshold():
+    rng = np.random.default_rng(9)
+    texts = sorted({"".join(rng.choice(list("ab"), 9)) for _ in range(60)})
+    links = line_dedup.forest(list(range(len(texts))), texts, 1)
+    got, want = brute.Union(), brute.Union()
+    for a, b in links:
+        assert brute.distance(texts[a], texts[b]) <= 1
+        got.join(a, b)
+    for i in range(len(texts)):
+        for j in range(i):
+            if brute.distance(texts[i], texts[j]) <= 1:
+                want.join(i, j)
+    assert len(links) < len(texts)
+    assert all((got.find(i) == got.find(j)) == (want.find(i) == want.find(j)) for i in range(len(texts)) for j in range(i))
