@@ -20,8 +20,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take lines out of texts that repeat, up to two edits, a line before them; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    """Take lines out of texts that repeat a line before them, long ones up to two edits; n_chars follows the text."""
+    kept = line_dedup.dedup_lines(docs, exact=1)
     length = F.length("text").cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(length))
 
