@@ -54,11 +54,12 @@ _VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                e1 / (e1 + e2 + e3 + e4) AS p1, e2 / (e1 + e2 + e3 + e4) AS p2,
                e3 / (e1 + e2 + e3 + e4) AS p3, e4 / (e1 + e2 + e3 + e4) AS p4
         FROM probs_exp"""),
-    "logits": ((), """
-        SELECT CAST(vec_id AS BIGINT) AS vec_id,
-               CAST(embedding[1] AS DOUBLE) AS l1, CAST(embedding[2] AS DOUBLE) AS l2,
-               CAST(embedding[3] AS DOUBLE) AS l3, CAST(label % 4 AS BIGINT) AS rank
+    "head": ((), """
+        SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(label AS BIGINT) AS model_id, CAST(label % 4 AS BIGINT) AS rank,
+               CASE WHEN label < 5 THEN 0.5 ELSE -0.5 END AS b,
+               list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x, i: x * ((i - 1) % 5 - 2) / 2.0)) AS z
         FROM embeddings"""),
+    "logits": (("head",), "SELECT vec_id, model_id, z + b AS l1, z AS l2, z - b AS l3, rank FROM head"),
     "vectors": ((), """
         SELECT CAST(label AS BIGINT) AS group_id, CAST(vec_id AS BIGINT) AS vec_id, embedding,
                CASE WHEN vec_id % 3 <> 0 THEN 1.0 ELSE 0.0 END AS mask

@@ -193,10 +193,10 @@ def q_coral_loss(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- D12
-_MODELS_SQL = """SELECT CAST(e.label AS BIGINT) AS model_id, avg(l.l1) AS b1, avg(l.l2) AS b2, avg(l.l3) AS b3,
+_MODELS_SQL = """SELECT model_id, avg(l1) AS b1, avg(l2) AS b2, avg(l3) AS b3,
            CAST(COUNT(*) AS BIGINT) AS n_rows,
-           CAST(COUNT(*) FILTER (WHERE NOT (l.l2 - l.l1 <= 1e-6 AND l.l3 - l.l2 <= 1e-6)) AS BIGINT) AS n_rows_not_monotone
-    FROM logits l JOIN embeddings e ON l.vec_id = e.vec_id GROUP BY e.label"""
+           CAST(COUNT(*) FILTER (WHERE NOT (l2 - l1 <= 1e-6 AND l3 - l2 <= 1e-6)) AS BIGINT) AS n_rows_not_monotone
+    FROM logits GROUP BY model_id"""
 
 
 @query("bias_audit", sql=with_views("logits", extra={"models": _MODELS_SQL}) + f"""
@@ -206,10 +206,7 @@ SELECT model_id, {r('b1')} AS b1, {r('b2')} AS b2, {r('b3')} AS b3, n_rows, n_ro
 FROM models""")
 def q_bias_audit(spark, sf_dir):
     """Models = one fitted bias vector per embedding label (mean logits of its rows)."""
-    e = X.table(spark, sf_dir, "embeddings")
-    rows = e.select(F.col("label").cast("bigint").alias("model_id"),
-                    F.array(*[F.col("embedding").getItem(i).cast("double") for i in range(3)])
-                    .alias("cumulative_logits"))  # one scan, no self-join
+    rows = X.logits(spark, sf_dir)
     row_ok = O.is_monotone("cumulative_logits", 3)
     models = rows.groupBy("model_id").agg(
         F.avg(F.col("cumulative_logits").getItem(0)).alias("b1"),
