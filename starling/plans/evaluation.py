@@ -1,7 +1,7 @@
 """Evaluation plan (the flagship): every system on the same test split.
 
-    python -m starling.plans.evaluation --splits /shared/run1/splits \
-        --ce-model /shared/run1/ce/model [--coral /shared/run1/coral] --out /shared/run1/eval
+    python -m starling.plans.evaluation --prepared /shared/run1 \
+        --ce /shared/run1/ce [--coral /shared/run1/coral] --out /shared/run1/eval
 
 Plan: test rows are scored once (persisted), all decoders come from that one
 pass, and everything is reduced to cells ``(system, label, prediction, n)``
@@ -29,6 +29,7 @@ from starling.operators import report as RP
 from starling.operators import resample as RS
 from starling.operators import significance as SG
 from starling.session import apply_cluster_defaults
+from starling.sources import hashtree as HT
 from starling.sources import io as IO
 
 CE_SYSTEMS = {
@@ -86,30 +87,51 @@ def evaluate(spark: SparkSession, splits: DataFrame, ce: L.TextModel | None = No
 
 def main(argv=None) -> None:
     ap = argparse.ArgumentParser(description=__doc__)
-    ap.add_argument("--splits", required=True)
-    ap.add_argument("--ce-model")
-    ap.add_argument("--coral", help="the ordinal model of the training plan")
+    ap.add_argument("--prepared", required=True, help="folder of the preparation plan")
+    ap.add_argument("--ce", help="folder of the training plan's classifier")
+    ap.add_argument("--coral", help="folder of the training plan's ordinal model")
     ap.add_argument("--out", required=True)
     a = ap.parse_args(argv)
     spark = apply_cluster_defaults(SparkSession.builder.getOrCreate())
-    splits = IO.read_splits(spark, a.splits)
-    ce = L.TextModel.load(spark, a.ce_model) if a.ce_model else None
-    coral = L.TextModel.load(spark, a.coral) if a.coral else None
+    splits = HT.read_verified(spark, f"{a.prepared}/splits", f"{a.prepared}/split_tree")
+    ce = L.TextModel.load(spark, f"{a.ce}/model") if a.ce else None
+    coral = L.TextModel.load(spark, f"{a.coral}/model") if a.coral else None
     results = evaluate(spark, splits, ce, coral)
+    logs = [IO.read_json(spark, f"{folder}/training_log", IO.LOG_SCHEMA) for folder in (a.ce, a.coral) if folder]
+    origin = provenance(IO.read_json(spark, f"{a.prepared}/split_manifest", IO.SPLIT_MANIFEST_SCHEMA), logs, ce or coral)
     for name, df in results.items():
         df.coalesce(1).write.mode("overwrite").json(f"{a.out}/{name}")
-    payload = results_document(results)
+    payload = results_document(results, origin)
     # one small document (bounded by systems x metrics), written through Spark
     spark.createDataFrame([(json.dumps(payload, default=str),)], "value string") \
         .coalesce(1).write.mode("overwrite").text(f"{a.out}/results")
     print(json.dumps(payload, default=str, indent=2))
 
 
-def results_document(results: dict[str, DataFrame]) -> dict:
-    """The auditable results record: per system its metrics with 95% CIs,
+def provenance(manifest: DataFrame, logs: list[DataFrame], model: L.TextModel | None) -> dict:
+    """What the results rest on: the base of the models, the source's fingerprint and split manifest, and each run's training record."""
+    split = manifest.first()
+    if split is None:
+        raise RuntimeError("no split manifest")
+    training = {}
+    for log in logs:
+        for r in IO.training_metadata(log).collect():  # a record for each run
+            training[r["run"]] = {k: v for k, v in r.asDict(recursive=True).items() if k != "run"}
+    base = f"hashed-words-{len(model.linear.weights)}" if model else None
+    return {"base_checkpoint": base, "source_sha256": split["source_sha256"], "split_manifest": split.asDict(), "training": training}
+
+
+def release_records(spark: SparkSession, payload: dict) -> DataFrame:
+    """The results document as the one-row table that the release gate judges."""
+    row = (payload.get("base_checkpoint"), payload.get("source_sha256"), ",".join(map(str, payload.get("ratings", []))))
+    return spark.createDataFrame([row], "base_checkpoint string, source_sha256 string, ratings string")
+
+
+def results_document(results: dict[str, DataFrame], origin: dict | None = None) -> dict:
+    """The auditable results record: where it comes from, per system its metrics with 95% CIs,
     per-class and confusion lines, and the paired comparison when present.
     Every input is already a tiny table (systems x metrics, K lines)."""
-    doc = {"ratings": list(VALID_RATINGS), "test_results": {}}
+    doc = {**(origin or {}), "ratings": list(VALID_RATINGS), "test_results": {}}
     for r in results["board"].collect():
         doc["test_results"][r.system] = {k: v for k, v in r.asDict().items() if k != "system"}
     for r in results["ci"].collect():

@@ -64,6 +64,45 @@ def q_latest_checkpoint(spark, sf_dir):
     return IO.latest_checkpoint(_logs(spark, sf_dir))
 
 
+# ------------------------------------------------------------------ S8 + S9: one training record for each run
+def _cumulative_logs(spark, sf_dir, checkpoints: int = 4):
+    """Logs as trainers write them: each of a run's checkpoints holds all entries so far, in order, training losses between them."""
+    h = _epochs(spark, sf_dir).select("run", "epoch", "eval_mae")
+    last = h.groupBy("run").agg(F.max("epoch").alias("last"))
+    at = last.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(checkpoints)), lambda k: F.ceil(F.col("last") * k / checkpoints)))).alias("at"))
+    docs = h.join(at, "run").where("epoch <= at").groupBy("run", "at").agg(
+        F.array_sort(F.collect_list(F.struct("epoch", "eval_mae"))).alias("e"), F.min_by("epoch", F.struct("eval_mae", "epoch")).alias("best"),
+        F.min("eval_mae").alias("best_metric"))
+
+    def entries(x):
+        ep = x["epoch"].cast("double")
+        return F.array(F.create_map(F.lit("epoch"), ep, F.lit("loss"), x["eval_mae"] * 1.5),
+                       F.create_map(F.lit("epoch"), ep, F.lit("eval_mae"), x["eval_mae"], F.lit("step"), ep * STEPS_PER_EPOCH))
+
+    name = lambda c: F.concat(F.lit("checkpoint-"), (F.col(c) * STEPS_PER_EPOCH).cast("string"))
+    path = scratch_path(spark, "cumulative_logs")
+    docs.select("run", name("at").alias("checkpoint"), F.flatten(F.transform("e", entries)).alias("log_history"), "best_metric",
+                name("best").alias("best_model_checkpoint")).write.json(path)
+    return IO.read_json(spark, path, IO.LOG_SCHEMA)
+
+
+@query("training_metadata", sql=with_views("runs") + f"""
+SELECT run, 'checkpoint-' || CAST(max(epoch) * {STEPS_PER_EPOCH} AS VARCHAR) AS latest_checkpoint, {r('min(eval_mae)')} AS best_metric,
+       'checkpoint-' || CAST(arg_min(epoch, {{'m': eval_mae, 'e': epoch}}) * {STEPS_PER_EPOCH} AS VARCHAR) AS best_model_checkpoint,
+       CAST(COUNT(*) AS BIGINT) AS n_entries, {r('sum(eval_mae * epoch) / 1000000')} AS weighted, CAST(2 AS BIGINT) AS n_keys
+FROM runs GROUP BY run
+UNION ALL SELECT 'never trained', NULL, NULL, NULL, NULL, NULL, NULL""")
+def q_training_metadata(spark, sf_dir):
+    """Records from cumulative logs: the newest checkpoint's entries once each, and a record of nulls for a run without any."""
+    logs = _cumulative_logs(spark, sf_dir)
+    names = [x["run"] for x in logs.select("run").distinct().collect()]  # the runs, a few
+    m = IO.training_metadata(logs, [*names, "never trained"])
+    weighted = F.aggregate(F.transform("history", lambda e: e["eval_mae"] * e["epoch"]), F.lit(0.0), lambda a, x: a + x) / 1000000
+    n = F.when(F.col("history").isNotNull(), F.size("history").cast("bigint"))
+    keys = F.when(F.col("history").isNotNull(), F.array_max(F.transform("history", lambda e: F.size(e))).cast("bigint"))
+    return rounded(m.select("run", "latest_checkpoint", "best_metric", "best_model_checkpoint", n.alias("n_entries"), weighted.alias("weighted"), keys.alias("n_keys")))
+
+
 # ------------------------------------------------------------------ L6
 @query("candidate_metrics", sql=with_views("long") + f"""
 SELECT system AS candidate, CAST(COUNT(*) AS BIGINT) AS n,

@@ -24,6 +24,9 @@ REVIEW_SCHEMA = T.StructType([
     T.StructField("review", T.StringType(), True),
 ])
 
+# Fixed value that must equal the reference.
+SPLIT_DESCRIPTION = "80/10/10 stratified after text deduplication"
+
 SPLIT_COLUMNS = frozenset({"review", "rating", "target_origin"})
 
 
@@ -181,13 +184,20 @@ def split_manifest(splits: DataFrame, source_sha256: Column, seed: int = SEED,
     return counts.select(
         source_sha256.alias("source_sha256"),
         F.lit(seed).cast("bigint").alias("seed"),
-        F.lit("80/10/10 stratified after text deduplication").alias("split"),
+        F.lit(SPLIT_DESCRIPTION).alias("split"),
         "train_rows", "validation_rows", "test_rows",
         F.lit(TARGET_ORIGIN).alias("target_origin"),
         (disjoint if disjoint is not None else F.lit(True)).alias("text_disjoint"),
     )
 
 
+SPLIT_MANIFEST_SCHEMA = T.StructType([
+    T.StructField("source_sha256", T.StringType()), T.StructField("seed", T.LongType()), T.StructField("split", T.StringType()),
+    T.StructField("train_rows", T.LongType()), T.StructField("validation_rows", T.LongType()), T.StructField("test_rows", T.LongType()),
+    T.StructField("target_origin", T.StringType()), T.StructField("text_disjoint", T.BooleanType()),
+])
+
+
 def manifest_gate(observed: DataFrame, manifest: DataFrame) -> DataFrame:
     """The observed fingerprint must equal the manifest's, origin must be
     the source file; the first failing reason is reported (NULL when ok)."""
@@ -278,6 +288,22 @@ def latest_checkpoint(logs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_checkpoints"))
 
 
+def training_metadata(logs: DataFrame, runs: Sequence[str] | None = None) -> DataFrame:
+    """One record per run: its newest checkpoint by number, the best metric and checkpoint noted there, and the
+    validation entries of that checkpoint's log in order. Logs are cumulative, so older checkpoints of a run repeat what the newest
+    holds and are not read again. With ``runs``, exactly these, and a run without a checkpoint has a record of nulls."""
+    step = checkpoint_step(F.col("checkpoint"))
+    newest = logs.groupBy("run").agg(F.max_by(F.struct("checkpoint", "log_history", "best_metric", "best_model_checkpoint"), step).alias("c"))
+    entries = F.filter("c.log_history", lambda e: F.map_contains_key(e, "eval_mae"))
+    history = F.transform(entries, lambda e: F.map_filter(e, lambda k, v: k.startswith("eval_") | (k == "epoch")))
+    found = newest.select("run", F.col("c.checkpoint").alias("latest_checkpoint"), checkpoint_step(F.col("c.checkpoint")).alias("latest_step"),
+                          F.col("c.best_metric").alias("best_metric"), F.col("c.best_model_checkpoint").alias("best_model_checkpoint"), history.alias("history"))
+    if runs is None:
+        return found
+    wanted = logs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, runs))).alias("run"))  # the runs named by the caller
+    return wanted.join(found, "run", "left")
+
+
 # ------------------------------------------------------------------ S10 results payload
 def results_payload(board: DataFrame, meta: dict) -> DataFrame:
     """One JSON document per system: fixed metadata plus its metric record."""

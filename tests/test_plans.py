@@ -1,8 +1,11 @@
+import pytest
 from pyspark.sql import functions as F
 
+from starling.operators import report as RP
 from starling.plans import evaluation, prepare, training
 from starling.plans import fixtures as X
 from starling.session import scratch_path
+from starling.sources import hashtree as HT
 from starling.sources import io as IO
 
 
@@ -14,10 +17,16 @@ def test_prepare_train_evaluate_end_to_end(spark):
     IO.write_tsv(docs.coalesce(1), src)
     raw = IO.read_tsv(spark, src)
     out = scratch_path(spark, "prepared")
-    res = prepare.prepare(spark, raw, out)
+    with pytest.raises(RuntimeError, match="no source manifest"):
+        prepare.prepare(spark, raw, out)
+    other = scratch_path(spark, "other_manifest")
+    IO.write_json(IO.source_manifest(raw.limit(50), "part"), other)
+    with pytest.raises(RuntimeError, match="fingerprint does not match"):
+        prepare.prepare(spark, raw, out, manifest=IO.read_json(spark, other, IO.SOURCE_MANIFEST_SCHEMA))
+    res = prepare.prepare(spark, raw, out, new_source=True)
     m = res["manifest"]
     assert m["text_disjoint"] and m["train_rows"] > m["test_rows"] > 0
-    splits = IO.read_splits(spark, res["splits"])
+    splits = HT.read_verified(spark, res["splits"], res["tree"])
     ce, history, board = training.train(spark, splits, "ce", candidates=(5, 10))
     assert history.count() >= 1 and board.count() == 1
     coral, _, _ = training.train(spark, splits, "coral", candidates=(5,))
@@ -26,6 +35,28 @@ def test_prepare_train_evaluate_end_to_end(spark):
     assert "CE (median)" in systems and evaluation.CORAL_SYSTEM in systems
     assert results["ce_vs_coral_mcnemar"].count() == 1
     assert results["ci"].where(F.col("ci_low") > F.col("ci_high")).count() == 0
+    # the results document passes the gate for its own source, and only for that
+    log = scratch_path(spark, "log")
+    training.write_log(history, log)
+    origin = evaluation.provenance(IO.read_json(spark, f"{out}/split_manifest", IO.SPLIT_MANIFEST_SCHEMA), [IO.read_json(spark, log, IO.LOG_SCHEMA)], ce)
+    doc = evaluation.results_document(results, origin)
+    best = history.orderBy("eval_mae", "epoch").first()
+    assert doc["training"]["ce"]["best_model_checkpoint"] == f"checkpoint-{best.epoch}" and len(doc["training"]["ce"]["history"]) == history.count()
+    records = evaluation.release_records(spark, doc)
+    assert RP.release_gate(records, "hashed-words-65536", m["source_sha256"]).first().release_ok
+    assert RP.release_gate(records, "hashed-words-65536", "0" * 64).first().reason == "unverified rating source"
+
+
+def test_training_records_of_cumulative_logs(spark):
+    entry = lambda e, mae: {"epoch": float(e), "eval_mae": mae, "loss": 1.0}
+    rows = [("a", "checkpoint-900", [{"epoch": 1.0, "loss": 2.0}, entry(1, 0.5)], 0.5, "checkpoint-900"),
+            ("a", "checkpoint-1800", [{"epoch": 1.0, "loss": 2.0}, entry(1, 0.5), entry(2, 0.6)], 0.5, "checkpoint-900"), ("b", "checkpoint-7", None, None, None)]
+    logs = spark.createDataFrame(rows, IO.LOG_SCHEMA)
+    got = {r.run: r for r in IO.training_metadata(logs, ["a", "b", "c"]).collect()}
+    assert got["a"].latest_checkpoint == "checkpoint-1800" and got["a"].best_model_checkpoint == "checkpoint-900"
+    assert got["a"].history == [{"epoch": 1.0, "eval_mae": 0.5}, {"epoch": 2.0, "eval_mae": 0.6}]
+    assert got["b"].latest_step == 7 and got["b"].history is None
+    assert tuple(got["c"]) == ("c", None, None, None, None, None)
 
 
 def test_smoke_slice_sizes(spark):
