@@ -14,8 +14,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starling.domain import ALL_SCALE_VALUES, VALID_RATINGS, domain_array
+from starling.domain import ALL_SCALE_VALUES, VALID_RATINGS, domain_array, rating_to_rank
 from starling.functions import metrics as M
+from starling.functions.decode import nearest_rating
 
 
 def long_predictions(df: DataFrame, systems: Mapping[str, Column | str], label: str = "label",
@@ -153,3 +154,26 @@ def polarity_balance(named: Mapping[str, DataFrame], label: str = "rating") -> D
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def observed_kappa(df: DataFrame, by: Sequence[str] = ("system",), label: str = "label", prediction: str = "prediction", n: str | None = None,
+                   domain: Sequence[int] = VALID_RATINGS) -> DataFrame:
+    """(by.., n, qwk_observed): per group, the kappa whose weights come from the positions of the ranks that occur in the group.
+
+    One aggregation to K x K counts a group; which ranks occur, their positions and the kappa are read off these columns."""
+    k = len(domain)
+    i, j = rating_to_rank(label, domain), rating_to_rank(nearest_rating(F.col(prediction), domain), domain)
+    weight = F.col(n).cast("double") if n else F.lit(1.0)
+    rows = df.select(*by, i.alias("_i"), j.alias("_j"), weight.alias("_w"))
+    cells = [(a, b) for a in range(k) for b in range(k)]
+    counts = rows.groupBy(*by).agg(F.sum("_w").cast("bigint").alias("n"), *[
+        F.coalesce(F.sum(F.when((F.col("_i") == a) & (F.col("_j") == b), F.col("_w"))), F.lit(0.0)).alias(f"_n{a}{b}") for a, b in cells])
+    seen = counts.withColumns({f"_s{a}": F.when(sum((F.col(f"_n{a}{b}") + F.col(f"_n{b}{a}") for b in range(k)), F.lit(0.0)) > 0, 1.0).otherwise(0.0) for a in range(k)})
+    placed = seen.withColumns({f"_p{a}": sum((F.col(f"_s{b}") for b in range(a)), F.lit(0.0)) for a in range(k)})
+
+    def total(term) -> Column:
+        return sum((F.col(f"_n{a}{b}") * term(F.col(f"_p{a}"), F.col(f"_p{b}")) for a, b in cells), F.lit(0.0))
+
+    sums = placed.select(*by, "n", total(lambda x, y: F.lit(1.0)).alias("_all"), total(lambda x, y: (x - y) * (x - y)).alias("_d"), total(lambda x, y: x).alias("_x"),
+                         total(lambda x, y: y).alias("_y"), total(lambda x, y: x * x).alias("_xx"), total(lambda x, y: y * y).alias("_yy"))
+    return sums.select(*by, "n", M.qwk_from_parts(*[F.col(c) for c in ("_all", "_d", "_x", "_y", "_xx", "_yy")]).alias("qwk_observed"))

@@ -8,10 +8,13 @@ plain aggregate, so it partial-aggregates and scales with the row count.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from starling.domain import VALID_RATINGS
 
@@ -19,6 +22,9 @@ from starling.domain import VALID_RATINGS
 MONOTONE_TOL = 1e-6
 # End of fixed values.
 
+#: Groups whose sums a pooling task holds at once.
+MOST_GROUPS = 4096
+
 
 def _c(x):
     return F.col(x) if isinstance(x, str) else x
@@ -93,12 +99,37 @@ def bias_audit(models: DataFrame, biases: str = "biases", width: int = len(VALID
 def masked_mean_pool(df: DataFrame, group: str, vector: str, mask: str) -> DataFrame:
     """Per group and dimension: ``sum(v * mask) / max(sum(mask), 1e-6)``.
 
-    ``posexplode`` turns each vector into (dim, value) rows; the aggregate is
-    partial + final by (group, dim), so a hot group is combined map-side and
-    each reducer sees at most one buffer per map task.
+    A task adds whole vectors, one running sum for each group it sees, and sends these: rows are never
+    multiplied by their dimensions. A vector that is shorter than others adds to its own dimensions only, mask included.
     """
-    exploded = df.select(F.col(group), F.col(mask).cast("double").alias("_m"),
-                         F.posexplode(F.col(vector)).alias("dim", "_v"))
-    return exploded.groupBy(group, "dim").agg(
-        (F.sum(F.col("_v").cast("double") * F.col("_m")) /
-         F.greatest(F.sum("_m"), F.lit(1e-6))).alias("pooled"))
+    kind = df.schema[group].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            weight = batch.column("m").to_numpy(zero_copy_only=False)
+            size = batch.column("v").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat, at = batch.column("v").flatten().to_numpy(zero_copy_only=False), np.cumsum(size) - size
+            for i, g in enumerate(batch.column("g").to_pylist()):
+                n = size[i]
+                held = sums.setdefault(g, [np.zeros(0), np.zeros(0)])
+                if len(held[0]) < n:
+                    sums[g] = held = [np.concatenate([h, np.zeros(n - len(h))]) for h in held]
+                held[0][:n] += flat[at[i] : at[i] + n] * weight[i]
+                held[1][:n] += weight[i]
+            if len(sums) > MOST_GROUPS:  # what has been added so far goes on
+                yield rows_of(sums)
+                sums = {}
+        if sums:
+            yield rows_of(sums)
+
+    def rows_of(sums: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), key_type), pa.array([list(range(len(s[0]))) for s in sums.values()], pa.list_(pa.int32())),
+                                           pa.array([s[0] for s in sums.values()], pa.list_(pa.float64())),
+                                           pa.array([s[1] for s in sums.values()], pa.list_(pa.float64()))], names=["g", "dim", "vm", "ms"])
+
+    slim = df.select(F.col(group).alias("g"), F.coalesce(F.col(mask).cast("double"), F.lit(0.0)).alias("m"), F.col(vector).cast("array<double>").alias("v"))
+    key_type = to_arrow_type(df.schema[group].dataType)
+    partial = slim.mapInArrow(add, f"g {kind}, dim array<int>, vm array<double>, ms array<double>")
+    each = partial.select("g", F.inline(F.arrays_zip("dim", "vm", "ms")))
+    return each.groupBy(F.col("g").alias(group), "dim").agg((F.sum("vm") / F.greatest(F.sum("ms"), F.lit(1e-6))).alias("pooled"))

@@ -52,16 +52,18 @@ def thousands(x: Column | str) -> Column:
     return F.format_number(_c(x).cast("bigint"), 0)
 
 
-def pad_left(s: Column, width: int) -> Column:
-    """Right-align to ``width`` without truncating longer text."""
-    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, " "))
-
-
-def pad_right(s: Column, width: int) -> Column:
-    return F.when(F.length(s) >= width, s).otherwise(F.rpad(s, width, " "))
+# Fixed values that must equal the reference: the first two lines of the per-class and of the confusion table.
+PER_CLASS_HEADER = ["| Class | Precision | Recall | F1 | Support |", "|---|---:|---:|---:|---:|"]
+CONFUSION_CORNER, CONFUSION_RULE = "| True \\ Pred | ", "|---|"
+# End of fixed values.
 
 
-PER_CLASS_HEADER = ["| Class | Precision | Recall | F1 | Support |", "|---|---:|---:|---:|---:|"]
+def _under(body: DataFrame, by: Sequence[str], lines: Sequence[str]) -> DataFrame:
+    """The lines of each group with header lines before them, numbered up to -1; one pass over ``body``."""
+    head = F.array(*[F.struct(F.lit(i - len(lines)).cast("bigint").alias("line_no"), F.lit(t).alias("line"))
+                     for i, t in enumerate(lines)])
+    held = body.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))  # a line for each class
+    return held.select(*by, F.inline(F.concat(head, "_lines")))
 
 
 def per_class_report(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -72,47 +74,52 @@ def per_class_report(per_class: DataFrame, by: Sequence[str] = ()) -> DataFrame:
                        percent_text(F.lit(2) * tp, F.lit(2) * tp + fp + fn),
                        F.concat(thousands("support"), F.lit(" |")))
     body = per_class.select(*by, (F.col("class") + 2).cast("bigint").alias("line_no"), line.alias("line"))
-    head = _header(per_class, by, PER_CLASS_HEADER)
-    return head.unionByName(body)
-
-
-def _header(df: DataFrame, by: Sequence[str], lines: Sequence[str]) -> DataFrame:
-    base = df.select(*by).distinct() if by else df.sparkSession.range(1).drop("id")
-    entries = F.array(*[F.struct(F.lit(i - len(lines)).cast("bigint").alias("line_no"), F.lit(t).alias("line"))
-                        for i, t in enumerate(lines)])
-    return base.select(*by, F.inline(entries))
+    return _under(body, by, PER_CLASS_HEADER)
 
 
 def confusion_report(wide: DataFrame, classes: Sequence[int] = VALID_RATINGS,
                      by: Sequence[str] = ()) -> DataFrame:
     """Markdown lines of a wide confusion table (``pred_<v>`` columns)."""
-    header = "| True \\ Pred | " + " | ".join(str(v) for v in classes) + " |"
-    sep = "|---|" + "---:|" * len(classes)
+    header = CONFUSION_CORNER + " | ".join(str(v) for v in classes) + " |"
+    sep = CONFUSION_RULE + "---:|" * len(classes)
     cells = [thousands(f"pred_{int(v)}") for v in classes]
     line = F.concat(F.lit("| "), F.col("label").cast("string"), F.lit(" | "),
                     F.concat_ws(" | ", *cells), F.lit(" |"))
     body = wide.select(*by, F.col("label").cast("bigint").alias("line_no"), line.alias("line"))
-    return _header(wide, by, [header, sep]).unionByName(body)
+    return _under(body, by, [header, sep])
 
 
-#: Columns of the board: name and width; the first is set left, the others right.
-BOARD_COLUMNS = [("system", 38), ("mae", 9), ("rmse", 9), ("exact", 9), ("within one", 11)]
-BOARD_HEADER = [
-    "Ratings on the test split, one line a system",
-    " ".join(f"{name:<{width}}" if k == 0 else f"{name:>{width}}" for k, (name, width) in enumerate(BOARD_COLUMNS)),
-    " ".join("-" * width for _, width in BOARD_COLUMNS),
-]
+#: Titles of the board's columns; the first is set left, the others right. Widths follow from the cells.
+BOARD_TITLES = ("rated by", "test rows", "mean miss", "root mean square", "hit", "hit or next", "kappa")
 
 
 def comparison_report(board: DataFrame, order: str = "ord") -> DataFrame:
-    """Fixed-width board lines; system order kept through ``order``."""
-    exact_n = F.col("exact_hits")
-    within_n = F.col("within_hits")
-    cells = [F.col("system"), fixed_text("mae", 4), fixed_text("rmse", 4), percent_text(exact_n, F.col("n")), percent_text(within_n, F.col("n"))]
-    line = F.concat_ws(" ", *[pad_right(c, width) if k == 0 else pad_left(c, width)
-                              for k, (c, (_, width)) in enumerate(zip(cells, BOARD_COLUMNS))])
-    body = board.select(F.col(order).cast("bigint").alias("line_no"), line.alias("line"))
-    return _header(board, (), BOARD_HEADER).unionByName(body)
+    """Aligned board lines ``(line_no, line)``: titles, a rule, then a line for each system by ``order``.
+
+    The board is small (a row for each system); it is gathered into one row, so that widths and lines need one pass."""
+    kappa = F.when(F.col("qwk").isNull(), F.lit("-")).otherwise(fixed_text("qwk", 4))
+    cells = [F.col("system"), thousands("n"), fixed_text("mae", 4), fixed_text("rmse", 4), percent_text(F.col("exact_hits"), F.col("n")),
+             percent_text(F.col("within_hits"), F.col("n")), kappa]
+    rows = board.select(F.struct(F.col(order).cast("bigint").alias("no"), F.array(*cells).alias("cells")).alias("row"))
+    held = rows.agg(F.array_sort(F.collect_list("row")).alias("rows"))
+    texts = F.concat(F.array(F.array(*map(F.lit, BOARD_TITLES))), F.transform("rows", lambda r: r["cells"]))
+    held = held.withColumn("texts", texts)
+    held = held.withColumn("widths", F.array(*[F.array_max(F.transform("texts", _length_of(k))) for k in range(len(BOARD_TITLES))]))
+
+    def line(texts: Column) -> Column:
+        padded = [F.rpad(F.get(texts, F.lit(0)), F.get("widths", F.lit(0)), F.lit(" "))]
+        padded += [F.lpad(F.get(texts, F.lit(k)), F.get("widths", F.lit(k)), F.lit(" ")) for k in range(1, len(BOARD_TITLES))]
+        return F.concat_ws("  ", *padded)
+
+    rule = F.concat_ws("  ", F.transform("widths", lambda w: F.repeat(F.lit("-"), w)))
+    head = F.array(F.struct(F.lit(-2).cast("bigint").alias("line_no"), line(F.get("texts", F.lit(0))).alias("line")),
+                   F.struct(F.lit(-1).cast("bigint").alias("line_no"), rule.alias("line")))
+    body = F.transform("rows", lambda r: F.struct(r["no"].alias("line_no"), line(r["cells"]).alias("line")))
+    return held.select(F.inline(F.concat(head, body)))
+
+
+def _length_of(k: int):
+    return lambda t: F.length(F.get(t, F.lit(k)))
 
 
 def release_gate(results: DataFrame, expected_base: Column | str, expected_sha: Column | str,

@@ -260,15 +260,22 @@ def q_ce_loss(spark, sf_dir):
 def prediction_record(df, decoder: str, probabilities="probabilities"):
     """Batch form of the single-text prediction record: rating, decoder,
     confidence (probability of the chosen rating) and the probability map."""
-    if decoder == "expected":
-        rating = D.decode_rounded(probabilities)
-    elif decoder in ("argmax", "median"):
-        rating = D.decode(probabilities, decoder)
-    else:
+    return prediction_records(df, [decoder], probabilities)
+
+
+def prediction_records(df, decoders, probabilities="probabilities"):
+    """The records of several decoders, a row for each, from one pass over the rows."""
+
+    def rating(decoder):
+        if decoder == "expected":
+            return D.decode_rounded(probabilities)
+        if decoder in ("argmax", "median"):
+            return D.decode(probabilities, decoder)
         raise ValueError(f"no decoder is named {decoder!r}")
+
     pmap = D.probability_map(probabilities)
-    return df.select("*", rating.alias("rating"), F.lit(decoder).alias("decoder"),
-                     F.element_at(pmap, rating).alias("confidence"), pmap.alias("probability_map"))
+    each = F.array(*[F.struct(rating(d).alias("rating"), F.lit(d).alias("decoder")) for d in decoders])
+    return df.select("*", F.inline(each)).withColumn("confidence", F.element_at(pmap, F.col("rating"))).withColumn("probability_map", pmap)
 
 
 def _sql_prob_of(expr):
@@ -283,12 +290,9 @@ _RECORD_SQL = with_views("probs") + " UNION ALL ".join(
 
 @query("prediction_record", sql=_RECORD_SQL)
 def q_prediction_record(spark, sf_dir):
+    """The records of all three decoders from one scan."""
     p = _probs(spark, sf_dir)
-    out = None
-    for d in ("argmax", "expected", "median"):
-        rec = prediction_record(p, d).select("l_orderkey", "l_linenumber", "decoder", "rating", "confidence")
-        out = rec if out is None else out.unionByName(rec)
-    return rounded(out)
+    return rounded(prediction_records(p, ("argmax", "expected", "median")).select("l_orderkey", "l_linenumber", "decoder", "rating", "confidence"))
 
 
 # ---------------------------------------------------------------- D16

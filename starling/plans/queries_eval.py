@@ -174,3 +174,21 @@ def q_qwk_observed(spark, sf_dir):
     """Kappa over rows in which one rating occurs on neither side, so that the scale closes up."""
     s = X.scored(spark, sf_dir).where("label <> 2 AND pred_b <> 2")
     return rounded(M.qwk_observed(s, "label", "pred_b"))
+
+
+_POS = ("SELECT system, k, CAST(row_number() OVER (PARTITION BY system ORDER BY k) - 1 AS DOUBLE) AS p FROM "
+        "(SELECT system, i AS k FROM narrow UNION SELECT system, j FROM narrow)")
+
+
+@query("leaderboard_observed_qwk", sql=with_views("scored", extra={
+    "long": _LONG_SCORED_SQL,
+    "narrow": f"SELECT system, {sql_rank('label')} AS i, {sql_rank(sql_nearest('prediction'))} AS j FROM long WHERE label <> 4 AND abs(prediction - 4) > 0.5",
+    "pos": _POS, "x": """SELECT narrow.system, a.p AS i, b.p AS j FROM narrow JOIN pos a ON narrow.system = a.system AND narrow.i = a.k
+    JOIN pos b ON narrow.system = b.system AND narrow.j = b.k"""}) + f"""
+SELECT system, CAST(COUNT(*) AS BIGINT) AS n,
+       {r("1.0 - COUNT(*) * sum((i - j) * (i - j)) / (COUNT(*) * sum(i * i) + COUNT(*) * sum(j * j) - 2.0 * sum(i) * sum(j))")} AS qwk_observed
+FROM x GROUP BY system""")
+def q_leaderboard_observed_qwk(spark, sf_dir):
+    """The observed-rank kappa for each system of a board in one aggregation, over rows in which one rating never occurs."""
+    long = E.long_predictions(X.scored(spark, sf_dir), SCORED_SYSTEMS, row_id=None).where("label <> 4 AND abs(prediction - 4) > 0.5")
+    return rounded(E.observed_kappa(long))

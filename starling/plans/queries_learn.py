@@ -52,8 +52,8 @@ def q_tokens_seen(spark, sf_dir):
 
 
 def _splits(spark, sf_dir):
-    sp = S.stratified_split(C.clean_reviews(X.train_text(spark, sf_dir)))
-    return sp.cache()
+    """The split table; it rests on rows written once, so it needs no cache."""
+    return S.stratified_split(C.clean_reviews(X.train_text(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ L2 + L4 + D5 + J5

@@ -228,7 +228,7 @@ FROM split t WHERE t.split = 'test'"""
 @query("constant_baselines", sql=with_views("split", extra={"long": _CONST_SQL}) + _board_sql("long").replace(
     "SELECT system,", "SELECT system, " + r("max(prediction)") + " AS constant_prediction,"))
 def q_constant_baselines(spark, sf_dir):
-    sp = _split(spark, sf_dir).cache()
+    sp = _split(spark, sf_dir)
     cells = E.constant_baselines(sp.where("split = 'train'"), sp.where("split = 'test'"))
     b = E.board(cells)
     const = cells.groupBy("system").agg(F.max("prediction").alias("constant_prediction"))

@@ -15,6 +15,7 @@ from starling.plans import fixtures as X
 from starling.plans.catalog import query, r, rounded
 from starling.plans.oracle import add_view, with_views
 from starling.plans.queries_eval import SCORED_SYSTEMS, _LONG_SCORED_SQL, _metric_sql, sql_nearest, sql_qwk
+from starling.session import written
 from starling.sources import io as IO
 
 DISCRETE = {"pred_a": "pred_a", "pred_b": "pred_b"}
@@ -125,33 +126,32 @@ def _fixed_sql(x: str, d: int) -> str:
     return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || CAST(abs({v}) // {s} AS VARCHAR) || '.' || lpad(CAST(abs({v}) % {s} AS VARCHAR), {d}, '0'))"
 
 
-def _lpad_sql(s: str, w: int) -> str:
-    return f"(CASE WHEN length({s}) >= {w} THEN {s} ELSE lpad({s}, {w}, ' ') END)"
+_BOARD_ORDER = {"pred_a": 1, "pred_b": 2, "pred_c": 3}
 
 
-_BOARD_ORDER = {"pred_a": 1, "pred_b": 2, "pred_c": 3}
+_CELLS_SQL = ["system", "format('{:,}', n)", _fixed_sql("mae", 4), _fixed_sql("rmse", 4), _pct_sql("exact_hits", "n"), _pct_sql("within_hits", "n"),
+              f"CASE WHEN qwk IS NULL THEN '-' ELSE {_fixed_sql('qwk', 4)} END"]
 
 
 @query("comparison_report", sql=with_views("long", extra={"b": f"""
     SELECT system, COUNT(*) AS n, {_metric_sql('label', 'prediction')['mae']} AS mae,
            {_metric_sql('label', 'prediction')['rmse']} AS rmse,
            COUNT(*) FILTER (WHERE abs(prediction - label) <= 1e-8 + 1e-5 * abs(CAST(label AS DOUBLE))) AS exact_hits,
-           COUNT(*) FILTER (WHERE abs(prediction - label) <= 1.0) AS within_hits,
+           COUNT(*) FILTER (WHERE abs(prediction - label) <= 1.0) AS within_hits, {sql_qwk('label', 'prediction')} AS qwk,
            CASE system {' '.join(f"WHEN '{k}' THEN {v}" for k, v in _BOARD_ORDER.items())} END AS ord
-    FROM long GROUP BY system"""}) + f"""
-SELECT CAST(line_no AS BIGINT) AS line_no, line FROM (
-  {' UNION ALL '.join(f"SELECT {i - len(RP.BOARD_HEADER)} AS line_no, '{t}' AS line" for i, t in enumerate(RP.BOARD_HEADER))}
-  UNION ALL SELECT ord, rpad(system, 38, ' ') || ' ' || {_lpad_sql(_fixed_sql('mae', 4), 9)} || ' ' ||
-      {_lpad_sql(_fixed_sql('rmse', 4), 9)} || ' ' || {_lpad_sql(_pct_sql('exact_hits', 'n'), 9)} || ' ' ||
-      {_lpad_sql(_pct_sql('within_hits', 'n'), 11)}
-  FROM b)""")
+    FROM long GROUP BY system""",
+    "c": f"""SELECT -2 AS line_no, {', '.join(f"'{t}' AS c{k}" for k, t in enumerate(RP.BOARD_TITLES))}
+    UNION ALL SELECT ord, {', '.join(_CELLS_SQL)} FROM b""",
+    "w": f"SELECT {', '.join(f'CAST(max(length(c{k})) AS INTEGER) AS w{k}' for k in range(len(RP.BOARD_TITLES)))} FROM c"}) + f"""
+SELECT CAST(line_no AS BIGINT) AS line_no, concat_ws('  ', rpad(c0, w0, ' '), {', '.join(f"lpad(c{k}, w{k}, ' ')" for k in range(1, len(RP.BOARD_TITLES)))}) AS line FROM c, w
+UNION ALL SELECT -1, concat_ws('  ', {', '.join(f"repeat('-', w{k})" for k in range(len(RP.BOARD_TITLES)))}) FROM w""")
 def q_comparison_report(spark, sf_dir):
     cells = _cells(spark, sf_dir, SCORED_SYSTEMS)
     y, p, n = F.col("label"), F.col("prediction"), F.col("n")
     b = cells.groupBy("system").agg(
         F.sum(n).alias("n"), M.mae(y, p, n).alias("mae"), M.rmse(y, p, n).alias("rmse"),
         F.sum(F.when(M.is_exact(y, p), n).otherwise(0)).alias("exact_hits"),
-        F.sum(F.when(F.abs(p - y) <= 1.0, n).otherwise(0)).alias("within_hits"))
+        F.sum(F.when(F.abs(p - y) <= 1.0, n).otherwise(0)).alias("within_hits"), M.qwk(y, p, n).alias("qwk"))
     order = None
     for k, v in _BOARD_ORDER.items():
         order = F.when(F.col("system") == k, F.lit(v)) if order is None else order.when(F.col("system") == k, F.lit(v))
@@ -323,7 +323,7 @@ def q_leaderboard_ci(spark, sf_dir):
 def q_system_comparison(spark, sf_dir):
     """pred_a vs pred_b: paired MAE delta on snapped ratings (multinomial
     draws over paired cells), then the exact McNemar test."""
-    pc = paired_cells(spark, sf_dir).cache()
+    pc = written(paired_cells(spark, sf_dir), "paired")
     metric = RS.paired_delta_metric(RS.snapped(M.mae), "pred_a", "pred_b")
     ci = RS.excludes_zero(RS.bootstrap_cells(pc, {"mae_delta": metric}, n_resamples=N_RESAMPLES, seed=SEED,
                                              cell_cols=("label", "pred_a", "pred_b"), pred="pred_a"))

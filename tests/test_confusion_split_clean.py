@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from starling.operators import clean as C
@@ -11,10 +13,14 @@ def _cells(spark, y, p):
     return df.groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
 
 
-def test_per_class_support_and_zero_division(spark):
-    pc = {r["class"]: r for r in CF.per_class(_cells(spark, [1, 1, 2, 2, 2], [1, 2, 2, 2, 2]), [1, 2, 3]).collect()}
-    assert pc[1].support == 2 and pc[1].recall == 0.5
-    assert pc[3].support == 0 and pc[3].precision == 0.0 and pc[3].recall == 0.0
+def test_per_class_equals_a_count_by_hand(spark):
+    rng = np.random.default_rng(21)
+    y, p = rng.choice([1, 4, 5], 90), rng.choice([1, 2, 5, 9], 90)  # 2 never stands, 4 is never said, 9 is no class
+    got = {r["class"]: r for r in CF.per_class(_cells(spark, y.tolist(), p.tolist()), [1, 2, 4, 5]).collect()}
+    for c in (1, 2, 4, 5):
+        hits, said, true = int(((y == c) & (p == c)).sum()), int((p == c).sum()), int((y == c).sum())
+        assert (got[c].tp, got[c].fp, got[c].fn, got[c].support) == (hits, said - hits, true - hits, true)
+        assert got[c].precision == pytest.approx(hits / said if said else 0.0) and got[c].recall == pytest.approx(hits / true if true else 0.0)
 
 
 def test_confusion_report_header(spark):
@@ -41,6 +47,7 @@ def test_per_class_report_formatting(spark):
 def test_split_allocation_golden(spark):
     counts = spark.createDataFrame([(1, 35970), (2, 63903), (4, 18776), (5, 81167)], "rating long, n long")
     got = {r.rating: r for r in S.split_allocation(counts).collect()}
+    # Fixed values that must equal the published split.
     assert [got[k].n_train for k in (1, 2, 4, 5)] == [28776, 51122, 15021, 64933]
     assert [got[k].n_test for k in (1, 2, 4, 5)] == [3597, 6391, 1877, 8117]
     assert [got[k].n_validation for k in (1, 2, 4, 5)] == [3597, 6390, 1878, 8117]

@@ -3,15 +3,23 @@ import pytest
 from starling.operators import report as RP
 
 
-def test_comparison_lines_match_python_formatting(spark):
-    rows = [("Constant: training median", 1, 0.58594, 0.81823, 938, 9991, 19982),
-            ("A system with a rather long name", 2, 0.38564708, 0.83637885, 14320, 18874, 19982)]
-    board = spark.createDataFrame(rows, "system string, ord long, mae double, rmse double, "
-                                        "exact_hits long, within_hits long, n long")
+def test_board_lines_are_as_wide_as_their_cells(spark):
+    rows = [("always the middle", 1, 0.58594, 0.81823, 938, 9991, 19982, None),
+            ("a system with a rather long name, indeed", 2, 12.38564708, 0.83637885, 14320, 18874, 19982, 0.83701)]
+    board = spark.createDataFrame(rows, "system string, ord long, mae double, rmse double, exact_hits long, within_hits long, n long, qwk double")
     got = [r.line for r in RP.comparison_report(board).orderBy("line_no").collect()]
-    body = got[len(RP.BOARD_HEADER):]
-    for line, (name, _, mae, rmse, ex, wi, n) in zip(body, rows):
-        assert line == f"{name:<38} {mae:>9.4f} {rmse:>9.4f} {ex / n:>9.2%} {wi / n:>11.2%}"
+    cells = [RP.BOARD_TITLES, *[(name, f"{n:,}", f"{mae:.4f}", f"{rmse:.4f}", f"{hit / n:.2%}", f"{near / n:.2%}", "-" if k is None else f"{k:.4f}")
+                                for name, _, mae, rmse, hit, near, n, k in rows]]
+    widths = [max(map(len, column)) for column in zip(*cells)]
+    want = ["  ".join([c[0].ljust(widths[0]), *(x.rjust(w) for x, w in zip(c[1:], widths[1:]))]) for c in cells]
+    assert got == [want[0], "  ".join("-" * w for w in widths), *want[1:]]
+
+
+def test_headers_stand_over_every_group_and_over_nothing(spark):
+    per_class = spark.createDataFrame([("a", 1, 1, 0, 0, 1), ("b", 1, 0, 0, 2, 2)], "system string, class long, tp long, fp long, fn long, support long")
+    lines = RP.per_class_report(per_class, ["system"]).collect()
+    assert sum(r.line == RP.PER_CLASS_HEADER[0] for r in lines) == 2 and len(lines) == 6
+    assert [r.line for r in RP.per_class_report(per_class.drop("system").limit(0)).orderBy("line_no").collect()] == RP.PER_CLASS_HEADER
 
 
 @pytest.mark.parametrize("num,den", [(1482, 2416), (0, 0), (5039, 7508), (1, 3), (2, 3), (19981, 19982)])
