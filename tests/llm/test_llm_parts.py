@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import random
+import re
 
 import llm_brute as brute
 import numpy as np
@@ -165,6 +167,61 @@ def test_skip_edges_spread_a_label():
     assert belief[2, phone] < 0.5
 
 
+def _some_texts(n=400):
+    rnd = random.Random(4)
+    number = lambda k: "".join(rnd.choice("123456789") for _ in range(k))
+    texts = []
+    for _ in range(n):
+        texts.append(rnd.choice([
+            f"call +{number(11)} today, room {number(5)}", f"order {number(10)} of {rnd.randint(1990, 2030)}, again order {number(10)}",
+            f"host 10.{rnd.randint(0, 255)}.{rnd.randint(0, 255)}.{rnd.randint(0, 255)} is up", f"mail me{number(2)}@example.org, chapter {number(2)}",
+            f"in {rnd.randint(1900, 2030)} some {number(4)} of {number(6)} people"]))
+    return texts
+
+
+def _fitted(texts):
+    return pii.fit(pii.Graph(*pii.views(texts, [pii.base_spans(t) for t in texts])))
+
+
+def test_repeats_of_a_phone_become_phones_and_nothing_else():
+    field = _fitted(_some_texts())
+    cases = ["reach +18585557280 today. " + "then 18585557280 or " * 3 + "no", "first 18585557280 then call +18585557280 and 1858-5557-280",
+             "reach +18585557280 " + "x 18585557280 " * 30]
+    for text in cases:
+        base = [pii.base_spans(text)]
+        g = pii.Graph([text], base)
+        added = pii.added_spans(g, field.marginals(g), [text], base)[0]
+        bare = [m.start() for m in re.finditer(r"(?<![+0-9])1858-?5557-?280", text)]
+        assert [s for _, s, _ in added] == bare and {pii.KINDS[k] for k, _, _ in added} == {"phone"}
+
+
+def test_numbers_that_nothing_supports_stay_outside():
+    field = _fitted(_some_texts())
+    for text in ("number 18585557280 alone", "18585557280 and 18585557280 and once more 18585557280", "order 4711471147 came, order 4711471147 went",
+                 "from 2019 to 2019 in 12345 rooms", "versions 1.2.3 and 1.2.3"):
+        g = pii.Graph([text], [pii.base_spans(text)])
+        assert pii.added_spans(g, field.marginals(g), [text], [pii.base_spans(text)]) == [[]]
+
+
+def test_beliefs_equal_enumeration_on_trees():
+    """A star of repeats and a chain: sums over all labellings."""
+    rng = np.random.default_rng(11)
+    labels = len(pii.KINDS) + 1
+    text = "a1 b2 then 77777 and q 77777 r 77777"
+    g = pii.Graph([text], [[]])
+    g.chain = g.chain[:1]
+    n = len(g)
+    field = pii.Field(rng.normal(size=(1 << pii.FEATURE_BITS, labels)) * 0.4, rng.normal(size=(labels, labels)), rng.normal(size=(labels, labels)))
+    unary, total = field.logits(g), np.zeros((n, labels))
+    assert len(g.skip) == 2 and n == 5
+    for names in itertools.product(range(labels), repeat=n):
+        score = sum(unary[i, k] for i, k in enumerate(names))
+        score += sum(field.chain[names[a], names[b]] for a, b in g.chain) + sum(field.skip[names[a], names[b]] for a, b in g.skip)
+        for i, k in enumerate(names):
+            total[i, k] += np.exp(score)
+    assert np.allclose(field.marginals(g), total / total.sum(axis=1, keepdims=True), atol=1e-3)
+
+
 def test_factors_learn_pairs():
     """Toxic only where both terms stand: the pair's factor carries it."""
     rng = np.random.default_rng(0)
