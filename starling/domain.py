@@ -24,10 +24,6 @@ def domain_array(domain: Sequence[int] = VALID_RATINGS) -> Column:
     return F.array(*[F.lit(int(v)).cast("bigint") for v in domain])
 
 
-def domain_double_array(domain: Sequence[int] = VALID_RATINGS) -> Column:
-    return F.array(*[F.lit(float(v)) for v in domain])
-
-
 def rating_to_rank(rating: Column | str, domain: Sequence[int] = VALID_RATINGS,
                    strict: bool = True) -> Column:
     """Rating -> 0-based rank. An unknown rating raises (``strict``) or is null.
@@ -57,13 +53,3 @@ def rank_to_rating(rank: Column | str, domain: Sequence[int] = VALID_RATINGS) ->
         expr = F.when(cond, F.lit(value).cast("bigint")) if expr is None else expr.when(
             cond, F.lit(value).cast("bigint"))
     return expr
-
-
-def in_domain(value: Column | str, domain: Sequence[int] = VALID_RATINGS) -> Column:
-    v = F.col(value) if isinstance(value, str) else value
-    return v.isin([int(x) for x in domain])
-
-
-def domain_frame(spark, domain: Sequence[int] = VALID_RATINGS, name: str = "rating"):
-    """The domain as a K-row DataFrame (built from a literal, no driver data)."""
-    return spark.range(1).select(F.explode(domain_array(domain)).alias(name))

@@ -127,8 +127,8 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events: run = event_type, candidate order = (ts, event_id), eval_mae = value.
 
-    The epoch number itself is assigned by ``starling.operators.rank`` (a
-    two-level rank that does not put a whole run into one task).
+    The epoch number itself is assigned by ``starling.operators.ordered`` (over
+    sampled ranges, so that a whole run is never one task).
     """
     ev = table(spark, sf_dir, "events")
     return ev.select(

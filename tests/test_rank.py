@@ -2,33 +2,6 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from starling.operators.rank import bucketed_prior_min, bucketed_row_number
-
-
-def _skewed(spark):
-    rng = np.random.default_rng(9)
-    n = 5000
-    grp = np.where(rng.random(n) < 0.7, 0, rng.integers(1, 5, n))  # one hot group
-    key = rng.integers(0, 300, n)  # many ties on the order key
-    val = rng.random(n)
-    rows = [(int(g), int(k), int(i), float(v)) for i, (g, k, v) in enumerate(zip(grp, key, val))]
-    return spark.createDataFrame(rows, "g long, k long, id long, v double")
-
-
-def test_bucketed_row_number_equals_row_number(spark):
-    df = _skewed(spark)
-    got = bucketed_row_number(df, ["g"], [F.col("k"), F.col("id")], (F.col("k") / 7).cast("long"), "rn")
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("g").orderBy("k", "id")))
-    assert sorted(got.select("id", "rn").collect()) == sorted(want.select("id", "rn").collect())
-
-
-def test_bucketed_prior_min_equals_window_min(spark):
-    df = _skewed(spark)
-    got = bucketed_prior_min(df, ["g"], [F.col("k"), F.col("id")], "v", (F.col("k") / 13).cast("long"), "pm")
-    w = Window.partitionBy("g").orderBy("k", "id").rowsBetween(Window.unboundedPreceding, -1)
-    want = df.withColumn("pm", F.min("v").over(w))
-    assert sorted(got.select("id", "pm").collect()) == sorted(want.select("id", "pm").collect())
-
 
 def _early_stop_reference(maes):
     """Patience 1: stop after the first epoch that does not beat the best so far."""
