@@ -21,7 +21,7 @@ _SAFE = re.compile(r"[\w!-~]")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-įı-ſ]+"  # all but İ, which lower case makes two characters of
 _PLAIN = re.compile(rf"({_LETTERS})([.,;:!?]*)(?:(\n)({_LETTERS})([.,;:!?]*))?")
 #: Pieces that a worker's younger memory holds (results don't depend on it).
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 #: Pieces longer than this aren't remembered.
 _LONG = 64
 #: Pieces encoded in one call.
