@@ -65,14 +65,19 @@ def q_latest_checkpoint(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ S8 + S9: one training record for each run
+SEGMENT_EPOCHS = 1000  # epochs whose entries stand in one document
+
+
 def _cumulative_logs(spark, sf_dir, checkpoints: int = 4):
-    """Logs as trainers write them: each of a run's checkpoints holds all entries so far, in order, training losses between them."""
+    """Logs as trainers write them: each of a run's checkpoints holds all entries so far, in order, training losses between them.
+    A checkpoint's log is written in segments, so that no document grows with its run."""
     h = _epochs(spark, sf_dir).select("run", "epoch", "eval_mae")
     last = h.groupBy("run").agg(F.max("epoch").alias("last"))
     at = last.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(checkpoints)), lambda k: F.ceil(F.col("last") * k / checkpoints)))).alias("at"))
-    docs = h.join(at, "run").where("epoch <= at").groupBy("run", "at").agg(
-        F.array_sort(F.collect_list(F.struct("epoch", "eval_mae"))).alias("e"), F.min_by("epoch", F.struct("eval_mae", "epoch")).alias("best"),
-        F.min("eval_mae").alias("best_metric"))
+    seen = h.join(F.broadcast(at), "run").where("epoch <= at")  # a row for each checkpoint of a run
+    heads = seen.groupBy("run", "at").agg(F.min_by("epoch", F.struct("eval_mae", "epoch")).alias("best"), F.min("eval_mae").alias("best_metric"))
+    docs = seen.groupBy("run", "at", F.expr(f"(epoch - 1) div {SEGMENT_EPOCHS}").alias("segment")).agg(
+        F.array_sort(F.collect_list(F.struct("epoch", "eval_mae"))).alias("e")).join(F.broadcast(heads), ["run", "at"])
 
     def entries(x):
         ep = x["epoch"].cast("double")
@@ -82,8 +87,8 @@ def _cumulative_logs(spark, sf_dir, checkpoints: int = 4):
     name = lambda c: F.concat(F.lit("checkpoint-"), (F.col(c) * STEPS_PER_EPOCH).cast("string"))
     path = scratch_path(spark, "cumulative_logs")
     docs.select("run", name("at").alias("checkpoint"), F.flatten(F.transform("e", entries)).alias("log_history"), "best_metric",
-                name("best").alias("best_model_checkpoint")).write.json(path)
-    return IO.read_json(spark, path, IO.LOG_SCHEMA)
+                name("best").alias("best_model_checkpoint"), "segment").write.json(path)
+    return IO.read_json(spark, path, IO.SEGMENTED_LOG_SCHEMA)
 
 
 @query("training_metadata", sql=with_views("runs") + f"""
@@ -96,11 +101,14 @@ def q_training_metadata(spark, sf_dir):
     """Records from cumulative logs: the newest checkpoint's entries once each, and a record of nulls for a run without any."""
     logs = _cumulative_logs(spark, sf_dir)
     names = [x["run"] for x in logs.select("run").distinct().collect()]  # the runs, a few
-    m = IO.training_metadata(logs, [*names, "never trained"])
+    m = IO.training_metadata(logs, [*names, "never trained"], whole=False)
     weighted = F.aggregate(F.transform("history", lambda e: e["eval_mae"] * e["epoch"]), F.lit(0.0), lambda a, x: a + x) / 1000000
     n = F.when(F.col("history").isNotNull(), F.size("history").cast("bigint"))
     keys = F.when(F.col("history").isNotNull(), F.array_max(F.transform("history", lambda e: F.size(e))).cast("bigint"))
-    return rounded(m.select("run", "latest_checkpoint", "best_metric", "best_model_checkpoint", n.alias("n_entries"), weighted.alias("weighted"), keys.alias("n_keys")))
+    parts = m.select("run", "latest_checkpoint", "best_metric", "best_model_checkpoint", n.alias("n"), weighted.alias("w"), keys.alias("k"))
+    m = parts.groupBy("run", "latest_checkpoint", "best_metric", "best_model_checkpoint").agg(
+        F.sum("n").alias("n_entries"), F.when(F.count_if(F.col("w").isNull()) == 0, F.sum("w")).alias("weighted"), F.max("k").alias("n_keys"))
+    return rounded(m)
 
 
 # ------------------------------------------------------------------ L6

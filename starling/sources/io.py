@@ -246,6 +246,10 @@ LOG_SCHEMA = T.StructType([
 ])
 
 
+#: A log that comes in several documents: each holds the next entries of its checkpoint's log, numbered from 0.
+SEGMENTED_LOG_SCHEMA = T.StructType([*LOG_SCHEMA.fields, T.StructField("segment", T.LongType())])
+
+
 TRAINER_STATE_SCHEMA = T.StructType([
     T.StructField("log_history", T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))),
     T.StructField("best_metric", T.DoubleType()),
@@ -288,20 +292,36 @@ def latest_checkpoint(logs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_checkpoints"))
 
 
-def training_metadata(logs: DataFrame, runs: Sequence[str] | None = None) -> DataFrame:
+def training_metadata(logs: DataFrame, runs: Sequence[str] | None = None, whole: bool = True) -> DataFrame:
     """One record per run: its newest checkpoint by number, the best metric and checkpoint noted there, and the
     validation entries of that checkpoint's log in order. Logs are cumulative, so older checkpoints of a run repeat what the newest
-    holds and are not read again. With ``runs``, exactly these, and a run without a checkpoint has a record of nulls."""
-    step = checkpoint_step(F.col("checkpoint"))
-    newest = logs.groupBy("run").agg(F.max_by(F.struct("checkpoint", "log_history", "best_metric", "best_model_checkpoint"), step).alias("c"))
+    holds and are not read again. With ``runs``, exactly these, and a run without a checkpoint has a record of nulls.
+
+    A log may come in segments (a column ``segment``, see ``SEGMENTED_LOG_SCHEMA``). With ``whole=False`` the record is left
+    in them: a row, with ``segment`` and its own ``history``, for each, so that no task holds a run's whole log."""
+    step, segment = checkpoint_step(F.col("checkpoint")), F.col("segment") if "segment" in logs.columns else F.lit(0).cast("bigint")
+    newest = logs.select("run", "checkpoint").groupBy("run").agg(F.max(step).alias("latest_step"))  # a row for each run
+    mine = F.col("run").eqNullSafe(F.col("_run")) & (step == F.col("latest_step"))
+    found = newest.withColumnRenamed("run", "_run")
+    own = logs.withColumn("segment", segment).join(F.broadcast(found), mine).groupBy("run", "segment").agg(
+        F.max_by(F.struct("checkpoint", "log_history", "best_metric", "best_model_checkpoint"), step).alias("c"))
     entries = F.filter("c.log_history", lambda e: F.map_contains_key(e, "eval_mae"))
     history = F.transform(entries, lambda e: F.map_filter(e, lambda k, v: k.startswith("eval_") | (k == "epoch")))
-    found = newest.select("run", F.col("c.checkpoint").alias("latest_checkpoint"), checkpoint_step(F.col("c.checkpoint")).alias("latest_step"),
-                          F.col("c.best_metric").alias("best_metric"), F.col("c.best_model_checkpoint").alias("best_model_checkpoint"), history.alias("history"))
-    if runs is None:
-        return found
-    wanted = logs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, runs))).alias("run"))  # the runs named by the caller
-    return wanted.join(found, "run", "left")
+    record = own.select("run", F.col("c.checkpoint").alias("latest_checkpoint"), checkpoint_step(F.col("c.checkpoint")).alias("latest_step"),
+                        F.col("c.best_metric").alias("best_metric"), F.col("c.best_model_checkpoint").alias("best_model_checkpoint"), history.alias("history"), "segment")
+    if whole:
+        first = ["latest_checkpoint", "latest_step", "best_metric", "best_model_checkpoint"]
+        order = lambda a, b: F.when(a["segment"] < b["segment"], -1).when(a["segment"] > b["segment"], 1).otherwise(0)
+        parts = F.array_sort(F.collect_list(F.struct("segment", "history")), order)
+        record = record.groupBy("run").agg(F.min_by(F.struct(*first), "segment").alias("r"), parts.alias("p")).select(
+            "run", *[F.col(f"r.{c}").alias(c) for c in first], F.flatten(F.col("p.history")).alias("history"))
+    # records of nulls: runs that have no numbered checkpoint, and runs the caller named that have no log
+    empty = newest.where("latest_step IS NULL").select("run")
+    if runs is not None:
+        wanted = logs.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, runs))).alias("run"))
+        empty = wanted.join(newest.where("latest_step IS NOT NULL"), "run", "left_anti")
+        record = record.join(F.broadcast(wanted), "run")
+    return record.unionByName(empty.select("run", *[F.lit(None).cast(f.dataType).alias(f.name) for f in record.schema.fields[1:]]))
 
 
 # ------------------------------------------------------------------ S10 results payload

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 from starling.operators import report as RP
 from starling.plans import evaluation, prepare, training
 from starling.plans import fixtures as X
+from starling.plans import registry  # noqa: F401  (the queries need one another)
+from starling.plans import queries_select as QS
 from starling.session import scratch_path
 from starling.sources import hashtree as HT
 from starling.sources import io as IO
@@ -59,6 +61,32 @@ def test_training_records_of_cumulative_logs(spark):
     assert tuple(got["c"]) == ("c", None, None, None, None, None)
 
 
+def test_training_records_of_logs_in_segments(spark):
+    """A log in several documents gives the record of the same log in one; left in its segments, no row holds it whole."""
+    entry = lambda e: {"epoch": float(e), "eval_mae": e / 10, "loss": 1.0}
+    log = [x for e in range(1, 8) for x in ({"epoch": float(e), "loss": 2.0}, entry(e))]
+    heads = [("a", "checkpoint-300", log[:6]), ("a", "checkpoint-700", log), ("b", "checkpoint-100", []), ("b", "checkpoint-90", log)]
+    one = spark.createDataFrame([(r, c, h, 0.1, "checkpoint-100") for r, c, h in heads], IO.LOG_SCHEMA)
+    cut = [(r, c, h[k : k + 4], 0.1, "checkpoint-100", k // 4) for r, c, h in heads for k in range(0, max(len(h), 1), 4)]
+    many = spark.createDataFrame(cut, IO.SEGMENTED_LOG_SCHEMA).repartition(3)
+    records = [sorted(IO.training_metadata(x, ["a", "b", "c"]).collect()) for x in (one, many)]
+    assert records[0] == records[1] and [len(r.history or ()) for r in records[0]] == [7, 0, 0] and records[0][2].history is None
+    left = IO.training_metadata(many, ["a", "b", "c"], whole=False).collect()
+    assert sorted((r.run, r.segment, len(r.history or ())) for r in left if r.run != "c") == [("a", 0, 2), ("a", 1, 2), ("a", 2, 2), ("a", 3, 1), ("b", 0, 0)]
+    assert [r.segment for r in left if r.run == "c"] == [None]
+
+
+def test_no_log_document_grows_with_its_run(spark, tmp_path):
+    n = 2500
+    spark.range(n).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").alias("ts"), F.lit("r").alias("event_type"), (F.col("id") % 7).alias("value")).write.parquet(str(tmp_path / "events.parquet"))
+    logs = QS._cumulative_logs(spark, str(tmp_path))
+    sizes = {(r.checkpoint, r.segment): r.n for r in logs.select("checkpoint", "segment", F.size("log_history").alias("n")).collect()}
+    assert max(sizes.values()) == 2 * QS.SEGMENT_EPOCHS and sum(sizes.values()) == 2 * (625 + 1250 + 1875 + 2500)
+    got = {r.run: r for r in QS.q_training_metadata(spark, str(tmp_path)).collect()}
+    assert (got["r"].latest_checkpoint, got["r"].n_entries, got["r"].best_model_checkpoint, got["r"].n_keys) == ("checkpoint-250000", n, "checkpoint-100", 2)
+    assert got["r"].weighted == pytest.approx(sum((e - 1) % 7 * e for e in range(1, n + 1)) / 1e6) and got["never trained"].n_entries is None
+
+
 def test_smoke_slice_sizes(spark):
     from starling.operators import clean as C
     from starling.operators import split as S
