@@ -20,7 +20,9 @@ over cells. The strategies share one output shape
 * ``hash``: reproducible in any SQL engine. Draw j of replicate b picks row
   ``md5(seed:b:j)[:15] mod n``; rows are ordered by cell, so the row maps to
   its cell by cumulative-count interval (equi-join on a coarse bucket of the
-  interval, then a range filter). Cost B x n. The 60-bit hash modulo n has bias
+  interval, then a range filter). Draws are hashed in numpy, ten thousand at a time; those that fall into a
+  bucket that lies inside one cell of every group are only counted, so a task sends a row a bucket for them, and
+  a row for each other draw. Cost B x n hashes. The 60-bit hash modulo n has bias
   below n / 2^60.
 * ``poisson``: each row gets a Poisson(1) weight per replicate from a hash
   (for continuous predictions with near-unique cells). Cost B x n, fully
@@ -32,10 +34,12 @@ Quantiles use linear interpolation (``percentile``), as numpy's default.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,6 +51,8 @@ from starling.session import written
 
 _BATCH_ROWS = 100_000  # drawn cells that a task hands on at once
 _BATCH_DRAWS = 1 << 22  # draws (replicates x cells) that a task holds at once
+_CHUNK_DRAWS = 1 << 20  # hashed draws of a replicate that are dealt to a task together
+_TASK_DRAWS = 1 << 28  # hashed draws of a task
 
 
 # ------------------------------------------------------------------ metric adapters
@@ -224,22 +230,130 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     iv = iv.withColumn("hi", F.col("lo") + F.col("n"))
     spans = iv.withColumn("bucket", F.explode(F.sequence(
         F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
-    draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width)
+    shared = spans.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket").distinct()
+    draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width, [r["bucket"] for r in shared.collect()])  # n_buckets numbers at most
     hit = draws.join(spans, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
-    counts = hit.groupBy(*by, "b", *cell_cols).agg(F.count(F.lit(1)).alias("w"))
+    counts = hit.groupBy(*by, "b", *cell_cols).agg(F.sum("w").alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
     point = _apply(keyed, list(by), metrics, "n", label, pred)
     return _summarise(reps, point, by, list(metrics), n_resamples, confidence)
 
 
-def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int) -> DataFrame:
-    """(b, idx, bucket) for all B x n draws, generated in parallel by ``range``."""
-    ids = spark.range(0, int(n_resamples) * int(n))
-    b = F.expr(f"id div {int(n)}")
-    j = F.expr(f"id % {int(n)}")
-    idx = draw_index(seed, b, j, F.lit(n))
-    return ids.select(b.alias("b"), idx.alias("idx")).withColumn(
-        "bucket", F.expr(f"idx div {int(width)}"))
+_SHIFTS = [x for four in ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21)) for x in four * 4]
+_SINES = [int(abs(math.sin(i + 1)) * 2 ** 32) for i in range(64)]
+_DIGITS = 4  # the last digits of j that change within a block of draws
+
+
+def _md5_start(words: Sequence[int | np.ndarray], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first two 32-bit words of the MD5 digests of m padded messages. ``words``: 16 for each 64 bytes, an int
+    where all messages agree."""
+    state = [np.full(m, x, np.uint32) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    f, t = np.empty(m, np.uint32), np.empty(m, np.uint32)
+    for at in range(0, len(words), 16):
+        a, b, c, d = (x.copy() for x in state)
+        for i in range(64):
+            if i < 16:
+                np.bitwise_xor(c, d, out=f)
+                f &= b
+                f ^= d
+                k = i
+            elif i < 32:
+                np.bitwise_xor(b, c, out=f)
+                f &= d
+                f ^= c
+                k = (5 * i + 1) % 16
+            elif i < 48:
+                np.bitwise_xor(b, c, out=f)
+                f ^= d
+                k = (3 * i + 5) % 16
+            else:
+                np.invert(d, out=f)
+                f |= b
+                f ^= c
+                k = 7 * i % 16
+            word = words[at + k]
+            f += a
+            if isinstance(word, int):
+                f += np.uint32((word + _SINES[i]) & 0xFFFFFFFF)
+            else:
+                f += word
+                f += np.uint32(_SINES[i])
+            np.right_shift(f, np.uint32(32 - _SHIFTS[i]), out=t)
+            f <<= np.uint32(_SHIFTS[i])
+            f |= t
+            f += b
+            a, b, c, d, f = d, f, b, c, a
+        state = [x + y for x, y in zip(state, (a, b, c, d))]
+    return state[0], state[1]
+
+
+@lru_cache(maxsize=64)
+def _tails(first: int, stop: int, digits: int) -> np.ndarray:
+    """The ASCII digits of first .. stop - 1: a row for each digit."""
+    return np.stack([np.arange(first, stop) // 10 ** (digits - 1 - i) % 10 + 48 for i in range(digits)]).astype(np.uint32)
+
+
+def _drawn(prefix: str, tails: np.ndarray, n: int) -> np.ndarray:
+    """``draw_index`` of the texts prefix + tail: ``tails`` holds the ASCII digits that differ, a column for each text."""
+    digits, m = tails.shape
+    size = len(prefix) + digits
+    padded = bytearray(-(-(size + 9) // 64) * 64)
+    padded[: len(prefix)], padded[size], padded[-8:] = prefix.encode(), 0x80, (8 * size).to_bytes(8, "little")
+    words: list[int | np.ndarray] = np.frombuffer(bytes(padded), "<u4").tolist()
+    for i in range(digits):
+        word, byte = divmod(len(prefix) + i, 4)
+        words[word] = words[word] + (tails[i] << np.uint32(8 * byte))
+    high, low = (x.byteswap().astype(np.uint64) for x in _md5_start(words, m))
+    return (((high << np.uint64(32)) | low) >> np.uint64(4)) % np.uint64(n)
+
+
+def replicate_draws(seed: int, b: int, first: int, stop: int, n: int) -> Iterator[np.ndarray]:
+    """Rows that draws first .. stop - 1 of replicate b pick (see ``draw_index``), some thousands at a time."""
+    block, j = 10 ** _DIGITS, first
+    while j < stop:
+        end = min(stop, (j // block + 1) * block, 10 ** len(str(j)))  # numbers of one length that share all but their last digits
+        digits = min(_DIGITS, len(str(j)))
+        tails = _tails(j % block, j % block + end - j, digits)
+        yield _drawn(f"{seed}:{b}:{str(j)[:-digits]}", tails, n).astype(np.int64)
+        j = end
+
+
+def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int, exact: Sequence[int]) -> DataFrame:
+    """(b, idx, bucket, w) for all B x n draws, generated in parallel by ``range``. In the buckets ``exact`` a row is one
+    drawn index; in any other a row stands for all ``w`` draws of a task, at the bucket's first index."""
+    total, n, width = int(n_resamples) * int(n), int(n), int(width)
+    single = np.zeros(-(-n // width), bool)
+    single[list(exact)] = True
+    chunk = max(1, min(n, _CHUNK_DRAWS))
+    chunks = -(-n // chunk)
+    schema = pa.schema([("b", pa.int64()), ("idx", pa.int64()), ("bucket", pa.int64()), ("w", pa.int64())])
+
+    def rows(b: int, idx: np.ndarray, bucket: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(idx), b)), pa.array(idx), pa.array(bucket), pa.array(w)], schema=schema)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, np.zeros(len(single), np.int64)
+        for batch in batches:
+            for number in batch.column("id").to_pylist():
+                b, at = divmod(number, chunks)
+                if b != now and now is not None:
+                    found = np.flatnonzero(held)
+                    yield rows(now, found * width, found, held[found])
+                    held[:] = 0
+                now = b
+                for idx in replicate_draws(seed, b, at * chunk, min(n, (at + 1) * chunk), n):
+                    bucket = idx // width
+                    alone = single[bucket]
+                    if alone.any():
+                        picked, w = np.unique(idx[alone], return_counts=True)
+                        yield rows(b, picked, picked // width, w)
+                    held += np.bincount(bucket[~alone], minlength=len(held))
+        if now is not None:
+            found = np.flatnonzero(held)
+            yield rows(now, found * width, found, held[found])
+
+    slices = min(int(n_resamples) * chunks, max(spark.sparkContext.defaultParallelism, -(-total // _TASK_DRAWS)))
+    return spark.range(0, int(n_resamples) * chunks, 1, max(1, slices)).mapInArrow(draw, "b long, idx long, bucket long, w long")
 
 
 # ------------------------------------------------------------------ poisson strategy

@@ -1,3 +1,4 @@
+import hashlib
 import math
 from decimal import Decimal, getcontext
 
@@ -72,6 +73,38 @@ def test_poisson_weights_on_rows(spark):
     assert r.ci_low <= r.point <= r.ci_high
 
 
+def _plain_draw(seed, b, j, n):
+    return int(hashlib.md5(f"{seed}:{b}:{j}".encode()).hexdigest()[:15], 16) % n
+
+
+@pytest.mark.parametrize(("seed", "b", "first", "stop", "n"), [
+    (42, 0, 0, 12_345, 12_345), (42, 999, 99_990, 100_020, 477_777), (-7, 12, 9_999_999, 10_000_003, 1 << 40), (10 ** 22, 10 ** 12, 10 ** 17, 10 ** 17 + 5, 10 ** 18), (1, 1, 0, 1, 1)])
+def test_hashed_draws_are_those_of_sql(seed, b, first, stop, n):
+    """Of one block of 64 bytes or two, and where numbers get another digit."""
+    got = np.concatenate(list(RS.replicate_draws(seed, b, first, stop, n)))
+    assert got.tolist() == [_plain_draw(seed, b, j, n) for j in range(first, stop)]
+
+
+@pytest.mark.parametrize("n_buckets", [4096, 7, 1])
+def test_hash_bootstrap_is_that_of_single_draws(spark, n_buckets):
+    """Buckets of one row, of several rows of one cell, and shared by cells give the same counts."""
+    systems, b, seed = {"s": _ratings(300, 0.3, 3), "t": _ratings(300, 0.5, 4)}, 40, 11
+    got = {r.system: r for r in RS.bootstrap_hash(_cells(spark, systems), {"mae": M.mae}, n_resamples=b, seed=seed, by=["system"], n_buckets=n_buckets).collect()}
+    for name, (y, p) in systems.items():
+        rows = np.array(sorted(zip(y, p)))
+        error = np.abs(rows[:, 0] - rows[:, 1])
+        means = [error[[_plain_draw(seed, k, j, 300) for j in range(300)]].mean() for k in range(b)]
+        assert (got[name].ci_low, got[name].ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_draws_inside_a_cell_are_only_counted(spark):
+    """Two cells of 30,000 rows: but for the bucket where they meet, a replicate sends a row for each bucket."""
+    n, width = 60_000, 1000
+    draws = RS.spark_range_draws(spark, 3, n, 5, width, [29])
+    got = draws.groupBy("b").agg(F.count("*").alias("rows"), F.sum("w").alias("draws"), F.count_if(F.col("bucket") == 29).alias("single")).collect()
+    assert len(got) == 3 and all(r.draws == n and r.rows - r.single <= 59 * spark.sparkContext.defaultParallelism and r.single < 1200 for r in got)
+
+
 def test_draws_reach_the_last_rows(spark):
     n = 20_000_000_000
     ids = spark.range(0, 2000)
