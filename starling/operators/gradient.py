@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from starling.session import written
 
-#: Entries of a block, and parameters of a slice.
-BLOCK_ENTRIES, SLICE = 1 << 20, 1 << 15
+#: Entries of a block (also the most that a task unfolds at once, but for a single longer row), and parameters of a slice.
+BLOCK_ENTRIES, SLICE = 1 << 19, 1 << 15
 _BLOCK = "n long, counts binary, idx binary, val binary, rank binary"
 
 
@@ -50,6 +50,15 @@ def dense_sum(df: DataFrame, add: Callable[[Iterable[pa.RecordBatch]], np.ndarra
     return np.concatenate([np.frombuffer(r["part"]) for r in sorted(rows, key=lambda r: r["slice"])]) if rows else None
 
 
+def row_runs(lists: pa.Array, entries: int) -> Iterator[pa.Array]:
+    """The lists cut into runs of rows of at most ``entries`` elements (one row at least)."""
+    total, at = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(lists):
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + entries, "right")))
+        yield lists.slice(at, stop - at)
+        at = stop
+
+
 def pack(rows: DataFrame, idx: str = "idx", rank: str = "rank", val: str | None = None, entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(idx array<int>, [val array<double>,] rank) rows as blocks; an index that a row repeats is added up."""
     wanted = rows.select(F.col(idx).alias("idx"), F.col(rank).cast("long").alias("rank"), *([F.col(val).alias("val")] if val else []))
@@ -63,21 +72,22 @@ def pack(rows: DataFrame, idx: str = "idx", rank: str = "rank", val: str | None
             return pa.RecordBatch.from_arrays([pa.array([c]) for c in cells], names=["n", "counts", "idx", "val", "rank"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column("idx")
-            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            value = batch.column("val").flatten().to_numpy(zero_copy_only=False) if val else np.ones(len(flat))
-            key, where = np.unique((row << 32) | flat, return_inverse=True)
-            value = np.bincount(where, value, len(key)) if len(key) else np.empty(0)
-            held.append((np.bincount(key >> 32, minlength=batch.num_rows).astype("<i8"), (key & 0xFFFFFFFF).astype("<i4"), value.astype("<f8"),
-                         batch.column("rank").to_numpy(zero_copy_only=False).astype("<i8")))
-            size += len(key)
-            if size >= entries:
-                yield block()
-                held, size = [], 0
+            at = 0
+            for lists in row_runs(batch.column("idx"), entries):
+                n, own = len(lists), batch.slice(at, len(lists))
+                at += n
+                sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(n), sizes)
+                value = own.column("val").flatten().to_numpy(zero_copy_only=False) if val else np.ones(len(flat))
+                key, where = np.unique((row << 32) | flat, return_inverse=True)
+                value = np.bincount(where, value, len(key)) if len(key) else np.empty(0)
+                held.append((np.bincount(key >> 32, minlength=n).astype("<i8"), (key & 0xFFFFFFFF).astype("<i4"), value.astype("<f8"),
+                             own.column("rank").to_numpy(zero_copy_only=False).astype("<i8")))
+                size += len(key)
+                if size >= entries:
+                    yield block()
+                    held, size = [], 0
         if held:
             yield block()
 
@@ -87,9 +97,9 @@ def pack(rows: DataFrame, idx: str = "idx", rank: str = "rank", val: str | None
 def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     """(row of each entry, idx, val, rank of each row) of each block."""
     for batch in batches:
-        for counts, idx, val, rank in zip(*(batch.column(c).to_pylist() for c in ("counts", "idx", "val", "rank"))):
-            counts = np.frombuffer(counts, "<i8")
-            yield np.repeat(np.arange(len(counts)), counts), np.frombuffer(idx, "<i4"), np.frombuffer(val, "<f8"), np.frombuffer(rank, "<i8")
+        for cells in zip(*(batch.column(c) for c in ("counts", "idx", "val", "rank"))):
+            counts, idx, val, rank = (np.frombuffer(c.as_buffer(), t) for c, t in zip(cells, ("<i8", "<i4", "<f8", "<i8")))  # no copies
+            yield np.repeat(np.arange(len(counts)), counts), idx, val, rank
 
 
 def feature_scales(blocks: DataFrame, width: int) -> np.ndarray:

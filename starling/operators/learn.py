@@ -57,10 +57,12 @@ class TextModel:
 
         @F.arrow_udf("array<double>")
         def sums(tokens: pa.Array) -> pa.Array:
-            sizes = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = tokens.flatten().to_numpy(zero_copy_only=False)
-            row = np.repeat(np.arange(len(tokens)), sizes)
-            out = np.stack([np.bincount(row, held.value[flat, k], len(tokens)) for k in range(m)], axis=1)
+            found = [np.empty((0, m))]
+            for some in G.row_runs(tokens, G.BLOCK_ENTRIES):
+                flat = some.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(some)), some.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                found.append(np.stack([np.bincount(row, held.value[flat, k], len(some)) for k in range(m)], axis=1))
+            out = np.concatenate(found)
             return pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * m, pa.int32()), pa.array(out.reshape(-1)))
 
         return sums(hashed_tokens(self.text, len(self.linear.weights)))

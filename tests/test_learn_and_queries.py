@@ -1,9 +1,11 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from starling.operators import gradient as G
 from starling.operators import learn as L
 
 from conftest import SF
@@ -119,3 +121,22 @@ def test_selected_queries_match_duckdb_at_sf0001(spark, name):
     want = sorted(tuple(str(r[i]) for i in order) for r in res.fetchall())
     assert len(got) == len(want)
     assert got == want
+
+
+def test_blocks_are_bounded_whatever_a_batch_holds(spark):
+    """A task unfolds some rows at a time: blocks of one large batch hold about as many entries as asked for, and the same sums."""
+    rng = np.random.default_rng(4)
+    rows = [(rng.integers(0, 50, 100).tolist(), int(k % 4)) for k in range(200)] + [([], 1), (list(range(40)) * 60, 2)]
+    df = spark.createDataFrame(rows, "idx array<int>, rank long").coalesce(1)
+    whole, cut = G.pack(df, entries=1 << 20), G.pack(df, entries=500)
+    sizes = [r.e for r in cut.select((F.length("idx") / 4).alias("e")).collect()]
+    assert whole.count() == 1 and len(sizes) > 10 and max(sizes) <= 1000
+    model = G.Linear("softmax", rng.normal(size=(50, 4)), rng.normal(size=4))
+    (a, x), (b, y) = (G.evaluate(blocks, model, np.ones(50), 0.1) for blocks in (whole, cut))
+    assert a == pytest.approx(b) and np.allclose(x, y)
+
+
+def test_row_runs_cover_every_row():
+    lists = pa.array([[1, 2], None, [], [3, 4, 5, 6], [7], [8]]).slice(1)
+    assert [r.to_pylist() for r in G.row_runs(lists, 3)] == [[None, []], [[3, 4, 5, 6]], [[7], [8]]]
+    assert list(G.row_runs(pa.array([], pa.list_(pa.int32())), 3)) == []
