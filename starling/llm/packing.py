@@ -4,9 +4,11 @@ Pieces of a full sequence are sequences of their own. The shorter ones are dealt
 hash into neighbourhoods of a bounded size; each is packed by several islands, one
 task each. A solution is a set of bins. Crossover injects whole well-filled bins of one
 parent into the other, removes the bins that now hold a piece twice, and best-fits the
-displaced pieces. Between epochs each island's elite migrates to the next one. Bins that
+displaced pieces. An epoch goes on until the lower bound is met or `STALL` generations bring
+no better solution. Between epochs each island's elite migrates to the next one; epochs end
+when a migration brings no fewer bins. Bins that
 aren't full enough are opened again and their pieces dealt into fewer neighbourhoods,
-until one is left or nothing improves; so no neighbourhood's last bin stays half empty."""
+until one is left or no bin could be closed; so no neighbourhood's last bin stays half empty."""
 
 from __future__ import annotations
 
@@ -24,10 +26,11 @@ from starling.llm.encoding import Encoder, tokenizer_path
 
 #: Pieces that a neighbourhood has on average.
 NEIGHBOURHOOD = 3000
-ISLANDS, EPOCHS, POPULATION, GENERATIONS = 3, 2, 4, 4
+ISLANDS, POPULATION = 3, 12
+#: Generations in a row without a better solution after which an island's epoch ends.
+STALL = 40
 #: Bins filled to this share stay closed between rounds.
 CLOSED = 0.995
-ROUNDS = 4
 
 
 def pieces(docs: DataFrame, path: str | None = None, leading_space: bool = False, end_id: int = 1, capacity: int = 4096,
@@ -151,17 +154,21 @@ def evolve(size: list[int], capacity: int, seed: int, migrants=()):
     first: tuple = ([], [])
     _best_fit(*first, list(range(len(size))), size, capacity)
     population = [first, *migrants]
-    while len(population) < POPULATION + len(migrants):
-        population.append(_seeded(rng, size, capacity))
     key = lambda one: _fitness(one[1], capacity)
+    while min(len(one[1]) for one in population) > floor and len(population) < POPULATION + len(migrants):
+        population.append(_seeded(rng, size, capacity))
     population.sort(key=key, reverse=True)
-    for _ in range(GENERATIONS):
-        if len(population[0][1]) <= floor:
-            break  # no solution has fewer bins
+    best, still = key(population[0]), 0
+    while len(population[0][1]) > floor and still < STALL:  # at the floor, no solution has fewer bins
         a, b = (population[int(k)] for k in rng.choice(len(population), 2, replace=False))
         children = [_crossover(a, b, rng, size, capacity), _crossover(b, a, rng, size, capacity)]
         children.append(_mutate(children[0], rng, size, capacity))
-        population = sorted([*population, *children], key=key, reverse=True)[: POPULATION + len(migrants)]
+        distinct = {key(one): one for one in reversed([*population, *children])}  # copies of one solution would crowd out the others
+        population = sorted(distinct.values(), key=key, reverse=True)[: POPULATION + len(migrants)]
+        while len(population) < 2:
+            population.append(_seeded(rng, size, capacity))
+        still = 0 if key(population[0]) > best else still + 1
+        best = key(population[0])
     return population[0]
 
 
@@ -195,9 +202,13 @@ def _epoch(items: DataFrame, elites: DataFrame | None, capacity: int, epoch: int
 def _pack(items: DataFrame, hoods: int, capacity: int, round_: int) -> DataFrame:
     """(key, length, hood, bin): the best of all islands' solutions for each neighbourhood."""
     dealt = cut(items.select("key", "length", F.pmod(F.xxhash64("key", F.lit(round_)), F.lit(hoods)).alias("hood")), "hoods")
-    elites = None
-    for epoch in range(EPOCHS):
+    elites, bins, epoch = None, None, 0
+    while True:
         elites = _epoch(dealt, elites, capacity, epoch).checkpoint()
+        now = elites.groupBy("hood").agg(F.min("bins").alias("n")).agg(F.sum("n")).first()[0]
+        if bins is not None and now >= bins:  # the guests of this epoch brought no fewer bins
+            break
+        bins, epoch = now, epoch + 1
     best = (elites.groupBy("hood").agg(F.max_by("assignment", F.struct(-F.col("bins"), "spread", -F.col("island"))).alias("assignment")))
 
     def place(key, pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
@@ -217,23 +228,22 @@ def pack(docs: DataFrame, capacity: int = 4096, id_col: str = "doc_id", **option
     spark = docs.sparkSession
     all_pieces = cut(pieces(docs, capacity=capacity, id_col=id_col, **options), "pieces")
     open_, done = all_pieces.where(F.col("length") < capacity).select("key", "length"), None
-    n, hoods = open_.count(), None
-    for round_ in range(ROUNDS):
+    n, hoods, round_ = open_.count(), None, 0
+    while n:
         fewer = max(1, -(-n // NEIGHBOURHOOD))
-        if n == 0 or hoods is not None and hoods == 1:
-            break
         hoods = fewer if hoods is None else min(fewer, hoods - 1)
         packed = cut(_pack(open_, hoods, capacity, round_), "packed")
         filled = packed.groupBy("hood", "bin").agg(F.sum("length").alias("filled"))
         marked = packed.join(filled, ["hood", "bin"]).withColumn("round", F.lit(round_))
-        last = hoods == 1 or round_ == ROUNDS - 1
+        left = cut(marked.where(F.col("filled") < F.lit(CLOSED) * capacity).select("key", "length"), "open")
+        still_open = left.count()
+        last = hoods == 1 or still_open == n  # one neighbourhood, or no bin was filled
         closed = marked if last else marked.where(F.col("filled") >= F.lit(CLOSED) * capacity)
         closed = closed.select("key", F.expr("struct(round, hood, bin)").alias("sequence"))
         done = closed if done is None else done.unionByName(closed)
         if last:
             break
-        open_ = cut(marked.where(F.col("filled") < F.lit(CLOSED) * capacity).select("key", "length"), "open")
-        n = open_.count()
+        open_, n, round_ = left, still_open, round_ + 1
     # sequence numbers: round, neighbourhood and bin side by side; full pieces count down by their own key
     number = F.expr("(sequence.round * 10000000000L + sequence.hood) * 100000L + sequence.bin")
     full = all_pieces.where(F.col("length") >= capacity).select("key", (-1 - F.col("key")).alias("sequence_id"))
