@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from starling.llm import common, decontaminate, line_dedup, packing, pii, simhash, token_counts, token_store, topk, toxicity
+from starling.llm import common, decontaminate, encoding, line_dedup, packing, pii, simhash, token_counts, token_store, topk, toxicity
 from starling.llm.encoding import Encoder, tokenizer_path
 
 ODD = ["", " ", "  a  b ", "a\n b", "a \n b\n\n  c", "don't  stop", "x <|endoftext|> y", "é ü", "日本 語 テキスト", "a  b", "é́ x", "A" * 3000,
@@ -33,6 +33,34 @@ def test_encoder_is_the_library(name, space):
     assert [len(v) // ids.width.itemsize for v in ids.values(texts)] == counts.values(texts)
 
 
+@pytest.mark.parametrize("name,space", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_pieces_do_not_grow_with_marks_and_lines(name, space, monkeypatch):
+    """Words that meet in ever new combinations of marks and lines are the same few pieces; batches are the library's
+    also when the memory is full at every batch."""
+    words = ["tion", "The", "élan", "Ördnung", "x", "œuvre", "no12", "ſo", "Ÿ", "ĸ", "3rd"]
+    combined = [f"{a}{m}\n{b} {b}{m} {a}{n}{b}" for a in words for b in words for m in (".", ",%%%", "!?", "_-") for n in (";", "/")]
+    encoder = Encoder(tokenizer_path(name), space, False)
+    got = encoder.values(combined)
+    want = [t.ids for t in encoder.tokenizer.encode_batch(combined, add_special_tokens=False)]
+    assert [np.frombuffer(v, encoder.width).tolist() for v in got] == want
+    assert len(encoder.memory.pieces) < 50
+    monkeypatch.setattr(encoding, "REMEMBERED", 40)
+    rnd = random.Random(2)
+    alphabet = [" ", " ", "\n", *words, ".", "'s", "'", "<|endoftext|>", "\u0301", "日本", "дом", " дом.", "×", "÷", "İ", "\u00a0", "—", "\t", "12", "a" * 80, "\x00", "\x7f", "ª", "😀"]
+    for continued in (False, True):
+        texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 30))) for _ in range(600)]
+        if continued:  # what follows a boundary starts with a safe character
+            texts = ["a" + t for t in texts]
+        for at in range(0, len(texts), 60):
+            some = texts[at : at + 60]
+            whole = ["b " + t for t in some] if continued else some
+            drop = len(encoder._learn([b"b"])[0]) if continued else 0
+            want = [t.ids[drop:] for t in encoder.tokenizer.encode_batch(whole, add_special_tokens=False)]
+            assert [np.frombuffer(v, encoder.width).tolist() for v in encoder.values(some, [continued] * len(some))] == want
+            assert len(encoder.memory.pieces) < 1000
+    assert encoder.values([]) == [] and encoder.values(["", ""]) == [b"", b""]
+
+
 def test_elias_fano():
     rng = np.random.default_rng(0)
     for values in ([], [0], [5], [0, 0, 0], [1, 1, 7, 7, 1000], np.cumsum(rng.integers(0, 4000, 500)), [2**62, 2**62 + 5]):
