@@ -20,7 +20,9 @@ over cells. The strategies share one output shape
 * ``hash``: reproducible in any SQL engine. Draw j of replicate b picks row
   ``md5(seed:b:j)[:15] mod n``; rows are ordered by cell, so the row maps to
   its cell by cumulative-count interval (equi-join on a coarse bucket of the
-  interval, then a range filter). Draws are hashed in numpy, ten thousand at a time; those that fall into a
+  interval, then a range filter). Draws are hashed in the JVM (``HashedDraws.java``), a thousand at a time, and counted
+  between the rows where cells begin: a task sends a row for each cell and replicate. Where cells begin at more than
+  65,536 rows, or the hashed texts may be longer than 55 bytes, draws are hashed in numpy; those that fall into a
   bucket that lies inside one cell of every group are only counted, so a task sends a row a bucket for them, and
   a row for each other draw. Cost B x n hashes. The 60-bit hash modulo n has bias
   below n / 2^60.
@@ -34,6 +36,7 @@ Quantiles use linear interpolation (``percentile``), as numpy's default.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
@@ -47,12 +50,16 @@ from pyspark.sql import types as T
 from starling.domain import SEED
 from starling.functions import metrics as M
 from starling.functions.decode import nearest_rating
-from starling.session import written
+from starling.session import register_java, written
 
 _BATCH_ROWS = 100_000  # drawn cells that a task hands on at once
 _BATCH_DRAWS = 1 << 22  # draws (replicates x cells) that a task holds at once
 _CHUNK_DRAWS = 1 << 20  # hashed draws of a replicate that are dealt to a task together
 _TASK_DRAWS = 1 << 28  # hashed draws of a task
+_COUNTED_CHUNK_DRAWS = 1 << 24  # draws of a replicate that one call counts between cuts, or more where cuts are many
+_COUNTED_TASK_DRAWS = 1 << 27  # draws of such a task
+_CUTS = 1 << 16  # rows where cells begin, that draws are counted between
+_TEXT_BYTES = 55  # of a draw's text, that MD5 takes at once
 
 
 # ------------------------------------------------------------------ metric adapters
@@ -230,8 +237,12 @@ def bootstrap_hash(cells: DataFrame, metrics: Mapping[str, M.Metric], n_resample
     iv = iv.withColumn("hi", F.col("lo") + F.col("n"))
     spans = iv.withColumn("bucket", F.explode(F.sequence(
         F.expr(f"lo div {width}"), F.expr(f"(hi - 1) div {width}"))))
-    shared = spans.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket").distinct()
-    draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width, [r["bucket"] for r in shared.collect()])  # n_buckets numbers at most
+    cuts = [r["lo"] for r in iv.where("lo > 0").select("lo").distinct().limit(_CUTS + 1).collect()]
+    if len(cuts) <= _CUTS and len(f"{seed}:{int(n_resamples) - 1}:{n - 1}") <= _TEXT_BYTES:
+        draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width, [], sorted(cuts))
+    else:
+        shared = spans.groupBy(*by, "bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("bucket").distinct()
+        draws = spark_range_draws(cells.sparkSession, n_resamples, n, seed, width, [r["bucket"] for r in shared.collect()])  # n_buckets numbers at most
     hit = draws.join(spans, "bucket", "inner").where((F.col("idx") >= F.col("lo")) & (F.col("idx") < F.col("hi")))
     counts = hit.groupBy(*by, "b", *cell_cols).agg(F.sum("w").alias("w"))
     reps = _apply(counts, [*by, "b"], metrics, "w", label, pred)
@@ -318,10 +329,26 @@ def replicate_draws(seed: int, b: int, first: int, stop: int, n: int) -> Iterato
         j = end
 
 
-def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int, exact: Sequence[int]) -> DataFrame:
-    """(b, idx, bucket, w) for all B x n draws, generated in parallel by ``range``. In the buckets ``exact`` a row is one
+def counted_draws(spark, n_resamples: int, n: int, seed: int, starts: Sequence[int]) -> DataFrame:
+    """(b, idx, w): how many draws of a chunk of replicate b fall between ``idx``, one of the ascending ``starts``, and the next."""
+    function = register_java(spark, os.path.join(os.path.dirname(__file__), "HashedDraws.java"), "array<struct<idx: bigint, w: bigint>>")
+    chunk = max(1, min(n, max(_COUNTED_CHUNK_DRAWS, 256 * len(starts))))
+    chunks = -(-n // chunk)
+    slices = min(n_resamples * chunks, max(3 * spark.sparkContext.defaultParallelism, n_resamples * n // _COUNTED_TASK_DRAWS))
+    b, first = F.expr(f"id div {chunks}"), F.expr(f"id % {chunks} * {chunk}L")
+    found = F.call_function(function, F.concat(F.lit(f"{seed}:"), b.cast("string"), F.lit(":")), first, F.least(first + chunk, F.lit(n).cast("long")),
+                            F.lit(n).cast("long"), F.lit(np.array(starts, ">i8").tobytes()))
+    return spark.range(0, n_resamples * chunks, 1, slices).select(b.alias("b"), F.inline(found))
+
+
+def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int, exact: Sequence[int],
+                      cuts: Sequence[int] | None = None) -> DataFrame:
+    """(b, idx, bucket, w) for all B x n draws, generated in parallel by ``range``. With ``cuts``, the ascending rows but
+    the first where cells begin, a row stands for ``w`` draws from one cut up to the next. Without, in the buckets ``exact`` a row is one
     drawn index; in any other a row stands for all ``w`` draws of a task, at the bucket's first index."""
     total, n, width = int(n_resamples) * int(n), int(n), int(width)
+    if cuts is not None:
+        return counted_draws(spark, int(n_resamples), n, int(seed), [0, *cuts]).select("b", "idx", F.expr(f"idx div {width}").alias("bucket"), "w")
     single = np.zeros(-(-n // width), bool)
     single[list(exact)] = True
     chunk = max(1, min(n, _CHUNK_DRAWS))

@@ -10,8 +10,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 _LOCAL_DEFAULTS = {
     "spark.sql.shuffle.partitions": "8",
@@ -97,3 +99,25 @@ def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def register_java(spark: SparkSession, path: str, return_type: str) -> str:
+    """The Java UDF class of the source file ``path`` as a function of this session; returns its name.
+
+    Spark's own compiler (Janino) makes the class, which reaches the executors as a jar of this session."""
+    name = os.path.splitext(os.path.basename(path))[0]
+    if spark.catalog.functionExists(name):
+        return name
+    jvm = spark._jvm
+    with open(path) as f:
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        compiler.cook(f.read())
+    jar = os.path.join(tempfile.mkdtemp(prefix="starling-jar-"), f"{name}-{uuid.uuid4().hex[:12]}.jar")  # a context takes a file name once
+    with zipfile.ZipFile(jar, "w") as z:
+        for class_name, code in compiler.getBytecodes().items():
+            z.writestr(f"{class_name.replace('.', '/')}.class", bytes(code))
+    spark.sql(f"ADD JAR '{jar}'")
+    found = jvm.java.lang.Class.forName(name, True, jvm.java.lang.Thread.currentThread().getContextClassLoader())
+    spark._jsparkSession.udf().register(name, found.newInstance(), spark._jsparkSession.parseDataType(T.DataType.fromDDL(return_type).json()))
+    return name

@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import math
 from decimal import Decimal, getcontext
@@ -105,6 +106,61 @@ def test_draws_inside_a_cell_are_only_counted(spark):
     assert len(got) == 3 and all(r.draws == n and r.rows - r.single <= 59 * spark.sparkContext.defaultParallelism and r.single < 1200 for r in got)
 
 
+@pytest.mark.parametrize(("seed", "b", "n", "starts"), [
+    (42, 1, 12_345, [0, 1, 2, 500, 12_000]), (-7, 3, 1024, list(range(1024))), (10 ** 22, 2, 5000, list(range(0, 5000, 3))), (10 ** 45, 2, 1007, [0, 9, 1006]), (1, 12, 1, [0])])
+def test_counted_draws_are_those_of_sql(spark, seed, b, n, starts):
+    """Where numbers get another digit, and with several cuts in a slot of the lookup table."""
+    got = {(r.b, r.idx): r.w for r in RS.counted_draws(spark, b, n, seed, starts).collect()}
+    want = {}
+    for k in range(b):
+        for j in range(n):
+            key = (k, starts[bisect.bisect_right(starts, _plain_draw(seed, k, j, n)) - 1])
+            want[key] = want.get(key, 0) + 1
+    assert got == want
+
+
+def test_counted_draws_of_chunks_add_up(spark, monkeypatch):
+    monkeypatch.setattr(RS, "_COUNTED_CHUNK_DRAWS", 1000)
+    got = RS.counted_draws(spark, 2, 4321, 9, [0, 77]).groupBy("b", "idx").agg(F.sum("w").alias("w"), F.count("*").alias("chunks")).collect()
+    want = {(k, s): sum((_plain_draw(9, k, j, 4321) >= 77) == (s == 77) for j in range(4321)) for k in range(2) for s in (0, 77)}
+    assert {(r.b, r.idx): r.w for r in got} == want and all(r.chunks == 5 for r in got)
+
+
+@pytest.mark.parametrize("metric", [M.mae, M.exact, M.qwk])
+def test_a_replicate_sends_a_row_a_cell(spark, monkeypatch, metric):
+    """And no draw is hashed in Python; hashed in numpy, draws give the same interval."""
+    cells, sent, kw = _cells(spark, {"s": _ratings(3000, 0.3, 3)}).drop("system"), [], {"n_resamples": 20, "seed": 11}
+    drawn = RS.spark_range_draws
+    monkeypatch.setattr(RS, "spark_range_draws", lambda *a, **k: sent.append(drawn(*a, **k)) or sent[-1])
+    counted = RS.bootstrap_hash(cells, {"m": metric}, **kw).first()
+    assert sent[0].count() <= 20 * cells.count() and sent[0].agg(F.sum("w")).first()[0] == 20 * 3000
+    assert "MapInArrow" not in sent[0]._jdf.queryExecution().toString()
+    monkeypatch.setattr(RS, "_CUTS", 1)
+    one_by_one = RS.bootstrap_hash(cells, {"m": metric}, **kw).first()
+    assert "MapInArrow" in sent[1]._jdf.queryExecution().toString()
+    assert (counted.point, counted.ci_low, counted.ci_high) == pytest.approx((one_by_one.point, one_by_one.ci_low, one_by_one.ci_high))
+
+
+def test_hashed_paired_delta_is_that_of_single_draws(spark):
+    y, a, b, n = *_ratings(200, 0.4, 4), _ratings(200, 0.7, 4)[1], 200
+    cells = _paired(spark, y, a, b)
+    r = RS.bootstrap_hash(cells, {"d": RS.paired_delta_metric(M.mae)}, n_resamples=30, seed=6, cell_cols=("label", "pred_a", "pred_b"), pred="pred_a").first()
+    rows = np.array(sorted(zip(y, a, b)))
+    delta = np.abs(rows[:, 0] - rows[:, 1]) - np.abs(rows[:, 0] - rows[:, 2])
+    means = [delta[[_plain_draw(6, k, j, n) for j in range(n)]].mean() for k in range(30)]
+    assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
+def test_texts_longer_than_a_block_and_other_sessions(spark):
+    cells, seed = _cells(spark, {"s": _ratings(50, 0.3, 3)}).drop("system"), 10 ** 60
+    rows = np.array([abs(r.label - r.prediction) for r in sorted(cells.collect()) for _ in range(r.n)])
+    for s, session in ((seed, spark), (7, spark.newSession())):
+        given = session.createDataFrame([tuple(r) for r in cells.collect()], cells.schema)
+        r = RS.bootstrap_hash(given, {"mae": M.mae}, n_resamples=10, seed=s).first()
+        means = [rows[[_plain_draw(s, k, j, 50) for j in range(50)]].mean() for k in range(10)]
+        assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+
+
 def test_draws_reach_the_last_rows(spark):
     n = 20_000_000_000
     ids = spark.range(0, 2000)
