@@ -348,7 +348,7 @@ def spark_range_draws(spark, n_resamples: int, n: int, seed: int, width: int, ex
     drawn index; in any other a row stands for all ``w`` draws of a task, at the bucket's first index."""
     total, n, width = int(n_resamples) * int(n), int(n), int(width)
     if cuts is not None:
-        return counted_draws(spark, int(n_resamples), n, int(seed), [0, *cuts]).select("b", "idx", F.expr(f"idx div {width}").alias("bucket"), "w")
+        return counted_draws(spark, int(n_resamples), n, seed, [0, *cuts]).select("b", "idx", F.expr(f"idx div {width}").alias("bucket"), "w")
     single = np.zeros(-(-n // width), bool)
     single[list(exact)] = True
     chunk = max(1, min(n, _CHUNK_DRAWS))
