@@ -151,6 +151,14 @@ def test_hashed_paired_delta_is_that_of_single_draws(spark):
     assert (r.ci_low, r.ci_high) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
 
 
+def test_a_replicate_sends_a_row_a_paired_cell(spark, monkeypatch):
+    cells, sent = _paired(spark, *_ratings(2000, 0.4, 4), _ratings(2000, 0.7, 4)[1]), []
+    drawn = RS.spark_range_draws
+    monkeypatch.setattr(RS, "spark_range_draws", lambda *a, **k: sent.append(drawn(*a, **k)) or sent[-1])
+    RS.bootstrap_hash(cells, {"d": RS.paired_delta_metric(RS.snapped(M.mae))}, n_resamples=10, seed=6, cell_cols=("label", "pred_a", "pred_b"), pred="pred_a")
+    assert sent[0].count() <= 10 * cells.count() and sent[0].agg(F.sum("w")).first()[0] == 10 * 2000
+
+
 def test_texts_longer_than_a_block_and_other_sessions(spark):
     cells, seed = _cells(spark, {"s": _ratings(50, 0.3, 3)}).drop("system"), 10 ** 60
     rows = np.array([abs(r.label - r.prediction) for r in sorted(cells.collect()) for _ in range(r.n)])
